@@ -127,7 +127,7 @@ def ingest(store: Store, run_id: str, recognized: DataFrame) -> DataFrame:
         return skipped
     rows, findings = strict_rows(store.spark, paths)
     order = F.struct("file_date", "branch_id", "filename")
-    checked = file_faults(new, findings)
+    checked = materialize(file_faults(new, findings), "findings")
     fault = checked.filter(F.col("error").isNotNull()).agg(F.min(F.struct(order.alias("place"), "error")).alias("f")).first().f
     if fault is not None:
         stop = F.struct(

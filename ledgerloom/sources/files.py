@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +22,26 @@ NAME_BAD_DATE = "filename date is not a real calendar date"
 WHOLE_FILE_LIMIT = 1 << 30
 
 
-def _binary(spark: SparkSession, folder: str, glob: str | None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    try:
-        return reader.load(folder)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(folder) from error
-        raise
+# Columns of a listing.
+LISTING = "path string, filename string, length bigint"
 
 
-def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """(path, filename, length) of the files directly in ``folder``; contents are not read."""
-    return _binary(spark, folder, glob).select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length"
-    )
+def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, filename, length) of the files directly in ``folder``; contents are not read.
+
+    The driver lists the folder, as Spark does before any scan. Unlike a scan the listing also
+    has empty files and names that start with '_' or '.'.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        raise FileNotFoundError(folder)
+    found = []
+    for status in store.listStatus(target):
+        name = status.getPath().getName()
+        if status.isFile() and fnmatchcase(name, glob):
+            found.append((status.getPath().toString(), name, status.getLen()))
+    return spark.createDataFrame(sorted(found), LISTING)
 
 
 def find_branch_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,20 +91,25 @@ def with_sha256(spark: SparkSession, folder: str, whole_file_limit: int = WHOLE_
     """(path, filename, length, sha256) of the files directly in ``folder``.
 
     The length filter reaches the scan, so the content of larger files is never loaded whole.
+    A hidden file keeps a NULL hash.
     """
+    listing = list_files(spark, folder)
     names = F.element_at(F.split("path", "/"), -1).alias("filename")
     hashed = (
-        _binary(spark, folder, None)
+        spark.read.format("binaryFile")
+        .load(folder)
         .filter(F.col("length") <= whole_file_limit)
-        .select("path", names, "length", F.sha2("content", 256).alias("sha256"))
+        .select(names, F.sha2("content", 256).alias("sha256"))
     )
-    large = list_files(spark, folder).filter(F.col("length") > whole_file_limit)
+    empty = listing.filter(F.col("length") == 0)
+    hashed = hashed.unionByName(empty.select("filename", F.sha2(F.lit(""), 256).alias("sha256")))
+    large = listing.filter(F.col("length") > whole_file_limit)
     if not large.isEmpty():
-        streamed = large.mapInPandas(
-            _stream_hashes, "path string, filename string, length bigint, sha256 string"
+        streamed = large.select("path", "filename").mapInPandas(
+            _stream_hashes, "path string, filename string, sha256 string"
         )
-        hashed = hashed.unionByName(streamed)
-    return hashed
+        hashed = hashed.unionByName(streamed.drop("path"))
+    return listing.join(hashed, "filename", "left").select("path", "filename", "length", "sha256")
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
