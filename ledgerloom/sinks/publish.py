@@ -7,12 +7,21 @@ names the current one. Any failure before that leaves the pointer, and so the re
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 POINTER = "CURRENT"
 
+# doubled quotes, values with their own white space, empty text and NULL both as nothing
+CSV_FORMAT = {
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -59,7 +68,7 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
         shown = df.orderBy(*order)
     elif df.isEmpty():
         shown = df.coalesce(1)
-    shown.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    shown.write.mode("overwrite").csv(path, header=True, **CSV_FORMAT)
 
 
 def publish(
@@ -101,8 +110,6 @@ def write_checked_parquet(df: DataFrame, path: str) -> tuple[int, int]:
     The row count meant is taken while writing, so the input is computed once.
     """
     spark = df.sparkSession
-    from pyspark.sql import Observation
-
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     meant = seen.get["rows"]
