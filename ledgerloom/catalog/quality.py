@@ -31,6 +31,7 @@ from ledgerloom.plans.customer_summary import (
     import_exceptions,
 )
 from ledgerloom.plans.delivery import files_read, validate_all
+from ledgerloom.session import materialize
 from ledgerloom.sinks.reports import split_outputs
 
 VALIDATED_SQL = f"""{FEED_SQL},
@@ -311,7 +312,9 @@ def register(reg) -> None:
     UNION ALL SELECT '{Q.P_REASON}' || reason, CAST("rows" AS VARCHAR) FROM ({reason_sql})
     UNION ALL SELECT '{Q.P_ERROR}' || file, error FROM files WHERE error IS NOT NULL"""
     reg.add("dq_metric_table", metric_sql)(
-        lambda s, f: Q.metric_table(validated(s, f), listed_files(s, f), R.REPEATED_ID)
+        lambda s, f: Q.metric_table(
+            materialize(validated(s, f), "validated"), listed_files(s, f), R.REPEATED_ID
+        )
     )
     reg.add(
         "dq_files_read",

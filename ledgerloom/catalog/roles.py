@@ -6,15 +6,25 @@ transaction = lineitem. ``*_SQL`` hold the same mapping for the SQL side.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions.money import money
 from ledgerloom.plans.operational import Frames
 
 
+@cache
+def _schema(path: str) -> StructType:
+    """Schema of a driver table, read from a footer once per process."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:

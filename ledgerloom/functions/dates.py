@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def strict_date(col: Column) -> Column:
     """A real calendar date written exactly as YYYY-MM-DD."""
-    parsed = F.when(col.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), col).try_cast("date")
-    return F.when(F.year(parsed) >= 1, parsed)
+    return F.when(col.rlike(r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), col).try_cast("date")
 
 
 def compact_date(col: Column) -> Column:
@@ -19,11 +18,18 @@ def compact_date(col: Column) -> Column:
 
 
 def flexible_date(col: Column) -> Column:
-    """YYYY-M-D first, then M/D/YYYY; padding optional."""
-    iso = F.when(col.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), F.try_to_date(col, "yyyy-M-d"))
-    american = F.when(col.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"), F.try_to_date(col, "M/d/yyyy"))
-    parsed = F.coalesce(iso, american)
-    return F.when(F.year(parsed) >= 1, parsed)
+    """YYYY-M-D or M/D/YYYY; padding optional.
+
+    The plain date cast reads unpadded ISO dates, so both styles are brought to that order
+    instead of going through a formatter.
+    """
+    iso = F.when(col.rlike(r"^(?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), col)
+    parts = F.split(col, "/")
+    american = F.when(
+        col.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/(?!0000)[0-9]{4}\z"),
+        F.concat_ws("-", F.get(parts, 2), F.get(parts, 0), F.get(parts, 1)),
+    )
+    return F.coalesce(iso, american).try_cast("date")
 
 
 def date_key(col: Column) -> Column:

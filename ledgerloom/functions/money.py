@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,38 @@ def is_plain_positive(col: Column) -> Column:
 
     A plain decimal is above zero exactly when one of its digits is, so no lossy parse is needed.
     """
-    plain = col.rlike(r"^[0-9]+(\.[0-9]+)?\z") & col.rlike("[1-9]") & parse_money(col).isNotNull()
-    return F.coalesce(plain, F.lit(False))
+    shaped = col.rlike(r"^(?=[0-9.]*[1-9])[0-9]+(\.[0-9]+)?\z")
+    fits = (F.length(col) <= MONEY.precision - MONEY.scale) | parse_money(col).isNotNull()
+    return F.coalesce(shaped & fits, F.lit(False))
+
+
+def cents(col: Column) -> Column:
+    """Money as whole cents in a BIGINT, exact for every value.
+
+    Below the bound a double holds the cents exactly; beyond it the slower decimal product is used.
+    """
+    bound = F.lit(str(10**13)).cast(MONEY)
+    return F.when(col.between(-bound, bound), F.floor(col.cast("double") * 100 + 0.5)).otherwise(
+        (col * 100).cast("long")
+    )
+
+
+def from_cents(col: Column) -> Column:
+    """Whole cents back to a money total."""
+    return (col.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(30,2)")
+
+
+def sum_cents(whole: Column) -> Column:
+    """Exact total of a cents column, as money; adding BIGINTs is far cheaper than decimals.
+
+    A total beyond 92 quadrillion is an overflow error, never a wrong figure.
+    """
+    return from_cents(F.sum(whole))
+
+
+def sum_money(col: Column) -> Column:
+    """Exact total of a money column."""
+    return sum_cents(cents(col))
 
 
 def signed_amount(kind: Column, amount: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,8 +30,12 @@ def strip(col: Column) -> Column:
 
 
 def is_missing(col: Column) -> Column:
-    """NULL, empty or only white space; never NULL itself."""
-    return col.isNull() | (strip(col) == "")
+    """NULL, empty or only white space; never NULL itself.
+
+    A first character from '!' to '~' settles most values without looking further.
+    """
+    blank = F.when(F.ascii(col).between(33, 126), F.lit(False)).otherwise(strip(col) == "")
+    return col.isNull() | blank
 
 
 def na_to_null(col: Column) -> Column:
@@ -51,6 +56,18 @@ def reason_list(rules: Iterable[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(broken, F.lit(text)) for text, broken in rules]))
 
 
+def broken_mask(rules: Iterable[tuple[str, Column]]) -> Column:
+    """Broken rules as bits of an integer, the first rule being bit 0: cheap to carry and test."""
+    bits = [F.when(broken, 1 << i).otherwise(0) for i, (_, broken) in enumerate(rules)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def masked_reasons(mask: Column, texts: list[str]) -> Column:
+    """Texts of the bits set; rows without any skip the work."""
+    named = [(text, mask.bitwiseAND(1 << i) != 0) for i, text in enumerate(texts)]
+    return F.when(mask == 0, F.array().cast("array<string>")).otherwise(reason_list(named))
+
+
 def first_reason(rules: Iterable[tuple[str, Column]]) -> Column:
     """Text of the first broken rule, NULL when none is."""
     return F.coalesce(*[F.when(broken, F.lit(text)) for text, broken in rules])

@@ -15,8 +15,12 @@ from ledgerloom.functions.money import (
     DEBIT,
     INFLOW_TYPES,
     OUTFLOW_TYPES,
+    cents,
+    flow_amount,
     mean_money,
     signed_amount,
+    sum_cents,
+    sum_money,
 )
 
 # measure name -> function that merges partial results
@@ -33,13 +37,13 @@ MEASURES = {
 
 
 def _first_level() -> dict[str, Column]:
-    kind, amount = F.col("transaction_type"), F.col("amount")
+    kind, amount = F.col("transaction_type"), cents(F.col("amount"))
     return {
         "transaction_count": F.count("*"),
-        "gross_amount": F.sum("amount"),
-        "net_cash_flow": F.sum(signed_amount(kind, amount)),
-        "total_credits": F.sum(F.when(kind == CREDIT, amount).otherwise(0)),
-        "total_debits": F.sum(F.when(kind == DEBIT, amount).otherwise(0)),
+        "gross_amount": sum_cents(amount),
+        "net_cash_flow": sum_cents(signed_amount(kind, amount)),
+        "total_credits": sum_cents(F.when(kind == CREDIT, amount).otherwise(0)),
+        "total_debits": sum_cents(F.when(kind == DEBIT, amount).otherwise(0)),
         "minimum_amount": F.min("amount"),
         "maximum_amount": F.max("amount"),
         "last_transaction_date": F.max("transaction_date"),
@@ -131,7 +135,7 @@ def activity_by(
 
 
 def grand_total(tx: DataFrame) -> DataFrame:
-    return tx.agg(F.sum("amount").alias("total_transaction_amount"))
+    return tx.agg(sum_money(F.col("amount")).alias("total_transaction_amount"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -171,17 +175,17 @@ def reason_counts(df: DataFrame, reasons: str = "reasons") -> DataFrame:
 
 def daily_account_activity(enriched: DataFrame) -> DataFrame:
     """Count, inflows, outflows and net per account and business date."""
-    kind, amount = F.col("transaction_type"), F.col("amount")
+    kind, amount = F.col("transaction_type"), cents(F.col("amount"))
     return enriched.groupBy("transaction_date", "account_id").agg(
         F.count("*").alias("transaction_count"),
-        F.sum(F.when(kind.isin(INFLOW_TYPES), amount).otherwise(0)).alias("total_deposits"),
-        F.sum(F.when(kind.isin(OUTFLOW_TYPES), amount).otherwise(0)).alias("total_outflows"),
-        F.sum("signed_amount").alias("net_amount"),
+        sum_cents(F.when(kind.isin(INFLOW_TYPES), amount).otherwise(0)).alias("total_deposits"),
+        sum_cents(F.when(kind.isin(OUTFLOW_TYPES), amount).otherwise(0)).alias("total_outflows"),
+        sum_cents(flow_amount(kind, amount)).alias("net_amount"),
     )
 
 
 def branch_daily_summary(silver: DataFrame) -> DataFrame:
     """Count and total per branch, business date and type."""
     return silver.groupBy("branch_id", "transaction_date", "transaction_type").agg(
-        F.count("*").alias("transaction_count"), F.sum("amount").alias("total_amount")
+        F.count("*").alias("transaction_count"), sum_money(F.col("amount")).alias("total_amount")
     )

@@ -9,13 +9,13 @@ only; the result is exact for any bounds.
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import percent_of
+from ledgerloom.session import materialize
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
@@ -41,21 +41,27 @@ def _bucket(df: DataFrame, keys: list[str], bounds: list[list[str]]) -> Column:
     types = [df.schema[k].dataType.simpleString() for k in keys]
     width = math.isqrt(len(bounds)) + 1
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    text = json.dumps([[{f"k{i}": v for i, v in enumerate(b)} for b in g] for g in groups])
-    shape = "struct<" + ",".join(f"k{i}:string" for i in range(len(keys))) + ">"
-    parsed = F.from_json(F.lit(text), f"array<array<{shape}>>")
 
-    def typed(bound: Column) -> Column:
-        return F.struct(*[bound[f"k{i}"].cast(t).alias(f"k{i}") for i, t in enumerate(types)])
+    def literal(bound: list[str]) -> str:
+        parts = [f"CAST('{_quoted(v)}' AS {t}) AS k{i}" for i, (v, t) in enumerate(zip(bound, types))]
+        return f"struct({', '.join(parts)})"
 
-    fine = F.transform(parsed, lambda g: F.transform(g, typed))
-    coarse = F.transform(fine, lambda g: g[0])
+    def array(items: list[str]) -> str:
+        return f"array({', '.join(items)})"
+
+    # constant expressions: folded into one literal before anything runs
+    fine = F.expr(array([array([literal(b) for b in g]) for g in groups]))
+    coarse = F.expr(array([literal(g[0]) for g in groups]))
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     group = F.size(F.filter(coarse, lambda b: b <= key))
     inside = F.size(F.filter(F.try_element_at(fine, group), lambda b: b <= key))
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + inside)
 
 
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],
@@ -100,16 +106,18 @@ def rank_descending(df: DataFrame, column: str, out: str, rows_per_bucket: int =
     """``RANK() OVER (ORDER BY column DESC)``: one plus the rows with a larger value.
 
     Ties are counted before anything is ordered, so a value shared by most rows is one row here.
+    ``df`` is computed once and kept in the shared folder for the passes over it.
     """
+    rows = materialize(df, "ranked")
     counts = (
-        df.filter(F.col(column).isNotNull())
+        rows.filter(F.col(column).isNotNull())
         .groupBy(column)
         .agg(F.count("*").alias("__ties"))
         .withColumn("__down", -F.col(column))
     )
     above = running_sum(counts, ["__down"], "__ties", "__above", rows_per_bucket, inclusive=False)
     return (
-        df.join(above.select(column, "__above"), column, "left")
+        rows.join(above.select(column, "__above"), column, "left")
         .withColumn(out, (F.col("__above") + 1).cast("long"))
         .drop("__above")
         .select(*df.columns, out)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import flexible_date, strict_date
 from ledgerloom.functions.money import CURRENCY, TRANSACTION_TYPES, is_plain_positive, parse_money
 from ledgerloom.functions.text import (
+    broken_mask,
     clean_upper,
     first_reason,
     is_missing,
     join_reasons,
-    reason_list,
+    masked_reasons,
     strip,
 )
 
@@ -74,10 +75,12 @@ def value_rules() -> Rules:
 
 def with_verdict(df: DataFrame, rules: Rules) -> DataFrame:
     """Add ``reasons`` (array), ``error_reason`` (text, empty when valid) and ``is_valid``."""
+    texts = [text for text, _ in rules]
     return (
-        df.withColumn("reasons", reason_list(rules))
-        .withColumn("error_reason", join_reasons(F.col("reasons")))
-        .withColumn("is_valid", F.size("reasons") == 0)
+        df.withColumn("__mask", broken_mask(rules))
+        .withColumns({"reasons": masked_reasons(F.col("__mask"), texts), "is_valid": F.col("__mask") == 0})
+        .withColumn("error_reason", F.when(F.col("is_valid"), "").otherwise(join_reasons(F.col("reasons"))))
+        .drop("__mask")
     )
 
 
@@ -102,21 +105,23 @@ def account_rules() -> Rules:
 
 
 def upsert_rules() -> Rules:
-    """First failing rule rejects the row; blank ids are rejected too."""
-    amount = parse_money(strip(F.col("amount")))
+    """Rules over already normalized columns; the first failing one rejects the row."""
     return [
-        (UNREADABLE_AMOUNT, amount.isNull()),
-        (INVALID_TYPE, _not_in(clean_upper(F.col("transaction_type")), TRANSACTION_TYPES)),
-        (NOT_POSITIVE, amount <= 0),
-        (UNSUPPORTED_CURRENCY, _not_in(clean_upper(F.col("currency")), [CURRENCY])),
-        (UNREADABLE_DATE, flexible_date(strip(F.col("transaction_date"))).isNull()),
+        (UNREADABLE_AMOUNT, F.col("amount").isNull()),
+        (INVALID_TYPE, _not_in(F.col("transaction_type"), TRANSACTION_TYPES)),
+        (NOT_POSITIVE, F.col("amount") <= 0),
+        (UNSUPPORTED_CURRENCY, _not_in(F.col("currency"), [CURRENCY])),
+        (UNREADABLE_DATE, F.col("transaction_date").isNull()),
         (BLANK_ID, is_missing(F.col("transaction_id"))),
     ]
 
 
 def normalized(df: DataFrame) -> DataFrame:
-    """Clean daily rows: stripped, upper-cased, typed, with the first reason or NULL."""
-    return df.withColumn("reject_reason", first_reason(upsert_rules())).withColumns(
+    """Clean daily rows: stripped, upper-cased, typed, with ``reject_reason`` or NULL.
+
+    Every value is parsed once; the rules look at the parsed columns.
+    """
+    return df.withColumns(
         {
             "transaction_id": strip(F.col("transaction_id")),
             "account_id": strip(F.col("account_id")),
@@ -125,4 +130,4 @@ def normalized(df: DataFrame) -> DataFrame:
             "amount": parse_money(strip(F.col("amount"))),
             "currency": clean_upper(F.col("currency")),
         }
-    )
+    ).withColumn("reject_reason", first_reason(upsert_rules()))

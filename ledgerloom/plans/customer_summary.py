@@ -17,8 +17,8 @@ from ledgerloom.functions.text import (
     reason_list,
     strip,
 )
+from ledgerloom.functions.money import sum_money
 from ledgerloom.operators import rules as R
-from ledgerloom.operators.aggregates import fold
 from ledgerloom.operators.joins import lookup, with_member_flag
 from ledgerloom.operators.quality import assert_grain
 from ledgerloom.operators.sets import stack
@@ -139,7 +139,7 @@ def customer_360(customers: DataFrame, accounts: DataFrame, silver: DataFrame) -
     """
     per_account = silver.groupBy("account_id").agg(
         F.count("transaction_id").alias("transaction_count"),
-        F.sum("amount").alias("gross_amount"),
+        sum_money(F.col("amount")).alias("gross_amount"),
         F.max("transaction_date").alias("last_transaction_date"),
     )
     owned = accounts.select("account_id", "customer_id").join(per_account, "account_id", "left")
@@ -161,7 +161,7 @@ def customer_360(customers: DataFrame, accounts: DataFrame, silver: DataFrame) -
 
 def reconcile(gold: DataFrame, silver: DataFrame, accounts: DataFrame) -> DataFrame:
     """Gold against an independent join of silver and accounts, as one row."""
-    per_account = silver.groupBy("account_id").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    per_account = silver.groupBy("account_id").agg(F.count("*").alias("n"), sum_money(F.col("amount")).alias("total"))
     mapped = per_account.join(accounts.select("account_id"), "account_id", "left_semi").agg(
         F.struct(
             F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"),

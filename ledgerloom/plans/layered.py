@@ -63,7 +63,7 @@ def daily_activity(tx: DataFrame, accounts: DataFrame, customers: DataFrame) ->
     accounts are picked from the much smaller result.
     """
     known = accounts.join(customers.select("customer_id"), "customer_id", "left_semi").select("account_id")
-    return daily_account_activity(with_flow_amount(tx)).join(known, "account_id", "left_semi").select(
+    return daily_account_activity(tx).join(known, "account_id", "left_semi").select(
         "transaction_date", "account_id", "transaction_count", "total_deposits", "total_outflows", "net_amount"
     )
 

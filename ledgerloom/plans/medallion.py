@@ -12,7 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import fingerprint, join_reasons, reason_list
+from ledgerloom.functions.text import (
+    broken_mask,
+    fingerprint,
+    is_missing,
+    join_reasons,
+    masked_reasons,
+)
 from ledgerloom.operators.aggregates import branch_daily_summary
 from ledgerloom.operators.joins import with_member_flag
 from ledgerloom.operators.quality import assert_reconciled, reconcile_files
@@ -41,7 +47,6 @@ from ledgerloom.streaming.idempotency import (
     loaded_in_run,
     with_prior_copy,
 )
-from ledgerloom.functions.text import is_missing
 
 ORDER = ["file_date", "branch_id", "source_filename", "source_row_number"]
 
@@ -174,18 +179,17 @@ def judge(bronze: DataFrame, accounts: DataFrame, accepted_before: DataFrame | N
     """
     flagged = with_member_flag(bronze, account_ids(accounts), "account_id", "known_account", unique=True)
     unknown = ~is_missing(F.col("account_id")) & ~F.col("known_account")
-    first_pass = [*value_rules(), (UNKNOWN_ACCOUNT, unknown)]
-    flagged = flagged.withColumn("reasons", reason_list(first_pass))
+    rules = [*value_rules(), (UNKNOWN_ACCOUNT, unknown)]
+    flagged = flagged.withColumn("mask", broken_mask(rules))
     flagged = first_accepted_wins(
-        flagged, "transaction_id", F.size("reasons") == 0, ORDER, "repeated", accepted_before
-    )
-    # the repeat reason comes last and only for rows that have an id
-    repeat = F.array_compact(F.array(F.when(F.col("repeated"), F.lit(ALREADY_ACCEPTED))))
-    return (
-        flagged.withColumn("reasons", F.concat("reasons", repeat))
-        .withColumn("is_valid", F.size("reasons") == 0)
-        .drop("known_account", "repeated")
+        flagged, "transaction_id", F.col("mask") == 0, ORDER, "repeated", accepted_before
     )
+    # the repeat is the last rule, and only rows with an id can break it
+    texts = [*[text for text, _ in rules], ALREADY_ACCEPTED]
+    flagged = flagged.withColumn("mask", F.col("mask") + F.when(F.col("repeated"), 1 << len(rules)).otherwise(0))
+    return flagged.withColumns(
+        {"reasons": masked_reasons(F.col("mask"), texts), "is_valid": F.col("mask") == 0}
+    ).drop("known_account", "repeated", "mask")
 
 
 def validate(store: Store, run_id: str, accounts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.joins import with_member_flag
 from ledgerloom.operators.rules import normalized
 from ledgerloom.schemas import TRANSACTION_COLUMNS
+from ledgerloom.session import materialize
 
 # Outcome names.
 INSERTED, UPDATED, UNCHANGED = "inserted", "updated", "unchanged"
@@ -30,7 +31,7 @@ def classify(
 
     A row's predecessor is found in two steps, so no id is ever one task's work: inside a chunk
     of one file (bounded by ``rows_per_chunk``), and between chunks, where an id has one row per
-    file chunk at most.
+    file chunk at most. The batch with its flags is written to the shared folder once.
     """
     rows = with_member_flag(normalized(batch), accounts, "account_id", "known_account")
     ids = rows.select("transaction_id").distinct()
@@ -49,6 +50,8 @@ def classify(
             "chunk": F.floor(F.col("row_no") / rows_per_chunk),
         }
     )
+    # read by the window, by the chunk ends and by every later use of the outcome
+    rows = materialize(rows, "batch")
     written = F.when(F.col("writes"), F.col("state"))
     spot = ["transaction_id", "source_file", "chunk"]
     inside = Window.partitionBy(*spot).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
