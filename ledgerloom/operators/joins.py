@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import materialize
+
 
 def enrich_accounts(accounts: DataFrame, customers: DataFrame, branches: DataFrame) -> DataFrame:
     """Join the reference tables among themselves first: they are far smaller than the facts."""
@@ -61,6 +63,23 @@ def with_member_flag(df: DataFrame, members: DataFrame, key: str, flag: str, uni
     )
 
 
+def with_unknown_flag(df: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
+    """Add boolean ``flag``: does the row's non-null key lack a member?
+
+    Made for a large member table that almost every row matches. The keys in use collapse to
+    distinct values before they meet the members, and the unmatched ones are written down: their
+    true size then decides whether they are broadcast, and the rows themselves need no shuffle.
+    """
+    used = df.select(F.col(key).alias("__unknown")).filter(F.col(key).isNotNull()).distinct()
+    known = members.select(F.col(key).alias("__unknown"))
+    unknown = materialize(used.join(known, "__unknown", "left_anti"), "unknown")
+    return (
+        df.join(unknown, F.col(key) == F.col("__unknown"), "left")
+        .withColumn(flag, F.col("__unknown").isNotNull())
+        .drop("__unknown")
+    )
+
+
 def lookup(df: DataFrame, mapping: DataFrame, key: str, value: str) -> DataFrame:
     """Add ``value`` from ``mapping`` (one row per key); NULL where the key is unknown."""
     return df.join(mapping.select(key, value), key, "left")

@@ -4,26 +4,36 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import date_key
-from ledgerloom.operators.aggregates import distinct_values, fold, roll_up
+from ledgerloom.operators.aggregates import activity_by, distinct_values, fold, roll_up
 from ledgerloom.operators.transforms import with_date_parts
 from ledgerloom.plans.operational import Frames, ordered
 from ledgerloom.sinks.publish import overwrite_tables
+from ledgerloom.sources.tables import load_table
 
 
 @dataclass(frozen=True)
 class Star:
+    """The star tables. ``origin`` is set while they are views over operational tables."""
+
     dim_customer: DataFrame
     dim_account: DataFrame
     dim_branch: DataFrame
     dim_date: DataFrame
     fact_transaction: DataFrame
+    origin: Frames | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
+        return {name: df for name, df in vars(self).items() if name != "origin"}
+
+
+def load_star(spark: SparkSession, base: str) -> Star:
+    """Star tables written by :func:`rebuild_star`."""
+    names = ["dim_customer", "dim_account", "dim_branch", "dim_date", "fact_transaction"]
+    return Star(*[load_table(spark, base, name) for name in names])
 
 
 def build_star(t: Frames) -> Star:
@@ -39,6 +49,7 @@ def build_star(t: Frames) -> Star:
         dim_branch=t.branch.select("branch_id", "branch_name", "city", "state"),
         dim_date=with_date_parts(distinct_values(t.tx, "transaction_date"), "transaction_date"),
         fact_transaction=fact,
+        origin=t,
     )
 
 
@@ -48,7 +59,15 @@ def rebuild_star(t: Frames, base: str) -> None:
 
 
 def _per(s: Star, keys: list[str], measures: list[str]) -> DataFrame:
-    return roll_up(s.fact_transaction, keys, measures)
+    """Fact measures per key. Over views the facts fold to accounts before the account join."""
+    if s.origin is None:
+        return roll_up(s.fact_transaction, keys, measures)
+    ids = [k for k in keys if k in ("account_id", "customer_id", "branch_id")]
+    own = tuple({"date_key": "transaction_date"}.get(k, k) for k in keys if k not in ids)
+    folded = activity_by(s.origin.tx, s.origin.account, ids, measures, extra=own)
+    if "date_key" in keys:
+        folded = folded.withColumn("date_key", date_key(F.col("transaction_date")))
+    return folded.select(*keys, *measures)
 
 
 COUNT_GROSS = ["transaction_count", "gross_amount"]

@@ -19,7 +19,7 @@ from ledgerloom.functions.text import (
 )
 from ledgerloom.functions.money import sum_money
 from ledgerloom.operators import rules as R
-from ledgerloom.operators.joins import lookup, with_member_flag
+from ledgerloom.operators.joins import lookup, with_unknown_flag
 from ledgerloom.operators.quality import assert_grain
 from ledgerloom.operators.sets import stack
 from ledgerloom.schemas import CUSTOMER_EXCEPTION_COLUMNS, TRANSACTION_COLUMNS
@@ -61,11 +61,11 @@ def check_customers(rows: DataFrame) -> DataFrame:
 
 def check_accounts(rows: DataFrame, customers: DataFrame) -> DataFrame:
     """Account rows with reasons; the customer must be a valid one."""
-    flagged = with_member_flag(rows, customers, "customer_id", "__owner", unique=True)
-    orphan = (F.col("customer_id") != "") & ~F.col("__owner")
+    flagged = with_unknown_flag(rows, customers, "customer_id", "__stranger")
+    orphan = (F.col("customer_id") != "") & F.col("__stranger")
     return _checked(
         flagged, "account_id", (R.account_rules(), [(R.CUSTOMER_UNKNOWN, orphan)]), R.ACCOUNT_REPEATED
-    ).drop("__owner")
+    ).drop("__stranger")
 
 
 def accepted(checked: DataFrame, columns: list[str]) -> DataFrame:

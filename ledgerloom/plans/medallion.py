@@ -20,7 +20,7 @@ from ledgerloom.functions.text import (
     masked_reasons,
 )
 from ledgerloom.operators.aggregates import branch_daily_summary
-from ledgerloom.operators.joins import with_member_flag
+from ledgerloom.operators.joins import with_unknown_flag
 from ledgerloom.operators.quality import assert_reconciled, reconcile_files
 from ledgerloom.operators.rules import ALREADY_ACCEPTED, UNKNOWN_ACCOUNT, value_rules
 from ledgerloom.operators.sets import same_rows
@@ -177,8 +177,8 @@ def judge(bronze: DataFrame, accounts: DataFrame, accepted_before: DataFrame | N
 
     ``bronze`` has the text columns, file_date and the lineage columns of :data:`ORDER`.
     """
-    flagged = with_member_flag(bronze, account_ids(accounts), "account_id", "known_account", unique=True)
-    unknown = ~is_missing(F.col("account_id")) & ~F.col("known_account")
+    flagged = with_unknown_flag(bronze, account_ids(accounts), "account_id", "unknown_account")
+    unknown = ~is_missing(F.col("account_id")) & F.col("unknown_account")
     rules = [*value_rules(), (UNKNOWN_ACCOUNT, unknown)]
     flagged = flagged.withColumn("mask", broken_mask(rules))
     flagged = first_accepted_wins(
@@ -189,7 +189,7 @@ def judge(bronze: DataFrame, accounts: DataFrame, accepted_before: DataFrame | N
     flagged = flagged.withColumn("mask", F.col("mask") + F.when(F.col("repeated"), 1 << len(rules)).otherwise(0))
     return flagged.withColumns(
         {"reasons": masked_reasons(F.col("mask"), texts), "is_valid": F.col("mask") == 0}
-    ).drop("known_account", "repeated", "mask")
+    ).drop("unknown_account", "repeated", "mask")
 
 
 def validate(store: Store, run_id: str, accounts: DataFrame) -> DataFrame:

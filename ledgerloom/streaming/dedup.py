@@ -1,7 +1,9 @@
 """Named policies for repeated ids. The policies disagree on purpose; pick one by name.
 
-None of them uses a window over an id: a repeated id is found by a grouped aggregate, which
-collapses on the map side, and is joined back, where AQE can split a hot id over many tasks.
+None of them uses a window over an id. Repeated ids are found by a grouped aggregate, which
+collapses on the map side, and only those are written to the shared folder and joined back. Their
+true size is known then: few repeats are broadcast and the rows stay where they are; many are
+joined by shuffle, where AQE splits a hot id over tasks. Each policy runs that job when called.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_missing
+from ledgerloom.session import materialize
 
 SPREAD = 1024
 
@@ -22,11 +25,12 @@ def spread_missing(key: Column, *salt: Column) -> Column:
 
 def all_copies_invalid(df: DataFrame, key: str, flag: str) -> DataFrame:
     """Flag every row whose non-null key occurs more than once, the first one included."""
-    repeated = (
+    repeated = materialize(
         df.filter(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("__key"))
         .agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > 1)
+        .filter(F.col("__n") > 1),
+        "repeated",
     )
     return (
         df.join(repeated, F.col(key) == F.col("__key"), "left")
@@ -51,12 +55,13 @@ def first_accepted_wins(
     ``accepted_before`` holds the ids accepted by earlier runs in column ``key``.
     """
     position = F.struct(*order)
-    winners = (
+    winners = materialize(
         df.filter(~is_missing(F.col(key)))
         .groupBy(F.col(key).alias("__key"))
         .agg(F.count("*").alias("__n"), F.min(F.when(acceptable, position)).alias("__first"))
         .filter((F.col("__n") > 1) & F.col("__first").isNotNull())
-        .select("__key", "__first")
+        .select("__key", "__first"),
+        "winners",
     )
     join_key = spread_missing(F.col(key), *[F.col(c) for c in order])
     joined = df.withColumn("__join", join_key).join(winners, F.col("__join") == F.col("__key"), "left")
@@ -66,7 +71,7 @@ def first_accepted_wins(
         # only ids of this batch matter: the far larger history is scanned, not shuffled,
         # whenever the batch is small enough to broadcast
         batch_ids = df.select(key).filter(~is_missing(F.col(key))).distinct()
-        seen = accepted_before.select(key).join(batch_ids, key, "left_semi").distinct()
+        seen = materialize(accepted_before.select(key).join(batch_ids, key, "left_semi").distinct(), "seen")
         joined = joined.join(seen.select(F.col(key).alias("__seen")), F.col("__join") == F.col("__seen"), "left")
         repeat = repeat | F.col("__seen").isNotNull()
         dropped.append("__seen")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.joins import with_member_flag
+from ledgerloom.operators.joins import with_unknown_flag
 from ledgerloom.operators.rules import normalized
 from ledgerloom.schemas import TRANSACTION_COLUMNS
 from ledgerloom.session import materialize
@@ -33,7 +33,7 @@ def classify(
     of one file (bounded by ``rows_per_chunk``), and between chunks, where an id has one row per
     file chunk at most. The batch with its flags is written to the shared folder once.
     """
-    rows = with_member_flag(normalized(batch), accounts, "account_id", "known_account")
+    rows = with_unknown_flag(normalized(batch), accounts, "account_id", "unknown_account")
     ids = rows.select("transaction_id").distinct()
     stored = target.join(ids, "transaction_id", "left_semi").select(
         F.col("transaction_id").alias("__stored_id"), F.struct(*STATE).alias("stored")
@@ -45,7 +45,7 @@ def classify(
     rows = rows.withColumns(
         {
             "stale": readable & stale,
-            "writes": readable & ~stale & F.col("known_account"),
+            "writes": readable & ~stale & ~F.col("unknown_account") & F.col("account_id").isNotNull(),
             "state": F.struct(*STATE),
             "chunk": F.floor(F.col("row_no") / rows_per_chunk),
         }
