@@ -25,8 +25,16 @@ REASON_SEPARATOR = "; "
 
 
 def strip(col: Column) -> Column:
-    """Drop leading and trailing white space of any kind (``trim`` alone drops blanks only)."""
-    return F.btrim(col, F.lit(WHITE_SPACE))
+    """Drop leading and trailing white space of any kind (``trim`` alone drops blanks only).
+
+    Values that begin and end with a character from '!' to '~' need no trimming.
+    """
+    tidy = _visible(F.ascii(col)) & _visible(F.ascii(F.substring(col, -1, 1)))
+    return F.when(tidy, col).otherwise(F.btrim(col, F.lit(WHITE_SPACE)))
+
+
+def _visible(code: Column) -> Column:
+    return code.between(33, 126)
 
 
 def is_missing(col: Column) -> Column:
@@ -34,7 +42,7 @@ def is_missing(col: Column) -> Column:
 
     A first character from '!' to '~' settles most values without looking further.
     """
-    blank = F.when(F.ascii(col).between(33, 126), F.lit(False)).otherwise(strip(col) == "")
+    blank = F.when(_visible(F.ascii(col)), F.lit(False)).otherwise(strip(col) == "")
     return col.isNull() | blank
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ledgerloom.functions.text import na_to_null
 from ledgerloom.operators.sets import stack
 from ledgerloom.schemas import TRANSACTION_COLUMNS
-from ledgerloom.sources.delimited import csv_fields
+from ledgerloom.sources.delimited import csv_fields, opens_quote
 from ledgerloom.sources.files import find_branch_files
 
 # File error texts.
@@ -26,7 +26,6 @@ FILE_REPORT = "file string, path string, header string, open_quotes boolean, err
 def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Per file: first non-empty line, longest row and whether a quoted value spans lines."""
     line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
     return (
         spark.read.text(paths)
@@ -35,7 +34,7 @@ def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
             first.alias("place"),
             F.regexp_replace(line, "^\ufeff", "").alias("line"),
             F.size(csv_fields(line)).alias("width"),
-            (quotes % 2 == 1).alias("odd"),
+            opens_quote(line).alias("odd"),
         )
         .filter(F.col("line") != "")
         .groupBy("file")

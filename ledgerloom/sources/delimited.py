@@ -13,6 +13,9 @@ from ledgerloom.functions.text import is_missing, strip
 from ledgerloom.schemas import TRANSACTION_COLUMNS
 from ledgerloom.session import materialize
 
+# Fixed value: longest record with quoted line breaks
+RECORD_LIMIT = 131_072
+
 _QUOTED_FIELDS = r',(?:"(?:[^"]|"")*"[^,]*|[^,]*)'
 _QUOTED_FIELD = r'^"((?:[^"]|"")*)"([^,]*)\z'
 
@@ -30,8 +33,68 @@ def csv_fields(line: Column) -> Column:
     return F.when(F.contains(line, F.lit('"')), F.transform(parts, unquote)).otherwise(plain)
 
 
+def opens_quote(line: Column) -> Column:
+    """Does a line that starts outside quotes end inside a quoted value?
+
+    A quote opens a value only at its start; one inside an unquoted value is plain text.
+    """
+    left = F.regexp_replace(line, r'(^|,)"(?:[^"]|"")*"', "$1")
+    return F.contains(line, F.lit('"')) & left.rlike(r'(^|,)"')
+
+
+def join_quoted_lines(lines: DataFrame) -> DataFrame:
+    """Lines with every quoted value that spans lines brought back into one line.
+
+    Only files that have such values are touched. Whether a line starts inside quotes follows
+    from the number of quotes before it: a running count inside each block plus the blocks' totals.
+    A record longer than :data:`RECORD_LIMIT` - mostly a quote that is never closed - is an error,
+    so no group can grow without bound.
+    """
+    files = materialize(lines.filter(opens_quote(F.col("line"))).select("source_filename").distinct(), "quoted")
+    if files.isEmpty():
+        return lines
+    place = ["source_filename", "block"]
+    in_block = Window.partitionBy(*place).orderBy("seq")
+    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks_before = Window.partitionBy("source_filename").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    counted = lines.join(files, "source_filename", "left_semi").withColumn("quotes", quotes)
+    totals = counted.groupBy(*place).agg(F.sum("quotes").alias("q")).select(
+        *place, F.coalesce(F.sum("q").over(blocks_before), F.lit(0)).alias("q_before")
+    )
+    counted = counted.join(totals, place).withColumn(
+        "starts", (F.col("q_before") + F.coalesce(F.sum("quotes").over(earlier), F.lit(0))) % 2 == 0
+    )
+    start = F.when(F.col("starts"), F.struct("block", "seq"))
+    carried = counted.groupBy(*place).agg(F.max(start).alias("s")).select(
+        *place, F.last("s", ignorenulls=True).over(blocks_before).alias("carried")
+    )
+    records = (
+        counted.withColumn("start", F.last(start, ignorenulls=True).over(upto))
+        .join(carried, place)
+        .withColumn("start", F.coalesce("start", "carried"))
+    )
+    long = (
+        records.groupBy("source_filename", "start")
+        .agg(F.sum(F.length("line") + 1).alias("chars"))
+        .filter(F.col("chars") > RECORD_LIMIT)
+        .agg(F.min("source_filename").alias("f"))
+        .first()
+    )
+    if long.f:
+        raise ValueError(f"{long.f}: record larger than the limit of {RECORD_LIMIT} characters")
+    parts = F.array_sort(F.collect_list(F.struct("block", "seq", "line")))
+    joined = records.groupBy("source_filename", "start").agg(parts.alias("parts")).select(
+        "source_filename", "start.block", "start.seq",
+        F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"),
+    )
+    return lines.join(files, "source_filename", "left_anti").unionByName(joined)
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of the files with their place: (source_filename, block, seq, line).
+    """Records of the files with their place: (source_filename, block, seq, line).
 
     Written once to the shared folder: ``seq`` depends on how the scan was split, so every later
     step has to see the same numbers. Inside a (file, block) it grows with the line order.
@@ -42,7 +105,7 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
-    return materialize(raw, "lines")
+    return join_quoted_lines(materialize(raw, "lines"))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

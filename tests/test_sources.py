@@ -109,6 +109,33 @@ def test_strict_rows(spark, tmp_path):
     assert got[empty] == (0, f"{empty}: file is empty")
 
 
+def test_quoted_line_breaks(spark, tmp_path):
+    """Values that span lines, also over file blocks, and quotes that open nothing."""
+    lines, expected = [], []
+    for i in range(3000):
+        if i % 50 == 3:
+            lines += [f'"T{i}', '', f'x",A1,d,c,{i},USD']
+            expected.append([f"T{i}\n\nx", "A1", "d", "c", str(i), "USD"])
+        else:
+            lines.append(f"T{i},A1,d,c,{i},USD")
+            expected.append([f"T{i}", "A1", "d", "c", str(i), "USD"])
+    write_lines(tmp_path, "BR001_20260906_TRANSACTION.csv", lines)
+    write_lines(tmp_path, "BR002_20260906_TRANSACTION.csv", ['5" pipe,A1,d,c,1,USD', 'T2,A1,d,c,2,USD'])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows, findings = strict_rows(spark, [str(p) for p in tmp_path.iterdir()])
+        got = sorted((r.source_filename[:5], r.source_row_number, list(r)[2:]) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r[2] for r in got if r[0] == "BR001"] == expected
+    assert [r[1] for r in got if r[0] == "BR001"] == list(range(1, 3001))
+    assert [r[2][0] for r in got if r[0] == "BR002"] == ['5" pipe', "T2"]
+    assert all(r.error is None for r in findings.collect())
+    write_lines(tmp_path, "BR003_20260906_TRANSACTION.csv", ['"T1,A1,d,c,1,USD'] + ["x" * 1000] * 140)
+    with pytest.raises(ValueError, match="BR003_20260906_TRANSACTION.csv: record larger"):
+        strict_rows(spark, [str(p) for p in tmp_path.iterdir()])
+
+
 def test_reference_rows(spark, tmp_path):
     write_lines(tmp_path, "r.csv", [" C1 , Ann ,x", "", ",,", "C2,Bob", "C3,Cy,y,more,most"], header=" id,name,extra ")
     got = read_reference_csv(spark, str(tmp_path / "r.csv"), ["id", "name"]).orderBy("source_row_number").collect()
