@@ -16,155 +16,134 @@ from ledgerloom.plans import analytical, audit_queries, branch_report, layered,
 from ledgerloom.plans.customer_summary import customer_360, customer_lookups, reconcile
 from ledgerloom.plans.operational import Frames
 
-NET = "SUM(CASE WHEN transaction_type = 'CREDIT' THEN amount ELSE -amount END)"
-CREDITS = "SUM(CASE WHEN transaction_type = 'CREDIT' THEN amount ELSE 0 END)"
-DEBITS = "SUM(CASE WHEN transaction_type = 'DEBIT' THEN amount ELSE 0 END)"
+CREDITS = "COALESCE(SUM(amount) FILTER (transaction_type = 'CREDIT'), 0)"
+DEBITS = "COALESCE(SUM(amount) FILTER (transaction_type = 'DEBIT'), 0)"
+NET = f"({CREDITS} - COALESCE(SUM(amount) FILTER (transaction_type <> 'CREDIT'), 0))"
 
 TOTALS = """totals AS (
-    SELECT c.customer_id, c.customer_name, SUM(t.amount) AS total
-    FROM cust c JOIN account a ON c.customer_id = a.customer_id JOIN tx t ON a.account_id = t.account_id
-    GROUP BY c.customer_id, c.customer_name)"""
+    SELECT customer_id, any_value(customer_name) AS customer_name, SUM(amount) AS total
+    FROM tx JOIN account USING (account_id) JOIN cust USING (customer_id) GROUP BY customer_id)"""
 
+DAY = "CAST(transaction_date AS VARCHAR) AS transaction_date"
+AMOUNT = f"{dbl('amount')} AS amount"
+GROSS = dbl("SUM(amount)")
+MEAN = mean_sql("SUM(amount)", "COUNT(*)")
+OWNED = "tx JOIN account USING (account_id) JOIN cust USING (customer_id)"
+PLACED = "tx JOIN account USING (account_id) JOIN branch USING (branch_id)"
+
+# name -> (library query, SQL)
 OPERATIONAL = {
     "oq01_transactions_with_customer": (
         "transactions_with_customer",
-        f"""SELECT t.transaction_id, CAST(t.transaction_date AS VARCHAR) AS transaction_date, t.transaction_type,
-            {dbl('t.amount')} AS amount, t.currency, a.account_id, c.customer_id, c.customer_name
-            FROM tx t JOIN account a ON t.account_id = a.account_id JOIN cust c ON a.customer_id = c.customer_id""",
+        f"SELECT transaction_id, {DAY}, transaction_type, {AMOUNT}, currency, account_id, customer_id, customer_name FROM {OWNED}",
     ),
     "oq02_transactions_with_branch": (
         "transactions_with_branch",
-        f"""SELECT t.transaction_id, CAST(t.transaction_date AS VARCHAR) AS transaction_date, t.transaction_type,
-            {dbl('t.amount')} AS amount, a.account_id, b.branch_id, b.branch_name, b.city, b.state
-            FROM tx t JOIN account a ON t.account_id = a.account_id JOIN branch b ON a.branch_id = b.branch_id""",
-    ),
-    "oq03_total_amount": (
-        "total_amount",
-        f"SELECT {dbl('SUM(amount)')} AS total_transaction_amount FROM tx",
+        f"SELECT transaction_id, {DAY}, transaction_type, {AMOUNT}, account_id, branch_id, branch_name, city, state FROM {PLACED}",
     ),
+    "oq03_total_amount": ("total_amount", f"SELECT {GROSS} AS total_transaction_amount FROM tx"),
     "oq04_summary_by_type": (
         "summary_by_type",
-        f"""SELECT transaction_type, COUNT(*) AS transaction_count, {dbl('SUM(amount)')} AS total_amount,
-            {mean_sql('SUM(amount)', 'COUNT(*)')} AS average_amount FROM tx GROUP BY transaction_type""",
+        f"""SELECT transaction_type, COUNT(*) AS transaction_count, {GROSS} AS total_amount, {MEAN} AS average_amount
+        FROM tx GROUP BY ALL""",
     ),
     "oq05_summary_by_customer": (
         "summary_by_customer",
-        f"""SELECT c.customer_id, c.customer_name, c.customer_segment, COUNT(t.transaction_id) AS transaction_count,
-            {dbl('SUM(t.amount)')} AS total_transaction_amount,
-            {mean_sql('SUM(t.amount)', 'COUNT(*)')} AS average_transaction_amount
-            FROM cust c JOIN account a ON c.customer_id = a.customer_id JOIN tx t ON a.account_id = t.account_id
-            GROUP BY c.customer_id, c.customer_name, c.customer_segment""",
+        f"""SELECT customer_id, customer_name, customer_segment, COUNT(*) AS transaction_count,
+        {GROSS} AS total_transaction_amount, {MEAN} AS average_transaction_amount FROM {OWNED} GROUP BY ALL""",
     ),
     "oq06_summary_by_branch": (
         "summary_by_branch",
-        f"""SELECT b.branch_id, b.branch_name, b.city, COUNT(t.transaction_id) AS transaction_count,
-            {dbl('SUM(t.amount)')} AS total_transaction_amount,
-            {mean_sql('SUM(t.amount)', 'COUNT(*)')} AS average_transaction_amount
-            FROM branch b JOIN account a ON b.branch_id = a.branch_id JOIN tx t ON a.account_id = t.account_id
-            GROUP BY b.branch_id, b.branch_name, b.city""",
+        f"""SELECT branch_id, branch_name, city, COUNT(*) AS transaction_count, {GROSS} AS total_transaction_amount,
+        {MEAN} AS average_transaction_amount FROM {PLACED} GROUP BY ALL""",
     ),
     "oq07_amount_bands": (
         "amount_bands",
-        f"""SELECT transaction_id, account_id, transaction_type, {dbl('amount')} AS amount,
-            CASE WHEN amount < 100 THEN 'Small' WHEN amount BETWEEN 100 AND 499.99 THEN 'Medium' ELSE 'Large' END
-                AS amount_band FROM tx""",
+        f"""SELECT transaction_id, account_id, transaction_type, {AMOUNT},
+        CASE WHEN amount >= 500 THEN 'Large' WHEN amount >= 100 THEN 'Medium' ELSE 'Small' END AS amount_band FROM tx""",
     ),
     "oq08_range_by_type": (
         "range_by_type",
-        f"""SELECT transaction_type, COUNT(*) AS transaction_count, {dbl('SUM(amount)')} AS total_amount,
-            {mean_sql('SUM(amount)', 'COUNT(*)')} AS average_amount, {dbl('MIN(amount)')} AS minimum_amount,
-            {dbl('MAX(amount)')} AS maximum_amount FROM tx GROUP BY transaction_type""",
+        f"""SELECT transaction_type, COUNT(*) AS transaction_count, {GROSS} AS total_amount, {MEAN} AS average_amount,
+        {dbl('MIN(amount)')} AS minimum_amount, {dbl('MAX(amount)')} AS maximum_amount FROM tx GROUP BY ALL""",
     ),
     "oq09_customer_ranking": (
         "customer_ranking",
         f"""SELECT customer_id, customer_name, {dbl('total')} AS total_amount,
-            RANK() OVER (ORDER BY total DESC) AS customer_rank FROM totals""",
+        RANK() OVER (ORDER BY total DESC) AS customer_rank FROM totals""",
     ),
     "oq11_account_activity": (
         "account_activity",
-        f"""SELECT a.account_id, a.account_type, a.account_status, COUNT(t.transaction_id) AS transaction_count,
-            {dbl('SUM(t.amount)')} AS total_amount,
-            {mean_sql('SUM(t.amount)', 'NULLIF(COUNT(t.transaction_id), 0)')} AS average_amount
-            FROM account a LEFT JOIN tx t ON a.account_id = t.account_id
-            GROUP BY a.account_id, a.account_type, a.account_status""",
+        f"""SELECT account_id, account_type, account_status, COUNT(transaction_id) AS transaction_count,
+        {GROSS} AS total_amount, {mean_sql('SUM(amount)', 'NULLIF(COUNT(transaction_id), 0)')} AS average_amount
+        FROM account LEFT JOIN tx USING (account_id) GROUP BY ALL""",
     ),
     "oq12_customer_accounts": (
         "customer_accounts",
-        """SELECT c.customer_id, c.customer_name, a.account_id, a.account_type, b.branch_name, b.city
-            FROM cust c JOIN account a ON c.customer_id = a.customer_id JOIN branch b ON a.branch_id = b.branch_id""",
+        """SELECT customer_id, customer_name, account_id, account_type, branch_name, city
+        FROM account JOIN cust USING (customer_id) JOIN branch USING (branch_id)""",
     ),
     "oq13_branch_by_type": (
         "branch_by_type",
-        f"""SELECT b.branch_id, b.branch_name, t.transaction_type, COUNT(t.transaction_id) AS transaction_count,
-            {dbl('SUM(t.amount)')} AS total_amount
-            FROM branch b JOIN account a ON b.branch_id = a.branch_id JOIN tx t ON a.account_id = t.account_id
-            GROUP BY b.branch_id, b.branch_name, t.transaction_type""",
+        f"""SELECT branch_id, branch_name, transaction_type, COUNT(*) AS transaction_count, {GROSS} AS total_amount
+        FROM {PLACED} GROUP BY ALL""",
     ),
     "oq14_above_average_customers": (
         "above_average_customers",
-        f"""SELECT t.customer_id, t.customer_name, {dbl('t.total')} AS total_amount,
-            {mean_sql('m.s', 'm.n')} AS average_customer_total
-            FROM totals t, (SELECT SUM(total) AS s, COUNT(*) AS n FROM totals) m
-            WHERE t.total * m.n > m.s""",
+        f"""SELECT customer_id, customer_name, {dbl('total')} AS total_amount, {mean_sql('m.s', 'm.n')} AS average_customer_total
+        FROM totals, (SELECT SUM(total) AS s, COUNT(*) AS n FROM totals) m WHERE total * m.n > m.s""",
     ),
     "oq15_customer_share": (
         "customer_share",
         f"""SELECT customer_id, customer_name, {dbl('total')} AS total_amount,
-            CAST((CAST(total * 100 AS HUGEINT) * 20000 + CAST(g.s * 100 AS HUGEINT))
-                 // (2 * CAST(g.s * 100 AS HUGEINT)) AS DOUBLE) / 100 AS percentage_of_total
-            FROM totals, (SELECT SUM(total) AS s FROM totals) g""",
+        CAST((CAST(total * 100 AS HUGEINT) * 20000 + CAST(g.s * 100 AS HUGEINT))
+             // (2 * CAST(g.s * 100 AS HUGEINT)) AS DOUBLE) / 100 AS percentage_of_total
+        FROM totals, (SELECT SUM(total) AS s FROM totals) g""",
     ),
 }
 
 FACT = """fact AS (
-    SELECT t.transaction_id, t.account_id, a.customer_id, a.branch_id,
-           CAST(strftime(t.transaction_date, '%Y%m%d') AS INTEGER) AS date_key,
-           t.transaction_date, t.transaction_type, t.amount, t.currency
-    FROM tx t JOIN account a ON a.account_id = t.account_id)"""
+    SELECT transaction_id, account_id, customer_id, branch_id,
+           CAST(strftime(transaction_date, '%Y%m%d') AS INTEGER) AS date_key,
+           transaction_date, transaction_type, amount, currency
+    FROM tx JOIN account USING (account_id))"""
 
 ANALYTICAL = {
     "aq1_by_branch": (
         "by_branch",
-        f"""SELECT b.branch_id, b.branch_name, COUNT(*) AS transaction_count, {dbl('SUM(amount)')} AS total_amount,
-            {dbl(NET)} AS net_cash_flow FROM fact f JOIN branch b ON b.branch_id = f.branch_id
-            GROUP BY b.branch_id, b.branch_name""",
+        f"""SELECT branch_id, branch_name, COUNT(*) AS transaction_count, {GROSS} AS total_amount, {dbl(NET)} AS net_cash_flow
+        FROM fact JOIN branch USING (branch_id) GROUP BY ALL""",
     ),
     "aq2_by_type": (
         "by_type",
-        f"""SELECT transaction_type, COUNT(*) AS transaction_count, {dbl('SUM(amount)')} AS total_amount
-            FROM fact GROUP BY transaction_type""",
+        f"SELECT transaction_type, COUNT(*) AS transaction_count, {GROSS} AS total_amount FROM fact GROUP BY ALL",
     ),
     "aq3_by_customer": (
         "by_customer",
-        f"""SELECT c.customer_id, c.customer_name, c.customer_segment, COUNT(*) AS transaction_count,
-            {dbl(CREDITS)} AS total_credits, {dbl(DEBITS)} AS total_debits, {dbl(NET)} AS net_cash_flow
-            FROM fact f JOIN cust c ON c.customer_id = f.customer_id
-            GROUP BY c.customer_id, c.customer_name, c.customer_segment""",
+        f"""SELECT customer_id, customer_name, customer_segment, COUNT(*) AS transaction_count, {dbl(CREDITS)} AS total_credits,
+        {dbl(DEBITS)} AS total_debits, {dbl(NET)} AS net_cash_flow FROM fact JOIN cust USING (customer_id) GROUP BY ALL""",
     ),
     "aq4_by_account": (
         "by_account",
-        f"""SELECT a.account_id, a.account_type, COUNT(*) AS transaction_count, {dbl('SUM(amount)')} AS total_amount
-            FROM fact f JOIN account a ON a.account_id = f.account_id GROUP BY a.account_id, a.account_type""",
+        f"""SELECT account_id, account_type, COUNT(*) AS transaction_count, {GROSS} AS total_amount
+        FROM fact JOIN (SELECT account_id, account_type FROM account) USING (account_id) GROUP BY ALL""",
     ),
     "aq5_by_date": (
         "by_date",
         f"""SELECT CAST(transaction_date AS VARCHAR) AS full_date, dayname(transaction_date) AS day_name,
-            COUNT(*) AS transaction_count, {dbl('SUM(amount)')} AS total_amount, {dbl(NET)} AS net_cash_flow
-            FROM fact GROUP BY transaction_date""",
+        COUNT(*) AS transaction_count, {GROSS} AS total_amount, {dbl(NET)} AS net_cash_flow
+        FROM fact GROUP BY transaction_date""",
     ),
     "aq6_by_segment_and_branch": (
         "by_segment_and_branch",
-        f"""SELECT c.customer_segment, b.branch_name, COUNT(*) AS transaction_count,
-            {dbl('SUM(amount)')} AS total_amount
-            FROM fact f JOIN cust c ON c.customer_id = f.customer_id JOIN branch b ON b.branch_id = f.branch_id
-            GROUP BY c.customer_segment, b.branch_name""",
+        f"""SELECT customer_segment, branch_name, COUNT(*) AS transaction_count, {GROSS} AS total_amount
+        FROM fact JOIN cust USING (customer_id) JOIN branch USING (branch_id) GROUP BY ALL""",
     ),
     "aq7_net_outflow_accounts": (
         "net_outflow_accounts",
-        f"""SELECT a.account_id, a.account_type, {dbl(CREDITS)} AS total_credits, {dbl(DEBITS)} AS total_debits,
-            {dbl(NET)} AS net_cash_flow
-            FROM fact f JOIN account a ON a.account_id = f.account_id GROUP BY a.account_id, a.account_type
-            HAVING {NET} < 0""",
+        f"""SELECT * FROM (SELECT account_id, account_type, {dbl(CREDITS)} AS total_credits, {dbl(DEBITS)} AS total_debits,
+        {dbl(NET)} AS net_cash_flow FROM fact JOIN (SELECT account_id, account_type FROM account) USING (account_id)
+        GROUP BY ALL) WHERE net_cash_flow < 0""",
     ),
 }
 
@@ -213,8 +192,8 @@ enriched AS (
     SELECT t.transaction_id, t.account_id, a.customer_id, c.customer_name, c.city, c.customer_segment,
            a.account_type, a.opened_date, a.account_status, t.transaction_date, t.amount, t.transaction_type,
            t.currency,
-           CASE WHEN t.transaction_type = 'DEPOSIT' THEN t.amount
-                WHEN t.transaction_type IN ('PURCHASE', 'WITHDRAWAL') THEN -t.amount END AS signed_amount
+           t.amount * CASE t.transaction_type WHEN 'DEPOSIT' THEN 1 WHEN 'PURCHASE' THEN -1 WHEN 'WITHDRAWAL' THEN -1 END
+               AS signed_amount
     FROM stg_t t JOIN stg_a a ON t.account_id = a.account_id JOIN stg_c c ON a.customer_id = c.customer_id)"""
 
 LAYER_ORACLES = {
@@ -232,8 +211,8 @@ LAYER_ORACLES = {
         FROM stg_a a LEFT JOIN stg_c c ON a.customer_id = c.customer_id""",
     "fct_daily_account_activity": f"""SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, account_id,
         COUNT(*) AS transaction_count,
-        {dbl("SUM(CASE WHEN transaction_type = 'DEPOSIT' THEN amount ELSE 0 END)")} AS total_deposits,
-        {dbl("SUM(CASE WHEN transaction_type IN ('PURCHASE', 'WITHDRAWAL') THEN amount ELSE 0 END)")} AS total_outflows,
+        {dbl("COALESCE(SUM(amount) FILTER (signed_amount = amount), 0)")} AS total_deposits,
+        {dbl("COALESCE(SUM(amount) FILTER (signed_amount = -amount), 0)")} AS total_outflows,
         {dbl('SUM(signed_amount)')} AS net_amount
         FROM enriched GROUP BY transaction_date, account_id""",
 }

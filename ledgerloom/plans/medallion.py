@@ -53,8 +53,7 @@ ORDER = ["file_date", "branch_id", "source_filename", "source_row_number"]
 GOLD_SQL = """
 SELECT branch_id, transaction_date, transaction_type,
        COUNT(*) AS transaction_count, SUM(amount) AS total_amount
-FROM {silver}
-GROUP BY branch_id, transaction_date, transaction_type
+FROM {silver} GROUP BY ALL
 """
 
 
