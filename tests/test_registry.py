@@ -8,13 +8,15 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_points
+from ledgerloom.catalog import registry
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+REGISTRY = registry()
+QUERIES, ORACLES = REGISTRY.queries, REGISTRY.oracles
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="driver tables are not here")
 
@@ -42,6 +44,7 @@ def comparable(columns, data):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)
