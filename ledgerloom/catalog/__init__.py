@@ -32,9 +32,9 @@ class Registry:
 
 
 def registry() -> Registry:
-    from ledgerloom.catalog import files, operators, quality, reports, state
+    from ledgerloom.catalog import files, operators, products, quality, reports, state
 
     reg = Registry()
-    for module in (reports, operators, quality, state, files):
+    for module in (reports, operators, quality, state, files, products):
         module.register(reg)
     return reg

@@ -20,8 +20,8 @@ from ledgerloom.operators.rules import (
 )
 
 FEED_SQL = f"""feed AS (
-    SELECT 'BR00' || l_linenumber || '_' || year(l_shipdate) || '0101_TRANSACTION.csv' AS source_file,
-           'BR00' || l_linenumber AS branch_id, make_date(year(l_shipdate), 1, 1) AS file_date,
+    SELECT 'BR00' || (l_linenumber + 10 * (l_orderkey // 200000)) || '_' || year(l_shipdate) || '0101_TRANSACTION.csv' AS source_file,
+           'BR00' || (l_linenumber + 10 * (l_orderkey // 200000)) AS branch_id, make_date(year(l_shipdate), 1, 1) AS file_date,
            l_partkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS place,
            CASE WHEN l_tax = 0 AND l_discount = 0 THEN '' ELSE 'T' || l_orderkey || '-' || l_linenumber END AS transaction_id,
            CASE WHEN l_quantity = 1 THEN '  ' ELSE CAST(l_orderkey AS VARCHAR) END AS account_id,
@@ -49,7 +49,9 @@ ruled AS (
 def feed(spark: SparkSession, folder: str) -> DataFrame:
     line = table(spark, folder, "lineitem")
     price = money(F.col("l_extendedprice")).cast("string")
-    branch = F.concat(F.lit("BR00"), F.col("l_linenumber").cast("string"))
+    # more orders make more branches, so a file stays small whatever the scale
+    number = F.col("l_linenumber") + 10 * F.floor(F.col("l_orderkey") / 200000)
+    branch = F.concat(F.lit("BR00"), number.cast("string"))
     year = F.year("l_shipdate")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     quantity, tax = F.col("l_quantity"), F.col("l_tax")

@@ -234,7 +234,11 @@ def register(reg) -> None:
             SELECT * FROM stored WHERE transaction_id NOT IN (SELECT transaction_id FROM written))
         SELECT transaction_id, account_id, CAST(d AS VARCHAR) AS transaction_date, transaction_type,
             {dbl('amount')} AS amount, currency, source_file FROM merged""",
-    )(lambda s, f: upsert.merged(stored_table(s, f), classified(s, f)))
+    )(
+        lambda s, f: upsert.merged(
+            stored_table(s, f), upsert.flag_rows(stored_table(s, f), daily_batch(s, f), solvent_suppliers(s, f))
+        )
+    )
     reg.add(
         "m_identical_files",
         f"""WITH {LOG_SQL}, prior AS (SELECT file_sha256, MIN((run_id, source_filename)) AS first FROM log

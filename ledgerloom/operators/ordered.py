@@ -103,7 +103,7 @@ def _scale(df: DataFrame, column: str) -> int:
 
 
 def rank_descending(df: DataFrame, column: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``RANK() OVER (ORDER BY column DESC)``: one plus the rows with a larger value.
+    """``RANK() OVER (ORDER BY column DESC NULLS LAST)``: one plus the rows with a larger value.
 
     Ties are counted before anything is ordered, so a value shared by most rows is one row here.
     ``df`` is computed once and kept in the shared folder for the passes over it.
@@ -118,7 +118,7 @@ def rank_descending(df: DataFrame, column: str, out: str, rows_per_bucket: int =
     above = running_sum(counts, ["__down"], "__ties", "__above", rows_per_bucket, inclusive=False)
     return (
         rows.join(above.select(column, "__above"), column, "left")
-        .withColumn(out, (F.col("__above") + 1).cast("long"))
+        .withColumn(out, (F.coalesce("__above", rows.agg(F.count(column)).scalar()) + 1).cast("long"))
         .drop("__above")
         .select(*df.columns, out)
     )

@@ -106,7 +106,7 @@ def with_run_lineage(df: DataFrame, run_id: str, loaded_at: Column) -> DataFrame
 
 
 def at_edge(df: DataFrame) -> DataFrame:
-    """Result columns for export: decimals as DOUBLE, dates as ISO text, order unchanged."""
+    """Result columns of a registered query: decimals as DOUBLE, dates as ISO text, order unchanged."""
     shown = []
     for field in df.schema.fields:
         kind = field.dataType.typeName()

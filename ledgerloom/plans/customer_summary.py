@@ -26,7 +26,6 @@ from ledgerloom.schemas import CUSTOMER_EXCEPTION_COLUMNS, TRANSACTION_COLUMNS
 from ledgerloom.session import materialize
 from ledgerloom.sinks.audit import utc_now, utc_text
 from ledgerloom.sinks.publish import publish
-from ledgerloom.operators.transforms import at_edge
 from ledgerloom.sources.delimited import EXTRA_VALUES, read_reference_csv
 from ledgerloom.streaming.dedup import first_accepted_wins, repeats_in_order
 
@@ -281,7 +280,7 @@ def build_customer_summary(
 def publish_customer_summary(built: CustomerSummary, base: str, version: str) -> tuple[int, int]:
     """Publish gold and exceptions as checked versions; returns their rows."""
     gold = publish(
-        built.gold, f"{base}/customer_360", version, ["customer_id"], ["customer_id"], at_edge(built.gold)
+        built.gold, f"{base}/customer_360", version, ["customer_id"], ["customer_id"]
     )
     shown = built.exceptions.withColumn("recorded_at", utc_text(F.col("recorded_at")))
     found = publish(

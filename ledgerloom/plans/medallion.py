@@ -24,7 +24,7 @@ from ledgerloom.operators.joins import with_unknown_flag
 from ledgerloom.operators.quality import assert_reconciled, reconcile_files
 from ledgerloom.operators.rules import ALREADY_ACCEPTED, UNKNOWN_ACCOUNT, value_rules
 from ledgerloom.operators.sets import same_rows
-from ledgerloom.operators.transforms import at_edge, typed_silver, with_run_lineage
+from ledgerloom.operators.transforms import typed_silver, with_run_lineage
 from ledgerloom.schemas import (
     BRONZE,
     EXCEPTIONS,
@@ -245,7 +245,7 @@ def publish_gold(store: Store, run_id: str, gold: DataFrame) -> int:
         run_id,
         required=GOLD.fieldNames(),
         order=["branch_id", "transaction_date", "transaction_type"],
-        export=at_edge(shaped),
+        export=shaped,
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import (
 )
 
 MONEY = DecimalType(18, 2)
+TOTAL = DecimalType(30, 2)
 
 
 def _struct(spec: str, types: dict | None = None) -> StructType:
@@ -70,7 +71,7 @@ EXCEPTIONS = _struct(
 )
 GOLD = _struct(
     "branch_id transaction_date transaction_type transaction_count total_amount",
-    {"transaction_date": DateType(), "transaction_count": LongType(), "total_amount": MONEY},
+    {"transaction_date": DateType(), "transaction_count": LongType(), "total_amount": TOTAL},
 )
 
 DIM_DATE = _struct(

@@ -1,17 +1,20 @@
 """Publish a table so that readers see the old version or the new one, never a mixture.
 
-Each version is written to its own folder and checked; a one-line pointer file, written last,
-names the current one. Any failure before that leaves the pointer, and so the readers, alone.
+Each version is written to its own folder and checked; a one-line pointer file, renamed into place
+last, names the current one. Any failure before that leaves the pointer, and so the readers, alone.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 POINTER = "CURRENT"
+PUBLISHED = "_PUBLISHED"
 
 # doubled quotes, values with their own white space, empty text and NULL both as nothing
 CSV_FORMAT = {
@@ -35,12 +38,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _write_pointer(spark: SparkSession, base: str, version: str) -> None:
-    store, target, jvm = _hadoop_path(spark, f"{base}/{POINTER}")
-    stream = store.create(target, True)
+    """Switch to ``version``: the pointer is written aside and renamed over the old one in one step."""
+    store, aside, jvm = _hadoop_path(spark, f"{base}/.{POINTER}-{uuid.uuid4().hex}")
+    stream = store.create(aside, False)
     try:
         stream.write(bytearray(version, "utf-8"))
     finally:
         stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    target = store.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}"))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(store.makeQualified(aside), target, options)
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
@@ -58,6 +68,17 @@ def read_current(spark: SparkSession, base: str, schema: StructType | None = Non
     return reader.parquet(f"{base}/{version}/table")
 
 
+def plain_numbers(df: DataFrame) -> DataFrame:
+    """Decimals as text without an exponent: at least one place, no zeros after it."""
+    shown = []
+    for field in df.schema.fields:
+        col = F.col(f"`{field.name}`")
+        if field.dataType.typeName() == "decimal" and field.dataType.scale > 0:
+            col = F.regexp_replace(col.cast("string"), r"(\.[0-9]+?)0+\z", "$1").alias(field.name)
+        shown.append(col)
+    return df.select(*shown)
+
+
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """CSV export in range-partitioned order: part files follow each other, each with a header.
 
@@ -68,6 +89,7 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
         shown = df.orderBy(*order)
     elif df.isEmpty():
         shown = df.coalesce(1)
+    shown = plain_numbers(shown)
     shown.write.mode("overwrite").csv(path, header=True, **CSV_FORMAT)
 
 
@@ -81,10 +103,13 @@ def publish(
 ) -> int:
     """Write ``df`` as ``version`` (parquet and CSV), check it, then switch to it. Returns its rows.
 
-    ``required`` columns must hold no NULL. ``export`` is the CSV form when it differs.
+    ``required`` columns must hold no NULL. ``export`` is the CSV form when it differs. A version that
+    was published is never written again: readers may still hold it.
     """
     spark = df.sparkSession
     home = f"{base.rstrip('/')}/{version}"
+    if path_exists(spark, f"{home}/{PUBLISHED}"):
+        raise FileExistsError(f"version {version} of {base} is already published")
     df.write.mode("overwrite").parquet(f"{home}/table")
     written = spark.read.schema(df.schema).parquet(f"{home}/table")
     bad = [F.count_if(F.col(c).isNull()).alias(c) for c in required or []]
@@ -95,6 +120,8 @@ def publish(
     if export is None or export is df:
         export = written
     write_csv(export, f"{home}/csv", order)
+    store, mark, _ = _hadoop_path(spark, f"{home}/{PUBLISHED}")
+    store.create(mark, True).close()
     _write_pointer(spark, base.rstrip("/"), version)
     return facts["__rows"]
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.transforms import at_edge
-from ledgerloom.sinks.publish import write_csv
+from ledgerloom.sinks.publish import current_csv, publish, read_current, write_csv
 
 # Report columns and output names.
 REPORT_COLUMNS = ["branch_id", "transaction_count", "gross_amount", "net_cash_flow"]
@@ -38,14 +39,16 @@ def report_totals(summary: DataFrame) -> DataFrame:
     )
 
 
-def write_branch_report(summary: DataFrame, base: str) -> dict:
-    """Ordered CSV report and its totals. Writing the same summary again gives the same bytes."""
-    path = f"{base.rstrip('/')}/{REPORT_OUTPUT}"
-    # one row per branch: a single ordered part keeps the file stable
-    write_csv(at_edge(summary.select(*REPORT_COLUMNS)), path, ["branch_id"])
-    totals = report_totals(summary).first()
+def write_branch_report(summary: DataFrame, base: str, version: str | None = None) -> dict:
+    """Publish the ordered report and give its totals, taken from the written rows.
+
+    A reader sees the old report or the new one. ``path`` is the folder of the CSV.
+    """
+    home, spark = f"{base.rstrip('/')}/{REPORT_OUTPUT}", summary.sparkSession
+    publish(summary.select(*REPORT_COLUMNS), home, version or f"v-{uuid.uuid4().hex}", ["branch_id"], ["branch_id"])
+    totals = report_totals(read_current(spark, home)).first()
     return {
-        "path": path,
+        "path": current_csv(spark, home),
         "rows": totals["rows"],
         "transaction_count": totals["transaction_count"],
         "net_cash_flow": float(totals["net_cash_flow"]),

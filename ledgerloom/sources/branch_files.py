@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ledgerloom.functions.text import na_to_null
 from ledgerloom.operators.sets import stack
 from ledgerloom.schemas import TRANSACTION_COLUMNS
-from ledgerloom.sources.delimited import csv_fields, opens_quote
+from ledgerloom.sources.delimited import FIELD_LIMIT, csv_fields, number_lines, opens_quote, read_lines
 from ledgerloom.sources.files import find_branch_files
 
 # File error texts.
@@ -46,6 +46,24 @@ def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+def _joined_widths(spark: SparkSession, paths: list[str]) -> dict[str, tuple[int, bool]]:
+    """Longest record and whether one is oversize, of files whose quoted values span lines; one short row per file."""
+    if not paths:
+        return {}
+    width = F.max(F.size(csv_fields(F.col("line")))).alias("width")
+    found = read_lines(spark, paths).groupBy("source_filename").agg(width, F.bool_or("oversize").alias("oversize"))
+    return {r.source_filename: (r.width, r.oversize) for r in found.collect()}
+
+
+def _joined_rows(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
+    """Rows of files whose quoted values span lines, by position; the files are read split."""
+    records = number_lines(read_lines(spark, paths)).filter(F.col("record_number").isNotNull())
+    fields = records.withColumn("fields", csv_fields(F.col("line")))
+    return fields.select(
+        *[na_to_null(F.get("fields", i)).alias(n) for i, n in enumerate(names)], F.col("source_filename").alias("source_file")
+    )
+
+
 def _names(header: str) -> list[str]:
     """Header names; a repeated name gets a running suffix."""
     seen: dict[str, int] = defaultdict(int)
@@ -64,16 +82,21 @@ def file_report(spark: SparkSession, folder: str) -> DataFrame:
     found = find_branch_files(spark, folder)
     paths = [r.path for r in found.select("path").collect()]
     probed = found.join(_probe(spark, paths), F.col("filename") == F.col("file"), "left")
+    listed = probed.select("filename", "path", "header", "width", "open_quotes").collect()
+    joined = _joined_widths(spark, [r.path for r in listed if r.open_quotes])
     rows = []
-    for r in probed.select("filename", "path", "header", "width", "open_quotes").collect():
+    for r in listed:
         error = None
         if r.header is None:
             error = UNREADABLE + "No columns to parse from file"
         else:
             names = _names(r.header)
             absent = [c for c in TRANSACTION_COLUMNS if c not in names]
-            if not r.open_quotes and r.width > len(names):
-                error = f"{UNREADABLE}Expected {len(names)} fields, saw {r.width}"
+            width, oversize = joined.get(r.filename, (r.width, False))
+            if oversize:
+                error = f"{UNREADABLE}field larger than field limit ({FIELD_LIMIT})"
+            elif width > len(names):
+                error = f"{UNREADABLE}Expected {len(names)} fields, saw {width}"
             elif absent:
                 error = MISSING_COLUMNS + ", ".join(absent)
         rows.append((r.filename, r.path, r.header, r.open_quotes, error))
@@ -83,8 +106,7 @@ def file_report(spark: SparkSession, folder: str) -> DataFrame:
 def read_branch_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(rows of all readable files, file report). No readable file at all is an error.
 
-    Files with the same header are one scan; only a file whose quoted values span lines is read
-    unsplit. Columns beyond the six are kept and NULL for files that lack them.
+    Files with the same header are one scan, and every file is read split. Columns beyond the six are kept and NULL for files that lack them.
     """
     report = file_report(spark, folder)
     groups: dict[tuple[str, bool], list[str]] = defaultdict(list)
@@ -95,10 +117,11 @@ def read_branch_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     frames = []
     for (header, multi_line), paths in sorted(groups.items()):
         names = _names(header)
+        if multi_line:
+            frames.append(_joined_rows(spark, paths, names))
+            continue
         schema = StructType([StructField(n, StringType()) for n in names])
-        scan = spark.read.csv(
-            paths, schema=schema, header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=True
-        )
+        scan = spark.read.csv(paths, schema=schema, header=True, quote='"', escape='"', enforceSchema=True)
         frames.append(
             scan.select(
                 *[na_to_null(F.col(f"`{n}`")).alias(n) for n in names],

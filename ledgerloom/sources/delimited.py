@@ -13,11 +13,15 @@ from ledgerloom.functions.text import is_missing, strip
 from ledgerloom.schemas import TRANSACTION_COLUMNS
 from ledgerloom.session import materialize
 
-# Fixed value: longest record with quoted line breaks
-RECORD_LIMIT = 131_072
+# Fixed value: longest value of a delimited file, in characters; a longer one is a fault of its file
+FIELD_LIMIT = 131_072
+# a record of several lines beyond this surely holds such a value, and is not put together
+JOIN_LIMIT = 64 * FIELD_LIMIT
 
-_QUOTED_FIELDS = r',(?:"(?:[^"]|"")*"[^,]*|[^,]*)'
-_QUOTED_FIELD = r'^"((?:[^"]|"")*)"([^,]*)\z'
+# possessive loops: the regex engine recurses on the others, once for every character
+_QUOTED_FIELDS = r',(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
+_QUOTED_FIELD = r'^"([^"]*+(?:""[^"]*+)*+)"([^,]*+)\z'
+_CLOSED_QUOTES = r'(^|,)"[^"]*+(?:""[^"]*+)*+"'
 
 
 def csv_fields(line: Column) -> Column:
@@ -38,7 +42,7 @@ def opens_quote(line: Column) -> Column:
 
     A quote opens a value only at its start; one inside an unquoted value is plain text.
     """
-    left = F.regexp_replace(line, r'(^|,)"(?:[^"]|"")*"', "$1")
+    left = F.regexp_replace(line, _CLOSED_QUOTES, "$1")
     return F.contains(line, F.lit('"')) & left.rlike(r'(^|,)"')
 
 
@@ -47,12 +51,12 @@ def join_quoted_lines(lines: DataFrame) -> DataFrame:
 
     Only files that have such values are touched. Whether a line starts inside quotes follows
     from the number of quotes before it: a running count inside each block plus the blocks' totals.
-    A record longer than :data:`RECORD_LIMIT` - mostly a quote that is never closed - is an error,
-    so no group can grow without bound.
+    A record longer than :data:`JOIN_LIMIT` - mostly a quote that is never closed - is one row with
+    ``oversize`` set and no text, so no group can grow without bound.
     """
     files = materialize(lines.filter(opens_quote(F.col("line"))).select("source_filename").distinct(), "quoted")
     if files.isEmpty():
-        return lines
+        return lines.withColumn("oversize", F.lit(False))
     place = ["source_filename", "block"]
     in_block = Window.partitionBy(*place).orderBy("seq")
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -76,36 +80,44 @@ def join_quoted_lines(lines: DataFrame) -> DataFrame:
         .join(carried, place)
         .withColumn("start", F.coalesce("start", "carried"))
     )
-    long = (
-        records.groupBy("source_filename", "start")
-        .agg(F.sum(F.length("line") + 1).alias("chars"))
-        .filter(F.col("chars") > RECORD_LIMIT)
-        .agg(F.min("source_filename").alias("f"))
-        .first()
-    )
-    if long.f:
-        raise ValueError(f"{long.f}: record larger than the limit of {RECORD_LIMIT} characters")
+    # the size of a record is known before its lines meet
+    size = records.groupBy("source_filename", "start").agg(F.sum(F.length("line") + 1).alias("chars"))
+    large = size.filter(F.col("chars") > JOIN_LIMIT)
     parts = F.array_sort(F.collect_list(F.struct("block", "seq", "line")))
-    joined = records.groupBy("source_filename", "start").agg(parts.alias("parts")).select(
-        "source_filename", "start.block", "start.seq",
-        F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"),
+    joined = (
+        records.join(large, ["source_filename", "start"], "left_anti")
+        .groupBy("source_filename", "start")
+        .agg(parts.alias("parts"))
+        .select(
+            "source_filename", "start.block", "start.seq",
+            F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"),
+            F.lit(False).alias("oversize"),
+        )
     )
-    return lines.join(files, "source_filename", "left_anti").unionByName(joined)
+    unread = large.select("source_filename", "start.block", "start.seq", F.lit("").alias("line"), F.lit(True).alias("oversize"))
+    whole = lines.join(files, "source_filename", "left_anti").withColumn("oversize", F.lit(False))
+    return whole.unionByName(joined).unionByName(unread)
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of the files with their place: (source_filename, block, seq, line).
+    """Records of the files with their place: (source_filename, block, seq, line, oversize).
+
+    Lines end at a line feed; a carriage return before it belongs to the line end only where the record
+    ends, so a quoted value keeps its own line ends. ``oversize`` marks a record with a value beyond
+    :data:`FIELD_LIMIT`, whether it lies on one line or on several.
 
     Written once to the shared folder: ``seq`` depends on how the scan was split, so every later
     step has to see the same numbers. Inside a (file, block) it grows with the line order.
     """
-    raw = spark.read.text(paths).select(
+    raw = spark.read.text(paths, lineSep="\n").select(
         F.col("_metadata.file_name").alias("source_filename"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
-    return join_quoted_lines(materialize(raw, "lines"))
+    records = join_quoted_lines(materialize(raw, "lines")).withColumn("line", F.regexp_replace("line", "\r\\z", ""))
+    wide = F.exists(csv_fields(F.col("line")), lambda v: F.char_length(v) > FIELD_LIMIT)
+    return records.withColumn("oversize", F.col("oversize") | ((F.length("line") > FIELD_LIMIT) & wide))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -119,7 +131,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = lines.withColumn("n", F.row_number().over(in_block))
     header = (F.col("block") == 0) & (F.col("n") == 1)
-    local = local.withColumn("is_record", ~header & (F.col("line") != ""))
+    local = local.withColumn("is_record", ~header & (F.col("oversize") | (F.col("line") != "")))
     local = local.withColumn("r", F.count_if("is_record").over(upto))
     # one row per block: the running window over a file's blocks stays small
     before = Window.partitionBy("source_filename").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,9 +149,16 @@ def number_lines(lines: DataFrame) -> DataFrame:
         "line",
         (F.col("lines_before") + F.col("n")).alias("line_number"),
         F.when(F.col("is_record"), F.col("records_before") + F.col("r")).alias("record_number"),
+        "oversize",
     )
 
 
+def _readable(oversize: Column, value: Column) -> Column:
+    """The value, or a failure of the query when it comes from an oversize record."""
+    text = F.lit(f"field larger than field limit ({FIELD_LIMIT})")
+    return F.when(oversize, F.raise_error(text).cast("string")).otherwise(value)
+
+
 def _without_bom(line: Column) -> Column:
     return F.regexp_replace(line, "^\ufeff", "")
 
@@ -173,7 +192,7 @@ def strict_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     size = F.size("fields")
     counted = records.groupBy("source_filename").agg(
         F.count("*").alias("source_rows"),
-        F.min(F.when(size != width, F.struct("record_number", size.alias("fields")))).alias("bad"),
+        F.min(F.when(F.col("oversize") | (size != width), F.struct("record_number", size.alias("fields"), "oversize"))).alias("bad"),
     )
     expected = F.array(*[F.lit(c) for c in TRANSACTION_COLUMNS])
     bad_header = F.concat(F.lit(": header does not match "), F.lit(",".join(TRANSACTION_COLUMNS)))
@@ -181,7 +200,12 @@ def strict_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
         F.lit(": data row "), F.col("bad.record_number"), F.lit(" has "), F.col("bad.fields"),
         F.lit(f" fields, expected {width}"),
     )
-    fault = F.when(F.col("header") != expected, bad_header).when(F.col("bad").isNotNull(), bad_row)
+    too_long = F.lit(f": field larger than field limit ({FIELD_LIMIT})")
+    fault = (
+        F.when(F.col("header") != expected, bad_header)
+        .when(F.col("bad.oversize"), too_long)
+        .when(F.col("bad").isNotNull(), bad_row)
+    )
     findings = (
         headers(numbered)
         .join(counted, "source_filename", "left")
@@ -233,7 +257,7 @@ def read_reference_csv(spark: SparkSession, path: str, required: list[str]) -> D
         raise ValueError(f"{name} is missing required columns: {missing}")
 
     width = len(header)
-    rows = numbered.filter(F.col("line_number") > 1).withColumn("fields", csv_fields(F.col("line")))
+    rows = numbered.filter(F.col("line_number") > 1).withColumn("fields", csv_fields(_readable(F.col("oversize"), F.col("line"))))
     rows = rows.filter(F.exists("fields", lambda v: ~is_missing(v)))
     size = F.size("fields")
     issue = F.concat(F.lit("row has "), size, F.lit(f" values; expected {width}"))
@@ -254,7 +278,9 @@ def read_daily_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows of daily files by header name with source_file and row_no; a missing column is NULL."""
     numbered = materialize(number_lines(read_lines(spark, paths)), "daily")
     rows = numbered.filter(F.col("record_number").isNotNull())
-    named = rows.join(headers(numbered), "source_filename").withColumn("fields", csv_fields(F.col("line")))
+    named = rows.join(headers(numbered), "source_filename").withColumn(
+        "fields", csv_fields(_readable(F.col("oversize"), F.col("line")))
+    )
 
     def value(column: str) -> Column:
         place = F.array_position("header", column)

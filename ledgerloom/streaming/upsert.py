@@ -19,72 +19,72 @@ STATE = [c for c in TRANSACTION_COLUMNS if c != "transaction_id"] + ["source_fil
 ROWS_PER_CHUNK = 1_000_000
 
 
-def classify(
-    target: DataFrame, batch: DataFrame, accounts: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """What every batch row does to ``target``: adds ``outcome`` and ``writes``.
+def flag_rows(target: DataFrame, batch: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The normalized batch with ``stored`` state, ``stale`` and ``writes``, written to the shared folder once.
 
-    ``batch`` is all text plus source_file and row_no (position in its file); rows count in
-    (source_file, row_no) order. A row of an older file than the stored one is stale. A row that
-    would be written but names an unknown account is rejected. ``unchanged`` compares all columns
-    including source_file.
-
-    A row's predecessor is found in two steps, so no id is ever one task's work: inside a chunk
-    of one file (bounded by ``rows_per_chunk``), and between chunks, where an id has one row per
-    file chunk at most. The batch with its flags is written to the shared folder once.
+    ``batch`` is all text plus source_file and row_no (position in its file). A row of an older file
+    than the stored one is stale. A row that would be written but names an unknown account is rejected.
     """
     rows = with_unknown_flag(normalized(batch), accounts, "account_id", "unknown_account")
     ids = rows.select("transaction_id").distinct()
     stored = target.join(ids, "transaction_id", "left_semi").select(
         F.col("transaction_id").alias("__stored_id"), F.struct(*STATE).alias("stored")
     )
-    rows = rows.join(stored, F.col("transaction_id") == F.col("__stored_id"), "left").drop("__stored_id")
-
+    # an unreadable row has no stored state to meet, and a blank id shared by many is no join key
     readable = F.col("reject_reason").isNull()
-    stale = F.coalesce(F.col("source_file") < F.col("stored.source_file"), F.lit(False))
-    rows = rows.withColumns(
-        {
-            "stale": readable & stale,
-            "writes": readable & ~stale & ~F.col("unknown_account") & F.col("account_id").isNotNull(),
-            "state": F.struct(*STATE),
-            "chunk": F.floor(F.col("row_no") / rows_per_chunk),
-        }
+    key = F.when(readable, F.col("transaction_id"))
+    rows = rows.join(stored, key == F.col("__stored_id"), "left").drop("__stored_id")
+    stale = readable & F.coalesce(F.col("source_file") < F.col("stored.source_file"), F.lit(False))
+    flagged = rows.withColumns(
+        {"stale": stale, "writes": readable & ~stale & ~F.col("unknown_account") & F.col("account_id").isNotNull()}
     )
-    # read by the window, by the chunk ends and by every later use of the outcome
-    rows = materialize(rows, "batch")
-    written = F.when(F.col("writes"), F.col("state"))
-    spot = ["transaction_id", "source_file", "chunk"]
-    inside = Window.partitionBy(*spot).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    between = (
-        Window.partitionBy("transaction_id")
-        .orderBy("source_file", "chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(flagged.drop("unknown_account"), "batch")
+
+
+def classify(
+    target: DataFrame, batch: DataFrame, accounts: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """What every batch row does to ``target``: adds ``outcome`` and ``writes``."""
+    return outcomes(flag_rows(target, batch, accounts), rows_per_chunk)
+
+
+def outcomes(flagged: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """``outcome`` of every flagged row; rows count in (source_file, row_no) order.
+
+    ``unchanged`` compares all columns including source_file. Only rows that write take part in the
+    search for a predecessor. It runs in two steps, so no id is ever one task's work: inside a chunk
+    of one file (bounded by ``rows_per_chunk``), and between chunks, where an id has one row per file
+    chunk at most.
+    """
+    shown = ["transaction_id", *STATE, "row_no", "reject_reason", "writes", "outcome"]
+    idle = flagged.filter(~F.col("writes")).withColumn("outcome", F.when(F.col("stale"), STALE).otherwise(REJECTED))
+    rows = flagged.filter("writes").withColumns(
+        {"state": F.struct(*STATE), "chunk": F.floor(F.col("row_no") / rows_per_chunk)}
     )
+    spot = ["transaction_id", "source_file", "chunk"]
+    inside = Window.partitionBy(*spot).orderBy("row_no")
+    between = Window.partitionBy("transaction_id").orderBy("source_file", "chunk")
     ends = (
         rows.groupBy(*spot)
-        .agg(F.max(F.when(F.col("writes"), F.struct("row_no", "state"))).alias("end"))
-        .select(*spot, F.last("end.state", ignorenulls=True).over(between).alias("carried"))
+        .agg(F.max_by("state", "row_no").alias("end"))
+        .select(*spot, F.lag("end").over(between).alias("carried"))
         .filter(F.col("carried").isNotNull())
     )
-    rows = rows.withColumn("near", F.last(written, ignorenulls=True).over(inside))
-    rows = rows.join(ends, spot, "left")
+    rows = rows.withColumn("near", F.lag("state").over(inside)).join(ends, spot, "left")
     prior = F.coalesce("near", "carried", "stored")
     outcome = (
-        F.when(F.col("stale"), STALE)
-        .when(~F.col("writes"), REJECTED)
-        .when(prior.isNull(), INSERTED)
-        .when(prior.eqNullSafe(F.col("state")), UNCHANGED)
-        .otherwise(UPDATED)
-    )
-    return rows.withColumn("outcome", outcome).select(
-        "transaction_id", *STATE, "row_no", "reject_reason", "writes", "outcome"
+        F.when(prior.isNull(), INSERTED).when(prior.eqNullSafe(F.col("state")), UNCHANGED).otherwise(UPDATED)
     )
+    return rows.withColumn("outcome", outcome).select(*shown).unionByName(idle.select(*shown))
 
 
-def merged(target: DataFrame, classified: DataFrame) -> DataFrame:
-    """``target`` after the batch: per id the last write in (source_file, row_no) order."""
+def merged(target: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``target`` after the batch: per id the last write in (source_file, row_no) order.
+
+    ``flagged`` is what :func:`flag_rows` or :func:`classify` gives; the former is cheaper.
+    """
     last = (
-        classified.filter("writes")
+        flagged.filter("writes")
         .groupBy("transaction_id")
         .agg(F.max(F.struct("source_file", "row_no", F.struct(*STATE).alias("state"))).alias("last"))
         .select("transaction_id", "last.state.*")

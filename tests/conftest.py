@@ -24,7 +24,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def bank(spark):
-    """The operational tables after the corrections: 20 transactions."""
+    """The operational tables with all transactions."""
     import fixtures
 
     return fixtures.bank(spark)
@@ -32,7 +32,7 @@ def bank(spark):
 
 @pytest.fixture(scope="session")
 def first_day(spark):
-    """The operational tables of the first day: 10 transactions."""
+    """The operational tables with the transactions of the first day."""
     import fixtures
 
     return fixtures.bank(spark, fixtures.FIRST_DAY)

@@ -1,79 +1,116 @@
 """Customer summary, layered models and sinks."""
 
+import json
+from decimal import Decimal
+
 import pytest
-from fixtures import BRANCH_FILES, C360_ACCOUNTS, C360_CUSTOMERS, LATER_BRANCH_FILES, bank, rows, write_lines
+from fixtures import ACCOUNTS, CUSTOMERS, Ledger, bank, branch_files, half_up, rows, write_lines
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import rules as R
 from ledgerloom.plans import customer_summary as C
 from ledgerloom.plans import layered
 from ledgerloom.plans.medallion import Store, run_medallion
 from ledgerloom.schemas import SEED_ACCOUNT, SEED_CUSTOMER, SEED_TRANSACTION
-from ledgerloom.sinks.publish import current_version, publish, read_current, write_checked_parquet
+from ledgerloom.sinks.publish import current_csv, current_version, publish, read_current, write_checked_parquet
+
+
+FILES = branch_files(8, days=4)
+# references: a customer without a name, a repeat, an account of nobody, one of an unknown customer
+PEOPLE = [(c[0], c[1], c[3]) for c in CUSTOMERS] + [("K08", "", "HOME"), ("K01", "Holder again", "CORP")]
+OWNED = [*ACCOUNTS, ("P13", "K99", "N10", "CURRENT", "OPEN"), ("P14", "K02", "", "CURRENT", "OPEN")]
 
 
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
-    base = tmp_path_factory.mktemp("c360")
+    base = tmp_path_factory.mktemp("summary")
     landing = base / "landing"
     landing.mkdir()
-    for name, lines in {**BRANCH_FILES, **LATER_BRANCH_FILES}.items():
+    for name, lines in FILES.items():
         write_lines(landing, name, lines)
     store = Store(spark, str(base / "store"))
     assert run_medallion(spark, str(landing), store.base, bank(spark).account)["status"] == "SUCCESS"
-    write_lines(base, "customers.csv", C360_CUSTOMERS[1:], header=C360_CUSTOMERS[0])
-    write_lines(base, "accounts.csv", C360_ACCOUNTS[1:], header=C360_ACCOUNTS[0])
+    write_lines(base, "customers.csv", PEOPLE, header=",".join(C.CUSTOMER_COLUMNS))
+    write_lines(base, "accounts.csv", OWNED, header=",".join(C.ACCOUNT_COLUMNS))
     result = C.build_customer_summary(
         spark, str(base / "customers.csv"), str(base / "accounts.csv"), store.silver(), store.exceptions())
     return result, base
 
 
-def test_gold(built):
-    assert rows(built[0].gold.orderBy("customer_id")) == [
-        ("C001", "Maya Patel", 2, 5, 870.5, "2026-09-08"), ("C002", "Daniel Kim", 1, 2, 315.0, "2026-09-07"),
-        ("C003", "Grace Lee", 1, 0, 0.0, None), ("C004", "Sofia Martinez", 2, 5, 1570.0, "2026-09-07"),
-        ("C005", "Noah Williams", 1, 3, 150.0, "2026-09-09"), ("C006", "Ava Thompson", 2, 4, 1910.0, "2026-09-10"),
-        ("C007", "Ethan Brown", 2, 4, 620.5, "2026-09-07")]
+@pytest.fixture(scope="module")
+def ledger():
+    done = Ledger(a[0] for a in ACCOUNTS)
+    done.deliver(FILES)
+    return done
+
 
+def gold_rows(ledger):
+    """Per customer: accounts, transactions, total and latest day."""
+    out = []
+    for cid, name, *_ in CUSTOMERS:
+        own = {a[0] for a in ACCOUNTS if a[1] == cid}
+        mine = [r for r in ledger.accepted.values() if r[1] in own]
+        total = sum((half_up(r[4]) for r in mine), Decimal(0))
+        out.append((cid, name, len(own), len(mine), float(total), max((r[2] for r in mine), default=None)))
+    return out
 
-def test_exceptions(built):
+
+def test_gold(built, ledger):
+    assert rows(built[0].gold.orderBy("customer_id")) == gold_rows(ledger)
+
+
+def test_exceptions(built, ledger):
     found = {(r.source_filename, r.source_row_number): r for r in built[0].exceptions.collect()}
-    assert len(found) == 17
-    orphan = found[("accounts.csv", 13)]
-    assert (orphan.entity_type, orphan.customer_id, orphan.account_id, orphan.transaction_id) == ("ACCOUNT", "C999", "A9999", None)
-    assert orphan.rejection_reasons == "customer_id not found in customers reference"
-    assert orphan.raw_record == (
-        '{"account_id":"A9999","account_status":"ACTIVE","account_type":"CHECKING","branch_id":"BR001","customer_id":"C999"}')
-    late = found[("BR001_20260908_TRANSACTION.csv", 1)]
-    assert (late.customer_id, late.account_id, late.transaction_id) == ("C001", "A1001", "T1001")
-    blank = found[("BR002_20260906_TRANSACTION.csv", 8)]
-    assert (blank.customer_id, blank.account_id) == (None, None)
-    assert len({r.exception_id for r in found.values()}) == 17
-
-
-def test_summary_figures(built):
+    imported = {(name, place): reasons for name, place, _, reasons in ledger.rejected}
+    assert set(found) == set(imported) | {("customers.csv", 9), ("customers.csv", 10), ("accounts.csv", 14), ("accounts.csv", 15)}
+    for place, reasons in imported.items():
+        assert reasons in found[place].rejection_reasons and found[place].entity_type == "TRANSACTION"
+    orphan = found["accounts.csv", 14]
+    assert (orphan.entity_type, orphan.customer_id, orphan.account_id, orphan.transaction_id) == ("ACCOUNT", "K99", "P13", None)
+    assert orphan.rejection_reasons == R.CUSTOMER_UNKNOWN
+    assert json.loads(orphan.raw_record) == dict(zip(C.ACCOUNT_COLUMNS, OWNED[12]))
+    assert found["customers.csv", 9].rejection_reasons == R.CUSTOMER_NAME_MISSING
+    assert found["customers.csv", 10].rejection_reasons == R.CUSTOMER_REPEATED
+    owner = {a[0]: a[1] for a in ACCOUNTS}
+    for (name, place), r in found.items():
+        if name in FILES:
+            account = FILES[name][place - 1][1]
+            assert r.customer_id == owner.get(account)
+    assert len({r.exception_id for r in found.values()}) == len(found)
+
+
+def test_summary_figures(built, ledger):
     got = {r.metric: r.value for r in built[0].summary.collect()}
-    assert got["customers_loaded"] == "7" and got["accounts_loaded"] == "11" and got["exceptions_total"] == "17"
-    assert got["exceptions_by_entity: ACCOUNT"] == "1" and got["exceptions_by_entity: TRANSACTION"] == "16"
-    assert got["mapped_silver_transactions"] == "23" and got["gold_total_amount"] == "5436.00"
-    assert got["unmapped_silver_transactions"] == "0"
+    total = sum((half_up(r[4]) for r in ledger.accepted.values()), Decimal(0))
+    expected = {
+        "customers_loaded": 7, "accounts_loaded": 12, "exceptions_total": len(ledger.rejected) + 4,
+        "exceptions_by_entity: ACCOUNT": 2, "exceptions_by_entity: CUSTOMER": 2,
+        "exceptions_by_entity: TRANSACTION": len(ledger.rejected),
+        "mapped_silver_transactions": len(ledger.accepted), "unmapped_silver_transactions": 0, "gold_total_amount": total,
+    }
+    assert {k: got[k] for k in expected} == {k: str(v) for k, v in expected.items()}
 
 
-def test_lookup(spark, built):
-    gold = built[0].gold
-    assert rows(C.customer_lookup(gold, " C001 ")) == [("C001", 2, 5, 870.5)]
-    assert rows(C.customer_lookup(gold, "C003")) == [("C003", 1, 0, 0.0)]
-    for unknown in ("C999", "C001' OR '1'='1", "C001%27%20OR%20%271%27%3D%271"):
+def test_lookup(spark, built, ledger):
+    gold, shown = built[0].gold, {r[0]: [(r[0], *r[2:5])] for r in gold_rows(ledger)}
+    assert rows(C.customer_lookup(gold, " K01 ")) == shown["K01"]
+    assert rows(C.customer_lookup(gold, "K%30%35")) == shown["K05"]
+    for unknown in ("K99", "K01' OR 'a'='a", "K01%22%20OR%201"):
         assert rows(C.customer_lookup(gold, unknown)) == []
-    with pytest.raises(ValueError, match="Customer ID is required"):
-        C.customer_lookup(gold, "%20")
-    ids = spark.createDataFrame([(" C002 ",), ("C404",), ("C002",)], "customer_id string")
-    assert rows(C.customer_lookups(gold, ids)) == [("C002", 1, 2, 315.0)]
+    for empty in ("", " ", "%20%20"):
+        with pytest.raises(ValueError, match="Customer ID is required"):
+            C.customer_lookup(gold, empty)
+    ids = spark.createDataFrame([(" K02 ",), ("K77",), ("K02",)], "customer_id string")
+    assert rows(C.customer_lookups(gold, ids)) == shown["K02"]
 
 
-def test_publish_summary(built, spark):
+def test_publish_summary(built, spark, ledger):
     result, base = built
-    assert C.publish_customer_summary(result, str(base / "out"), "v1") == (7, 17)
-    assert read_current(spark, str(base / "out" / "customer_360")).count() == 7
+    home = str(base / "out")
+    assert C.publish_customer_summary(result, home, "v1") == (7, len(ledger.rejected) + 4)
+    assert read_current(spark, f"{home}/customer_360").count() == 7
+    with pytest.raises(FileExistsError, match="already published"):
+        C.publish_customer_summary(result, home, "v1")
 
 
 def test_reference_repeats_and_faults(spark):
@@ -97,25 +134,22 @@ def test_reference_repeats_and_faults(spark):
 
 def test_gold_that_does_not_reconcile(built):
     result, _ = built
-    silver = result.gold.limit(0).select(F.lit("A1001").alias("account_id"), F.lit(1).cast("decimal(18,2)").alias("amount"))
+    silver = result.gold.limit(0).select(F.lit("P01").alias("account_id"), F.lit(1).cast("decimal(18,2)").alias("amount"))
     figures = C.reconcile(result.gold, silver, result.accounts).first()
     with pytest.raises(ValueError, match="Customer 360 reconciliation failed"):
         C.assert_gold_reconciled(figures)
 
 
-# --- layered models: every third account is a savings account, and so on ---
+# --- layered models ---
 
 
 def seeds(spark):
-    customers = spark.createDataFrame(
-        [(f"C{i:03d}", f" Name {i} ", "Chicago ", " Retail") for i in range(1, 13)], SEED_CUSTOMER)
-    accounts = spark.createDataFrame(
-        [(f"A{i:03d}", f"C{(i - 1) % 12 + 1:03d}", "Checking ", "2026-02-02", " active") for i in range(1, 16)], SEED_ACCOUNT)
-    kinds = [("28.50", " purchase"), ("45.00", "WITHDRAWAL "), ("320.00", "Deposit"), ("12.75", "PURCHASE"),
-             ("70.00", "WITHDRAWAL"), ("150.00", "DEPOSIT")]
+    """Padded and mixed-case seeds; transaction i has kind i mod 3 and i.25 of money."""
+    customers = spark.createDataFrame([(f"S{i}", f" Seed {i} ", "Narvik ", " corp") for i in range(5)], SEED_CUSTOMER)
+    accounts = spark.createDataFrame([(f"D{i}", f"S{i % 5}", "Current ", "2030-05-05", " open") for i in range(9)], SEED_ACCOUNT)
+    kinds = ("purchase", " WITHDRAWAL", "Deposit ")
     transactions = spark.createDataFrame(
-        [(f"T{i:03d}", f"A{i * 7 % 15 + 1:03d}", f"2026-09-{i % 28 + 1:02d}", *kinds[(i - 1) % 6], " usd") for i in range(1, 49)],
-        SEED_TRANSACTION)
+        [(f"M{i}", f"D{i % 9}", f"2031-04-{1 + i % 20:02d}", f"{i + 1}.25", kinds[i % 3], " usd") for i in range(40)], SEED_TRANSACTION)
     return customers, accounts, transactions
 
 
@@ -123,20 +157,22 @@ def test_layers(spark):
     raw = seeds(spark)
     layers = layered.build_layers(*raw)
     assert {n: df.count() for n, df in layers.items()} == {
-        "stg_customers": 12, "stg_accounts": 15, "stg_transactions": 48, "int_transaction_enriched": 48,
-        "dim_accounts": 15, "fct_daily_account_activity": 48}
+        "stg_customers": 5, "stg_accounts": 9, "stg_transactions": 40, "int_transaction_enriched": 40,
+        "dim_accounts": 9, "fct_daily_account_activity": len({(i % 9, i % 20) for i in range(40)})}
     results = layered.layer_test_results(layers, raw[2]).collect()
     assert len(results) == 12 and all(r.passed for r in results)
     clean = layers["stg_accounts"].first()
-    assert (clean.account_type, clean.account_status) == ("Checking", "ACTIVE")
+    assert (clean.account_type, clean.account_status) == ("Current", "OPEN")
     figures = layers["fct_daily_account_activity"].agg(F.sum("total_deposits"), F.sum("total_outflows"), F.sum("net_amount")).first()
-    assert tuple(map(float, figures)) == (3760.0, 1250.0, 2510.0)
+    inflow = sum(i + 1.25 for i in range(40) if i % 3 == 2)
+    outflow = sum(i + 1.25 for i in range(40) if i % 3 < 2)
+    assert tuple(map(float, figures)) == (inflow, outflow, inflow - outflow)
 
 
 def test_layer_tests_find_faults(spark):
     c, a, t = seeds(spark)
     extra = spark.createDataFrame(
-        [("T001", "A999", "2026-09-01", "-5.00", "FEE", "USD"), (None, None, "2026-09-01", "x", "DEPOSIT", "USD")], SEED_TRANSACTION)
+        [("M1", "D99", "2031-04-01", "-5.00", "FEE", "USD"), (None, None, "2031-04-01", "x", "DEPOSIT", "USD")], SEED_TRANSACTION)
     raw = t.unionByName(extra)
     bad_layers = layered.build_layers(c, a, raw.filter(F.col("amount") != "x"))
     results = {r.test_name: r.failing_rows for r in layered.layer_test_results(bad_layers, raw).collect() if not r.passed}
@@ -162,6 +198,12 @@ def test_publish_switches_only_after_the_check(spark, tmp_path):
     assert [tuple(r) for r in read_current(spark, base).collect()] == [("BR001", 500.0)]
     assert publish(one.limit(0), base, "v3") == 0
     assert read_current(spark, base).count() == 0
+    with pytest.raises(FileExistsError, match="already published"):
+        publish(one, base, "v1")
+    large = spark.createDataFrame([("123456789012.10",), ("40",), ("7.05",)], "t string").select(F.col("t").cast("decimal(18,2)").alias("total"))
+    publish(large, base, "v4", order=["total"])
+    plain = [r.value for r in spark.read.text(current_csv(spark, base)).collect()]
+    assert sorted(v for v in plain if v != "total") == ["123456789012.1", "40.0", "7.05"]
     header = [p.read_text() for p in (tmp_path / "gold" / "v3" / "csv").glob("part-*.csv")]
     assert header == ["branch_id,total\n"]
 

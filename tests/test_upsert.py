@@ -3,13 +3,13 @@
 import random
 
 import pytest
-from fixtures import ACCOUNTS, CORRECTED, DAILY_FILES, FIRST_DAY, rows, transactions, write_lines
+from fixtures import ACCOUNTS, FIRST_DAY, rows, transactions, write_lines
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import ACCOUNT, TRANSACTION_COLUMNS
 from ledgerloom.sources.delimited import read_daily_files
 from ledgerloom.sources.files import DAILY_FILE_GLOB, list_files
-from ledgerloom.streaming.upsert import OUTCOMES, STATE, classify, merged, outcome_counts
+from ledgerloom.streaming.upsert import OUTCOMES, STATE, classify, flag_rows, merged, outcome_counts
 
 TEXT = ", ".join(f"{c} string" for c in TRANSACTION_COLUMNS) + ", source_file string, row_no long"
 
@@ -28,49 +28,47 @@ def counts(classified):
     return {r.source_file: tuple(r[o] for o in OUTCOMES) for r in outcome_counts(classified).collect()}
 
 
-@pytest.fixture(scope="module")
-def daily(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("daily")
-    for name, lines in DAILY_FILES.items():
-        write_lines(folder, name, lines)
-    (folder / "notes.csv").write_text("x\n")
-    return read_daily_files(spark, [r.path for r in list_files(spark, str(folder), DAILY_FILE_GLOB).collect()])
-
-
-def test_daily_files_and_rerun(spark, daily):
+def test_daily_files_and_rerun(spark, tmp_path):
+    """Two daily files correct and add rows; the same files again change nothing, older ones are stale."""
+    days = {"transactions_20310302.csv": [], "transactions_20310303.csv": []}
+    rng, current = random.Random(2), {t[0]: t for t in FIRST_DAY}
+    told = {}
+    for name in days:
+        inserted = updated = 0
+        for i in range(8):
+            known = rng.random() < 0.5
+            tid = rng.choice(list(current)) if known else f"{name[-6:-4]}{i}"
+            row = (tid, ACCOUNTS[rng.randrange(12)][0], "2031-03-02", rng.choice(("CREDIT", "DEBIT")), f"{rng.randrange(100, 900)}.25")
+            inserted, updated = inserted + (tid not in current), updated + (tid in current)
+            current[tid] = row
+            days[name].append(",".join([*row, "USD"]))
+        told[name] = (inserted, updated, 0, 0, 0)
+        write_lines(tmp_path, name, days[name])
+    (tmp_path / "notes.csv").write_text("x\n")
+    daily = read_daily_files(spark, [r.path for r in list_files(spark, str(tmp_path), DAILY_FILE_GLOB).collect()])
     accounts = spark.createDataFrame(ACCOUNTS, ACCOUNT)
-    # the first day sorts before every daily file
-    target = stored(spark, FIRST_DAY, "BR_first.csv")
-    first = classify(target, daily, accounts)
-    assert counts(first) == {
-        "transactions_20260907.csv": (4, 0, 0, 0, 0),
-        "transactions_20260908.csv": (3, 1, 0, 0, 0),
-        "transactions_20260909.csv": (3, 1, 0, 0, 0),
-    }
-    table = merged(target, first).persist()
-    assert sorted(rows(table.select(*TRANSACTION_COLUMNS[:5]))) == sorted(
-        (t, a, d, k, float(v)) for t, a, d, k, v in CORRECTED)
-    second = classify(table, daily, accounts)
-    assert counts(second) == {
-        "transactions_20260907.csv": (0, 0, 3, 1, 0),
-        "transactions_20260908.csv": (0, 0, 4, 0, 0),
-        "transactions_20260909.csv": (0, 0, 4, 0, 0),
-    }
-    assert sorted(rows(merged(table, second).select(table.columns))) == sorted(rows(table))
+    target = stored(spark, FIRST_DAY, "a-first-day.csv")
+    flagged = flag_rows(target, daily, accounts)
+    assert counts(classify(target, daily, accounts)) == told
+    table = merged(target, flagged).persist()
+    assert sorted(rows(table.select(*TRANSACTION_COLUMNS[:5]))) == sorted((*r[:4], float(r[4])) for r in current.values())
+    again = counts(classify(table, daily, accounts))
+    assert all(c[0] == 0 and c[4] == 0 for c in again.values())
+    assert sorted(rows(merged(table, flag_rows(table, daily, accounts)).select(table.columns))) == sorted(rows(table))
     table.unpersist()
 
 
 def test_rejections(spark):
     accounts = spark.createDataFrame(ACCOUNTS, ACCOUNT)
     batch = spark.createDataFrame([
-        ("T1", "A1001", "9/1/2026", " credit ", " 10.005 ", "usd", "f1", 1),
-        ("T2", "A1001", "2026-09-01", "CREDIT", "x", "EUR", "f1", 2),
-        ("T3", "A1001", "2026-09-01", "PIZZA", "-1", "USD", "f1", 3),
-        ("T4", "A1001", "2026-09-01", "DEBIT", "0.004", "USD", "f1", 4),
-        ("T5", "A1001", "2026-09-01", "DEBIT", "1", "GBP", "f1", 5),
-        ("T6", "A1001", "2026-02-30", "DEBIT", "1", "USD", "f1", 6),
-        ("T7", "A9999", "2026-09-01", "DEBIT", "1", "USD", "f1", 7),
-        (" ", "A1001", "2026-09-01", "DEBIT", "1", "USD", "f1", 8),
+        ("T1", "P01", "9/1/2026", " credit ", " 10.005 ", "usd", "f1", 1),
+        ("T2", "P01", "2026-09-01", "CREDIT", "x", "EUR", "f1", 2),
+        ("T3", "P01", "2026-09-01", "PIZZA", "-1", "USD", "f1", 3),
+        ("T4", "P01", "2026-09-01", "DEBIT", "0.004", "USD", "f1", 4),
+        ("T5", "P01", "2026-09-01", "DEBIT", "1", "GBP", "f1", 5),
+        ("T6", "P01", "2026-02-30", "DEBIT", "1", "USD", "f1", 6),
+        ("T7", "P99", "2026-09-01", "DEBIT", "1", "USD", "f1", 7),
+        (" ", "P01", "2026-09-01", "DEBIT", "1", "USD", "f1", 8),
     ], TEXT)
     got = {r.row_no: (r.outcome, r.reject_reason) for r in classify(empty_table(spark), batch, accounts).collect()}
     assert got[1] == ("inserted", None)
@@ -104,12 +102,12 @@ def test_against_brute_force_with_a_hot_id(spark, rows_per_chunk):
     rng = random.Random(rows_per_chunk)
     ids = ["hot"] * 5 + [f"T{i}" for i in range(10)]
     batch = [
-        (rng.choice(ids), rng.choice(["A1001", "A1002", "A9999"]), f"2026-09-0{rng.randrange(1, 4)}",
+        (rng.choice(ids), rng.choice(["P01", "P02", "P99"]), f"2026-09-0{rng.randrange(1, 4)}",
          rng.choice(["CREDIT", "DEBIT"]), rng.choice(["1.00", "2.00", "0.00"]), "USD", f"f{1 + i // 60}", i % 60)
         for i in range(300)
     ]
-    target = {t: ("A1001", "2026-09-01", "CREDIT", 1.0, "USD", rng.choice(["f0", "f3", "f9"])) for t in set(ids) if rng.random() < 0.7}
-    table, outcomes = brute_force(target, batch, {"A1001", "A1002"})
+    target = {t: ("P01", "2026-09-01", "CREDIT", 1.0, "USD", rng.choice(["f0", "f3", "f9"])) for t in set(ids) if rng.random() < 0.7}
+    table, outcomes = brute_force(target, batch, {"P01", "P02"})
     stored_df = spark.createDataFrame(
         [(k, *v) for k, v in target.items()],
         "transaction_id string, account_id string, transaction_date string, transaction_type string, amount double, "
