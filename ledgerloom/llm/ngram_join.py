@@ -10,9 +10,11 @@ A document is the set of its distinct shingles; equal sets are one class and are
    skipped, and within blocks the positions bound the overlap that is still possible. Lists of the
    frequent shingles are dealt to pairs of parts, so no task holds a long list.
 3. Answers from a similar set: the set of least class in a list leads it. Every other one is compared
-   with its leader first. What is linked to a leader has the leader's component as its answer; only sets
-   of a list that are still in different components are compared with each other, in a second step.
-4. Pairs are verified on the whole sets, and linked pairs are folded into components.
+   with its leader first. What is linked to a leader has the leader's component as its answer; in lists
+   that then still hold several components, only sets of different ones are compared with each other.
+4. A pair must pass a bound from two bitmaps, half a byte to a byte for each shingle, before it is verified
+   on the whole sets; in the second step lists are compared by bitmaps before any pair leaves them. Linked
+   pairs are folded into components.
 
 The order of shingles steers cost only; any order gives the same links. Classes and shingles are 64-bit
 hashes: among a billion distinct sets a false match of two has a chance of about three in a hundred.
@@ -36,7 +38,7 @@ from ledgerloom.llm.textops import MULTIPLIER, U64, Hasher, mix, pieces, shingle
 PERCENT = 80
 SHINGLE = 5
 FREQUENT = 1 << 18  # ranked shingles: 4 MB sent to every task, whatever the input
-STRETCH = 2_000_000  # shingles that a task counts at a time
+STRETCH = 5_000_000  # shingles that a task counts at a time
 PART_ROWS = 4_000  # rows of a frequent shingle's list in one part
 LIST_ROWS = 2_000_000  # target rows of a bucket of lists
 
@@ -58,10 +60,32 @@ def _repeats(held: list[np.ndarray]) -> pa.RecordBatch | None:
     if not len(token):
         return None
     none = pa.nulls(len(token), pa.int64())
-    return pa.record_batch([none, none, none, pa.array(signed(token)), pa.array(count.astype(np.int64))], names=_SCAN_NAMES)
+    bits = pa.nulls(len(token), pa.binary())
+    return pa.record_batch([none, none, none, bits, pa.array(signed(token)), pa.array(count.astype(np.int64))], names=_SCAN_NAMES)
 
 
-_SCAN_NAMES = ["doc_id", "n", "cls", "token", "count"]
+_SCAN_NAMES = ["doc_id", "n", "cls", "bits", "token", "count"]
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Which cells of a set's shingles are taken; four to eight cells for each shingle."""
+    cells = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    taken = np.zeros(cells, bool)
+    taken[(tokens >> U64(20) & U64(cells - 1)).astype(np.int64)] = True
+    return np.packbits(taken, bitorder="little").tobytes()
+
+
+def may_link(na: int, nb: int, a: bytes, b: bytes) -> bool:
+    """Whether two sets can be linked: a cell that only one has holds a shingle that the other lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    least = -(-PERCENT * (na + nb) // (100 + PERCENT))
+    common = x & y
+    only_a, only_b = np.bitwise_count(x ^ common).sum(), np.bitwise_count(y ^ common).sum()
+    return bool(na - only_a >= least and nb - only_b >= least)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,14 +94,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece, data, offsets in pieces(batch, "text"):
             sizes, classes = np.zeros(piece.num_rows, np.int64), np.zeros(piece.num_rows, U64)
+            bits: list[bytes | None] = [None] * piece.num_rows
             for r, tokens in shingles(words(data, offsets, hasher), SHINGLE):
                 sizes[r] = len(tokens)
-                classes[r] = set_class(tokens) if len(tokens) else 0
+                if not len(tokens):
+                    continue
+                classes[r], bits[r] = set_class(tokens), bitmap(tokens)
                 held.append(tokens)
                 rows += len(tokens)
             none = pa.nulls(piece.num_rows, pa.int64())
             cls = pa.array(classes.view(np.int64), mask=sizes == 0)
-            yield pa.record_batch([piece.column("doc_id").cast(pa.int64()), pa.array(sizes), cls, none, none], names=_SCAN_NAMES)
+            yield pa.record_batch([piece.column("doc_id").cast(pa.int64()), pa.array(sizes), cls, pa.array(bits, pa.binary()), none, none], names=_SCAN_NAMES)
             if rows >= STRETCH:
                 if (found := _repeats(held)) is not None:
                     yield found
@@ -227,25 +254,69 @@ def _leaders(frame: pa.Table) -> pa.Table:
     )
 
 
+def _pair_table(found: list[np.ndarray]) -> pa.Table:
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+class Bitmaps:
+    """Bitmaps of the sets of one list by width, each with its fold to half the width."""
+
+    def __init__(self, values: list[bytes]):
+        self.width = np.array([len(v) for v in values])
+        self.place = np.zeros(len(values), np.int64)
+        self.own, self.folded = {}, {}
+        for w in np.unique(self.width):
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.own[w] = np.frombuffer(b"".join([values[r] for r in rows]), np.uint8).reshape(len(rows), w)
+            self.folded[w] = self.own[w][:, : w // 2] | self.own[w][:, w // 2 :]
+
+    def may_link(self, n: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+        """Which of the sets ``j`` can be linked to set ``i``; of widths more than twofold apart none is ruled out."""
+        ok, wi = np.ones(len(j), bool), self.width[i]
+        for w in np.unique(self.width[j]):
+            at = np.flatnonzero(self.width[j] == w)
+            rows = self.place[j[at]]
+            if w == wi:
+                x, y = self.own[w][self.place[i]], self.own[w][rows]
+            elif w == 2 * wi:
+                x, y = self.own[wi][self.place[i]], self.folded[w][rows]
+            elif wi == 2 * w:
+                x, y = self.folded[wi][self.place[i]], self.own[w][rows]
+            else:
+                continue
+            common = x & y
+            least = -(-PERCENT * (n[i] + n[j[at]]) // (100 + PERCENT))
+            only_x = np.bitwise_count(x ^ common).sum(axis=1)
+            only_y = np.bitwise_count(y ^ common).sum(axis=1)
+            ok[at] = (n[i] - only_x >= least) & (n[j[at]] - only_y >= least)
+        return ok
+
+
 def _across(frame: pa.Table) -> pa.Table:
     """Of one bucket: pairs of sets of a list that are in different components, neighbouring size blocks only."""
     number, cls, n, pos, comp = (frame[c].to_numpy() for c in ("list", "b", "n", "pos", "component"))
+    bits = frame["bits"].to_pylist()
+    n = n.astype(np.int64)
     block = _size_block(n)
     place = np.lexsort((block, number))
     number, cls, n, pos, comp, block = (x[place] for x in (number, cls, n, pos, comp, block))
-    starts, ends = _runs([number])
+    starts, ends = _runs([number]) if len(number) else (np.zeros(0, int),) * 2
     found = []
     for s, e in zip(starts, ends):
         if e - s < 2 or (comp[s:e] == comp[s]).all():
             continue
+        maps = Bitmaps([bits[p] for p in place[s:e]])
         last = np.searchsorted(block[s:e], block[s:e] + 2) + s  # blocks beyond the next one are skipped
         for i in range(s, e - 1):
             j = np.arange(i + 1, last[i - s])
             j = j[(comp[j] != comp[i]) & _possible(n[i], n[j], pos[i], pos[j])]
+            if len(j):
+                j = j[maps.may_link(n[s:e], i - s, j - s)]
             if len(j):
                 found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return _pair_table(found)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +329,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(tokens, pa.binary())], names=["cls", "tokens"])
 
 
+def _plausible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        ok = [may_link(*row) for row in zip(frame["na"], frame["nb"], frame["bits_a"], frame["bits_b"])]
+        yield frame.loc[ok, ["a", "b"]] if ok else frame[["a", "b"]]
+
+
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         linked = []
@@ -268,10 +345,28 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[linked, ["a", "b"]] if linked else frame[["a", "b"]]
 
 
+def _wanted(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
+    """Class and one document of every set that takes part in a pair."""
+    classes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    return materialize(representatives.join(classes, "cls", "left_semi").select("cls", "doc_id"), "ngram-wanted")
+
+
+def _bitmaps(wanted: DataFrame, scanned: DataFrame) -> DataFrame:
+    maps = scanned.join(wanted, ["cls", "doc_id"], "left_semi").select("cls", "n", "bits").dropDuplicates(["cls"])
+    return materialize(maps, "ngram-bits")
+
+
+def _plausible_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Those of the pairs of classes that their bitmaps do not rule out."""
+    left = maps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = maps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    return materialize(met.mapInPandas(_plausible, "a long, b long"), "ngram-plausible")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, representatives: DataFrame) -> DataFrame:
     """Those of the pairs of classes whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = materialize(representatives.join(wanted, "cls", "left_semi").select("doc_id").distinct(), "ngram-wanted")
+    ids = _wanted(pairs, representatives).select("doc_id").distinct()
     texts = docs.join(ids, "doc_id", "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_sets, "cls long, tokens binary").dropDuplicates(["cls"]), "ngram-sets")
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
@@ -289,8 +384,9 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    scanned = materialize(texts.mapInArrow(_scan, "doc_id long, n long, cls long, token long, count long"), "ngram-scan")
-    rows = scanned.filter("token IS NULL").select("doc_id", "n", "cls")
+    scanned = materialize(texts.mapInArrow(_scan, "doc_id long, n long, cls long, bits binary, token long, count long"), "ngram-scan")
+    documents = scanned.filter("token IS NULL").select("doc_id", "n", "cls", "bits")
+    rows = documents.drop("bits")
     order = spark.sparkContext.broadcast(_order(scanned.filter("token IS NOT NULL").select("token", "count")))
     volume = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // LIST_ROWS)
@@ -300,14 +396,18 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
         entries.groupBy("bucket").applyInArrow(_leaders, "a long, b long, bucket int, list long, n int, pos int"), "ngram-lists"
     )
     first = materialize(lists.filter("list = 0").select("a", "b").distinct(), "ngram-pairs")
+    first = _plausible_pairs(first, _bitmaps(_wanted(first, representatives), documents))
     links = _linked(first, texts, representatives)
-    answers = components(links)
-    open_lists = lists.filter("list > 0").join(answers.select(F.col("node").alias("b"), "component"), "b", "left")
-    open_lists = open_lists.withColumn("component", F.coalesce("component", "b"))
-    second = open_lists.select("bucket", "list", "b", "n", "pos", "component").groupBy("bucket").applyInArrow(_across, "a long, b long")
+    answers = components(links).select(F.col("node").alias("b"), "component")
+    entries = lists.filter("list > 0").select("bucket", "list", "b", "n", "pos")
+    entries = entries.join(answers, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    several = entries.groupBy("bucket", "list").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    entries = materialize(entries.join(several, ["bucket", "list"], "left_semi"), "ngram-open")
+    maps = _bitmaps(_wanted(entries.select(F.col("b").alias("a"), "b"), representatives), documents).select(F.col("cls").alias("b"), "bits")
+    pairs = entries.join(maps, "b").select("bucket", "list", "b", "n", "pos", "component", "bits").groupBy("bucket").applyInArrow(_across, "a long, b long")
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(second.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
-    links = links.unionByName(_linked(second, texts, representatives))
+    pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+    links = links.unionByName(_linked(pairs, texts, representatives))
     comps = materialize(components(links).withColumnRenamed("node", "cls").withColumnRenamed("component", "root"), "ngram-components")
     classes = representatives.join(comps, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
