@@ -5,7 +5,7 @@ size, the excess shared anew. A source is taken whole as often as its target all
 what is left is a sample without replacement: every document draws the key -ln(u) / weight, with u from a
 hash of its id, documents are ordered by key within their source, and the prefix that fits the budget is
 taken (Efraimidis and Spirakis). A few more passes fill the gap before the first document that did not
-fit with later ones that do. A pass leaves one cut key per source, so whether a row is taken depends on
+fit with later ones that do, and one document may overshoot where that comes nearer. A pass leaves one cut key per source, so whether a row is taken depends on
 the row and its source alone: reruns agree, and texts never cross the network for it.
 
 Only DataFrame functions run. A source may hold any share of the rows: prefix sums run over slices of the
@@ -21,6 +21,7 @@ from ledgerloom.llm.tables import materialize, prefix, slices_for
 
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 3
+ALL = PASSES + 1
 NULL_SOURCE = "\U0010ffff\U0010ffff null source"  # sorts after every other name
 
 
@@ -88,8 +89,19 @@ def _waiting(k: int) -> Column:
     return ~_picked(k)
 
 
+def _overshoot(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``cuts`` with the key of the one document that overshoots what is left by less than it falls short, or -1."""
+    left = F.col(f"left{PASSES}")
+    waiting = rows.join(cuts, "src").filter(_waiting(PASSES) & (F.col("size") > left) & (F.col("size") < 2 * left))
+    alike = waiting.groupBy("src", "key", left.alias("left")).agg(F.sum("size").alias("total")).filter("total < 2 * left")
+    best = alike.groupBy("src").agg(F.min_by("key", F.struct(F.col("total") - F.col("left"), "key")).alias("extra"))
+    return materialize(cuts.join(best, "src", "left").withColumn("extra", F.coalesce("extra", F.lit(-1.0))), "mix-cuts")
+
+
 def _picked(passes: int) -> Column:
     taken = F.lit(False)
+    if passes == ALL:
+        taken, passes = (F.col("key") == F.col("extra")) & (F.col("size") > F.col(f"left{PASSES}")), PASSES
     for k in range(passes):
         taken = taken | ((F.col("key") <= F.col(f"cut{k}")) & (F.col("size") <= F.col(f"left{k}")) & (F.col(f"left{k}") > 0))
     return taken
@@ -112,7 +124,7 @@ def _cuts(rows: DataFrame, shares: tuple[int, ...], most_epochs: int) -> DataFra
     cuts = materialize(cuts, "mix-cuts")
     for k in range(PASSES):
         cuts = _pass(rows, cuts, slices, k)
-    return cuts
+    return _overshoot(rows, cuts)
 
 
 def mix(
@@ -134,7 +146,7 @@ def mix(
     taken = F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))
     return (
         rows.join(cuts, "src")
-        .withColumn("picked", _picked(PASSES))
+        .withColumn("picked", _picked(ALL))
         .select(id_column, source_column, "size", "source_size", "target", "epochs", "picked", taken.alias("taken"))
     )
 
@@ -153,5 +165,5 @@ def mixed(
     rows = materialize(docs.select(*narrow), "mix-rows")
     cuts = _cuts(rows, shares, most_epochs)
     plain = [f"`{c}`" for c in docs.columns]
-    marked = docs.select(F.struct(*plain).alias("row"), *narrow).join(cuts, "src").withColumn("times", F.col("epochs") + _picked(PASSES).cast("long"))
+    marked = docs.select(F.struct(*plain).alias("row"), *narrow).join(cuts, "src").withColumn("times", F.col("epochs") + _picked(ALL).cast("long"))
     return marked.filter("times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
