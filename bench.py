@@ -31,6 +31,8 @@ HEADLINE = [
     "m_upsert_table",
     "m_identical_files",
     "medallion_gold",
+    "s_strict_rows",
+    "s_branch_rows",
 ]
 
 
@@ -47,9 +49,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry().queries
     names = [n for n in queries if n.startswith(HEADLINE_PREFIXES)] + HEADLINE
-    spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_returnflag").count().write.format("noop").mode(
-        "overwrite"
-    ).save()
+    # start-up and first reads of the tables are nobody's time
+    for name in ("oq04_summary_by_type", "oq01_transactions_with_customer"):
+        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         start = time.perf_counter()
