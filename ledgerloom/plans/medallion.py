@@ -38,7 +38,7 @@ from ledgerloom.sinks.publish import publish, read_current, read_or_empty
 from ledgerloom.sources.delimited import file_faults, strict_rows
 from ledgerloom.sources.files import branch_of, discover
 from ledgerloom.sources.tables import account_ids
-from ledgerloom.streaming.dedup import first_accepted_wins
+from ledgerloom.streaming.dedup import first_accepted_wins, with_place
 from ledgerloom.streaming.idempotency import (
     LOADED,
     PROCESSED,
@@ -179,16 +179,17 @@ def judge(bronze: DataFrame, accounts: DataFrame, accepted_before: DataFrame | N
     flagged = with_unknown_flag(bronze, account_ids(accounts), "account_id", "unknown_account")
     unknown = ~is_missing(F.col("account_id")) & F.col("unknown_account")
     rules = [*value_rules(), (UNKNOWN_ACCOUNT, unknown)]
-    flagged = flagged.withColumn("mask", broken_mask(rules))
+    # judged once: the rows that find the winners and the rows that get the verdict are the same
+    flagged = materialize(with_place(flagged.withColumn("mask", broken_mask(rules)), ORDER, "place"), "judged")
     flagged = first_accepted_wins(
-        flagged, "transaction_id", F.col("mask") == 0, ORDER, "repeated", accepted_before
+        flagged, "transaction_id", F.col("mask") == 0, ["place"], "repeated", accepted_before
     )
     # the repeat is the last rule, and only rows with an id can break it
     texts = [*[text for text, _ in rules], ALREADY_ACCEPTED]
     flagged = flagged.withColumn("mask", F.col("mask") + F.when(F.col("repeated"), 1 << len(rules)).otherwise(0))
     return flagged.withColumns(
         {"reasons": masked_reasons(F.col("mask"), texts), "is_valid": F.col("mask") == 0}
-    ).drop("unknown_account", "repeated", "mask")
+    ).drop("unknown_account", "repeated", "mask", "place")
 
 
 def validate(store: Store, run_id: str, accounts: DataFrame) -> DataFrame:

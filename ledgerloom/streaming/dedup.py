@@ -1,14 +1,17 @@
 """Named policies for repeated ids. The policies disagree on purpose; pick one by name.
 
-None of them uses a window over an id. Repeated ids are found by a grouped aggregate, which
-collapses on the map side, and only those are written to the shared folder and joined back. Their
+None of them uses a window over an id. Repeated ids are found by a grouped aggregate, which folds a
+hot id on the map side (ids that occur once cross the network), and only the repeated ones are written
+to the shared folder and joined back. Their
 true size is known then: few repeats are broadcast and the rows stay where they are; many are
 joined by shuffle, where AQE splits a hot id over tasks. Each policy runs that job when called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_missing
@@ -23,6 +26,19 @@ def spread_missing(key: Column, *salt: Column) -> Column:
     return F.when(~is_missing(key), key).otherwise(F.concat(F.lit("\x00missing\x00"), slot))
 
 
+def with_place(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """One whole number that sorts rows as ``order`` does: the number of the row's file, then its row number.
+
+    The last column of ``order`` is the row number, a BIGINT; the others name the file and are not null. The list of files is small next to the rows; its true size lets Catalyst broadcast it.
+    """
+    *file, row = order
+    files = materialize(df.select(*file).distinct(), "places")
+    number = F.row_number().over(Window.orderBy(*file)).cast("decimal(18,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)")
+    numbered = files.withColumn("__file", number.cast("decimal(37,0)"))
+    place = (F.col("__file") + F.col(row).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return df.join(numbered, file).withColumn(out, place).drop("__file")
+
+
 def all_copies_invalid(df: DataFrame, key: str, flag: str) -> DataFrame:
     """Flag every row whose non-null key occurs more than once, the first one included."""
     repeated = materialize(
@@ -54,7 +70,8 @@ def first_accepted_wins(
     before it are not. ``order`` must be unique per row within a key.
     ``accepted_before`` holds the ids accepted by earlier runs in column ``key``.
     """
-    position = F.struct(*order)
+    # a single column keeps its minimum in a hash aggregate; a struct would be sorted
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     winners = materialize(
         df.filter(~is_missing(F.col(key)))
         .groupBy(F.col(key).alias("__key"))
