@@ -6,8 +6,8 @@ that halve, at most ``TOP_NODES`` of them; every vector goes to its nearest cent
 radius is taken over all its vectors. Pairs of cells whose balls are too far apart are pruned. A cell of any
 size is dealt into blocks of bounded size. In every pair of blocks that is left, a cover tree of each block
 (nested levels of centres, each with the radius that covers what is below it) is walked against the other,
-pruning node pairs by their radii; what survives at the leaves is tested by exact products in double
-precision. A pair of blocks gives counts per vector and a spanning forest of its links, never all pairs.
+pruning node pairs by their radii; node pairs that lie within the bound as a whole are linked as a whole,
+and what is left at the leaves is tested by exact products in double precision. A pair of blocks gives counts per vector and a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ LEAST_COSINE = 0.9
 TOP_NODES = 64
 SAMPLE_ROWS = 2_000  # bound of the sample that gives the top centres
 BLOCK_NUMBERS = 1 << 18  # numbers of one block: rows times components
-STRIP = 1_024
+BLOCK_ROWS = 4_096
+STRIP = 256
+FRONTIER = 1 << 18  # node pairs that are followed down at a time
 SLACK = 1e-9  # of bounds only, for rounding; links are decided by the product itself
 
 
@@ -55,11 +57,12 @@ def nested_centres(x: np.ndarray, radius: float, start: list[int]) -> list[int]:
 
 @dataclass
 class Level:
-    """Centres of one level as rows of the block, the radius below each, and the children of each in the next level."""
+    """Centres of one level as rows of the block, the radius and the rows below each, and its children in the next level."""
 
     centre: np.ndarray
     radius: np.ndarray
     children: list[np.ndarray]
+    members: list[np.ndarray]
 
 
 def cover_tree(x: np.ndarray, least: float) -> list[Level]:
@@ -76,8 +79,8 @@ def cover_tree(x: np.ndarray, least: float) -> list[Level]:
         radius /= 2
     if len(layers[-1]) < len(x):
         layers.append(rows)
-    levels = [Level(layers[-1], np.zeros(len(layers[-1])), [])]
     below = [np.array([r]) for r in layers[-1]]
+    levels = [Level(layers[-1], np.zeros(len(layers[-1])), [], below)]
     for upper, lower in zip(layers[-2::-1], layers[:0:-1]):
         nearest = np.empty(len(lower), np.int64)
         for s in range(0, len(lower), STRIP):
@@ -85,7 +88,7 @@ def cover_tree(x: np.ndarray, least: float) -> list[Level]:
         children = [np.flatnonzero(nearest == u) for u in range(len(upper))] if len(upper) < 64 else _grouped(nearest, len(upper))
         members = [np.concatenate([below[c] for c in own]) if len(own) else np.zeros(0, np.int64) for own in children]
         cover = np.array([np.sqrt(max(0.0, float((2 - 2 * (x[m] @ x[u])).max()))) if len(m) else 0.0 for m, u in zip(members, upper)])
-        levels.append(Level(upper, cover, children))
+        levels.append(Level(upper, cover, children, members))
         below = members
     return levels[::-1]
 
@@ -95,48 +98,85 @@ def _grouped(keys: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.cumsum(np.bincount(keys, minlength=n))[:-1])
 
 
-def dual_pairs(x: np.ndarray, y: np.ndarray, tree_x: list[Level], tree_y: list[Level], cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs with a product of at least ``cosine``, found by descending both trees together."""
-    reach = distance(cosine)
+def _chords(products: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * products))
 
-    def near(i: np.ndarray, j: np.ndarray, a: Level, b: Level) -> np.ndarray:
-        keep = np.zeros(len(i), bool)
-        for s in range(0, len(i), 1 << 15):
-            p, q = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-            d2 = np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", x[a.centre[p]], y[b.centre[q]]))
-            keep[s : s + (1 << 15)] = np.sqrt(d2) <= a.radius[p] + b.radius[q] + reach + SLACK
-        return keep
 
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    u = v = 0
-    while u < len(tree_x) - 1 or v < len(tree_y) - 1:
-        a, b = tree_x[u], tree_y[v]
-        kids_a = a.children if u < len(tree_x) - 1 else [np.array([k]) for k in range(len(a.centre))]
-        kids_b = b.children if v < len(tree_y) - 1 else [np.array([k]) for k in range(len(b.centre))]
-        lower_a, lower_b = tree_x[min(u + 1, len(tree_x) - 1)], tree_y[min(v + 1, len(tree_y) - 1)]
-        found_i, found_j = [], []
+def dual_pairs(x: np.ndarray, y: np.ndarray, tree_x: list[Level], tree_y: list[Level], cosine: float, same: bool = False) -> Iterator[tuple]:
+    """Links between two blocks, found by descending both trees together.
+
+    Yields (False, rows of x, rows of y): pairs with a product of at least ``cosine``, and
+    (True, rows of x, rows of y): sets of rows that are linked each with each. With ``same`` both are one
+    block: every unordered pair comes once, and a True with one set twice links the set within.
+    """
+    reach = distance(cosine)
+    last_x, last_y = len(tree_x) - 1, len(tree_y) - 1
+
+    def fans(u: int, v: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Children pairs of node pairs, by strips of bounded size."""
         for p, q in zip(i, j):
-            ka, kb = kids_a[p], kids_b[q]
-            if len(ka) * len(kb) > 4_096:  # a whole fan at once, by strips
-                for s in range(0, len(ka), STRIP):
-                    d2 = np.maximum(0.0, 2 - 2 * (x[lower_a.centre[ka[s : s + STRIP]]] @ y[lower_b.centre[kb]].T))
-                    ok = np.sqrt(d2) <= lower_a.radius[ka[s : s + STRIP], None] + lower_b.radius[kb][None, :] + reach + SLACK
-                    r, c = np.nonzero(ok)
-                    found_i.append(ka[s : s + STRIP][r])
-                    found_j.append(kb[c])
+            a = tree_x[u].children[p] if u < last_x else np.array([p])
+            b = tree_y[v].children[q] if v < last_y else np.array([q])
+            if same and p == q:
+                for s in range(0, len(a), STRIP):
+                    r, c = np.nonzero(np.arange(s, min(s + STRIP, len(a)))[:, None] <= np.arange(len(a))[None, :])
+                    yield a[s + r], a[c]
             else:
-                ii, jj = np.repeat(ka, len(kb)), np.tile(kb, len(ka))
-                ok = near(ii, jj, lower_a, lower_b)
-                found_i.append(ii[ok])
-                found_j.append(jj[ok])
-        i = np.concatenate(found_i) if found_i else np.zeros(0, np.int64)
-        j = np.concatenate(found_j) if found_j else np.zeros(0, np.int64)
-        u, v = min(u + 1, len(tree_x) - 1), min(v + 1, len(tree_y) - 1)
-    a, b = tree_x[-1].centre[i], tree_y[-1].centre[j]
-    for s in range(0, len(a), 1 << 15):
-        p, q = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
-        ok = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
-        yield p[ok], q[ok]
+                for s in range(0, len(a), STRIP):
+                    part = a[s : s + STRIP]
+                    yield np.repeat(part, len(b)), np.tile(b, len(part))
+
+    def sift(u: int, v: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chord bounds of node pairs: whether they are linked as a whole, and whether they must be followed."""
+        a, b = tree_x[u], tree_y[v]
+        whole, near = np.zeros(len(i), bool), np.zeros(len(i), bool)
+        for s in range(0, len(i), 1 << 15):
+            p, q = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+            d, r = _chords(np.einsum("ij,ij->i", x[a.centre[p]], y[b.centre[q]])), a.radius[p] + b.radius[q]
+            whole[s : s + (1 << 15)] = d + r <= reach - SLACK
+            near[s : s + (1 << 15)] = d - r <= reach + SLACK
+        return whole, near & ~whole
+
+    def descend(u: int, v: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+        if u == last_x and v == last_y:
+            a, b = tree_x[u].centre[i], tree_y[v].centre[j]
+            apart = ~(same & (a == b))
+            a, b = a[apart], b[apart]
+            for s in range(0, len(a), 1 << 15):
+                p, q = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
+                ok = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
+                yield False, p[ok], q[ok]
+            return
+        below_u, below_v = min(u + 1, last_x), min(v + 1, last_y)
+        held_i, held_j, held = [], [], 0
+        pending_i, pending_j, pending = [], [], 0
+
+        def checked() -> Iterator[tuple]:
+            nonlocal pending_i, pending_j, pending, held
+            ii, jj = np.concatenate(pending_i), np.concatenate(pending_j)
+            pending_i, pending_j, pending = [], [], 0
+            whole, follow = sift(below_u, below_v, ii, jj)
+            for p, q in zip(ii[whole], jj[whole]):
+                yield True, tree_x[below_u].members[p], tree_y[below_v].members[q]
+            held_i.append(ii[follow])
+            held_j.append(jj[follow])
+            held += int(follow.sum())
+
+        for ii, jj in fans(u, v, i, j):
+            pending_i.append(ii)
+            pending_j.append(jj)
+            pending += len(ii)
+            if pending >= FRONTIER:
+                yield from checked()
+                if held >= FRONTIER:
+                    yield from descend(below_u, below_v, np.concatenate(held_i), np.concatenate(held_j))
+                    held_i, held_j, held = [], [], 0
+        if pending:
+            yield from checked()
+        if held:
+            yield from descend(below_u, below_v, np.concatenate(held_i), np.concatenate(held_j))
+
+    yield from descend(0, 0, np.zeros(1, np.int64), np.zeros(1, np.int64))
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +264,27 @@ def _links(cosine: float):
                 (x, tx), (y, ty) = tree(row.ids_a, row.units_a), tree(row.ids_b, row.units_b)
                 same = row.ids_a == row.ids_b
                 count_a, count_b = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
-                tails, heads = [], []
-                for p, q in dual_pairs(x, y, tx, ty, cosine):
-                    if same:
-                        p, q = p[p < q], q[p < q]
-                    np.add.at(count_a, p, nb[q])
-                    np.add.at(count_b, q, na[p])
-                    t, h = _forest(ia[p], ib[q])
-                    tails.append(t)
-                    heads.append(h)
-                t, h = _forest(np.concatenate(tails), np.concatenate(heads)) if tails else (np.zeros(0, np.int64),) * 2
+                tails, heads = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for whole, p, q in dual_pairs(x, y, tx, ty, cosine, same):
+                    if whole and same and p is q:
+                        count_a[p] += na[p].sum() - na[p]
+                        p, q = p[1:], np.full(len(p) - 1, p[0])
+                    elif whole:
+                        count_a[p] += nb[q].sum()
+                        count_b[q] += na[p].sum()
+                        # a spanning tree: all of one side to one of the other, and back
+                        p, q = np.concatenate([p, np.full(len(q) - 1, p[0])]), np.concatenate([np.full(len(p), q[0]), q[1:]])
+                    else:
+                        np.add.at(count_a, p, nb[q])
+                        np.add.at(count_b, q, na[p])
+                    if len(p):
+                        t, h = _forest(ia[p], ib[q])
+                        tails.append(t)
+                        heads.append(h)
+                    if len(tails) > 1_000:
+                        t, h = _forest(np.concatenate(tails), np.concatenate(heads))
+                        tails, heads = [t], [h]
+                t, h = _forest(np.concatenate(tails), np.concatenate(heads))
                 hit_a, hit_b = count_a > 0, count_b > 0
                 ids = np.concatenate([ia[hit_a], ib[hit_b], t])
                 yield pd.DataFrame(
@@ -273,7 +324,7 @@ def cosine_components(embeddings: DataFrame, cosine: float = LEAST_COSINE, id_co
     dealt = nodes.mapInArrow(_to_cells(centres), "id long, n long, unit binary, cell int, far double")
     dealt = materialize(dealt, "cover-cells")
     cells = dealt.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("far"), F.max(F.length("unit")).alias("bytes")).collect()  # TOP_NODES rows and one for each other width
-    parts = {c["cell"]: max(1, -(-c["rows"] * c["bytes"] // (8 * BLOCK_NUMBERS))) for c in cells}
+    parts = {c["cell"]: max(-(-c["rows"] // BLOCK_ROWS), -(-c["rows"] * c["bytes"] // (8 * BLOCK_NUMBERS))) for c in cells}
     far = {c["cell"]: c["far"] for c in cells}
     pairs = []
     for p in sorted(parts):

@@ -125,7 +125,8 @@ def test_cover_tree_links(embeddings):
     assert got == {i: (links[i], union.root(i), union.root(i) == i) for i, _ in data}
 
 
-def test_cover_tree_covers():
+@pytest.mark.parametrize("cosine", [0.9, 0.3])
+def test_cover_tree_covers(cosine):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
     x = np.concatenate([x, x[:100] + rng.normal(size=(100, 8)) * 0.01])
@@ -139,9 +140,17 @@ def test_cover_tree_covers():
         below = [set().union(*[below[c] for c in own]) if len(own) else set() for own in level.children]
         for c, r, own in zip(level.centre, level.radius, below):
             assert all(np.linalg.norm(x[c] - x[m]) <= r + 1e-9 for m in own)
-    found = {(min(a, b), max(a, b)) for p, q in cover_dedup.dual_pairs(x, x, levels, levels, 0.9) for a, b in zip(p, q) if a != b}
-    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
-    assert found == set(zip(a, b))
+    a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+    expected = sorted(zip(a, b))
+    found = []
+    for whole, p, q in cover_dedup.dual_pairs(x, x, levels, levels, cosine, True):
+        pairs = itertools.combinations(p, 2) if whole and p is q else itertools.product(p, q) if whole else zip(p, q)
+        found += [(min(a, b), max(a, b)) for a, b in pairs]
+    assert sorted(found) == expected  # every pair once
+    y = x[::-1][:150]
+    other = cover_dedup.cover_tree(y, 0.1)
+    found = [t for whole, p, q in cover_dedup.dual_pairs(x, y, levels, other, cosine) for t in (itertools.product(p, q) if whole else zip(p, q))]
+    assert sorted(found) == sorted(zip(*np.nonzero(x @ y.T >= cosine)))
 
 
 @pytest.mark.parametrize("k", [1, 5, 400])
