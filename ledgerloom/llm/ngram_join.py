@@ -32,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.tables import materialize
+from ledgerloom.llm.tables import materialize, materialize_wide, small
 from ledgerloom.llm.textops import MULTIPLIER, U64, Hasher, mix, pieces, shingles, signed, words
 
 PERCENT = 80
 SHINGLE = 5
 FREQUENT = 1 << 18  # ranked shingles: 4 MB sent to every task, whatever the input
-STRETCH = 5_000_000  # shingles that a task counts at a time
+STRETCH = 2_000_000  # shingles that a task counts at a time
 PART_ROWS = 4_000  # rows of a frequent shingle's list in one part
-LIST_ROWS = 2_000_000  # target rows of a bucket of lists
+LIST_ROWS = 500_000  # target rows of a bucket of lists
 
 
 def set_class(tokens: np.ndarray) -> np.uint64:
@@ -352,7 +352,7 @@ def _wanted(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
 
 
 def _bitmaps(wanted: DataFrame, scanned: DataFrame) -> DataFrame:
-    maps = scanned.join(wanted, ["cls", "doc_id"], "left_semi").select("cls", "n", "bits").dropDuplicates(["cls"])
+    maps = scanned.join(small(wanted), ["cls", "doc_id"], "left_semi").select("cls", "n", "bits").dropDuplicates(["cls"])
     return materialize(maps, "ngram-bits")
 
 
@@ -361,17 +361,17 @@ def _plausible_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     left = maps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = maps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
-    return materialize(met.mapInPandas(_plausible, "a long, b long"), "ngram-plausible")
+    return materialize_wide(met.mapInPandas(_plausible, "a long, b long"), "ngram-plausible")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, representatives: DataFrame) -> DataFrame:
     """Those of the pairs of classes whose whole sets are similar enough."""
-    ids = _wanted(pairs, representatives).select("doc_id").distinct()
+    ids = small(_wanted(pairs, representatives).select("doc_id").distinct())
     texts = docs.join(ids, "doc_id", "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(_sets, "cls long, tokens binary").dropDuplicates(["cls"]), "ngram-sets")
+    sets = materialize_wide(texts.mapInArrow(_sets, "cls long, tokens binary").dropDuplicates(["cls"]), "ngram-sets")
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(_verify, "a long, b long"), "ngram-links")
+    return materialize_wide(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(_verify, "a long, b long"), "ngram-links")
 
 
 def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -384,7 +384,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    scanned = materialize(texts.mapInArrow(_scan, "doc_id long, n long, cls long, bits binary, token long, count long"), "ngram-scan")
+    scanned = materialize_wide(texts.mapInArrow(_scan, "doc_id long, n long, cls long, bits binary, token long, count long"), "ngram-scan")
     documents = scanned.filter("token IS NULL").select("doc_id", "n", "cls", "bits")
     rows = documents.drop("bits")
     order = spark.sparkContext.broadcast(_order(scanned.filter("token IS NOT NULL").select("token", "count")))
@@ -392,7 +392,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // LIST_ROWS)
     representatives = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     entries = texts.mapInArrow(_entries(order, int(buckets)), "bucket int, part long, token long, cls long, n int, pos int")
-    lists = materialize(
+    lists = materialize_wide(
         entries.groupBy("bucket").applyInArrow(_leaders, "a long, b long, bucket int, list long, n int, pos int"), "ngram-lists"
     )
     first = materialize(lists.filter("list = 0").select("a", "b").distinct(), "ngram-pairs")
@@ -406,7 +406,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     maps = _bitmaps(_wanted(entries.select(F.col("b").alias("a"), "b"), representatives), documents).select(F.col("cls").alias("b"), "bits")
     pairs = entries.join(maps, "b").select("bucket", "list", "b", "n", "pos", "component", "bits").groupBy("bucket").applyInArrow(_across, "a long, b long")
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+    pairs = materialize_wide(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
     links = links.unionByName(_linked(pairs, texts, representatives))
     comps = materialize(components(links).withColumnRenamed("node", "cls").withColumnRenamed("component", "root"), "ngram-components")
     classes = representatives.join(comps, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -28,8 +28,8 @@ from ledgerloom.llm.textops import MULTIPLIER, U64, mix, pieces
 MARK = 0x2581
 BYTE_PIECES = 256
 UNKNOWN_PENALTY = 10.0
-STRETCH_BYTES = 1 << 22
-BLOCK_CELLS = 1 << 20
+STRETCH_BYTES = 1 << 20
+BLOCK_CELLS = 1 << 18
 _RADIX = 0xD1342543DE82EF95
 
 
@@ -247,7 +247,7 @@ class Encoder:
 
     def _search(self, text: str) -> list[tuple[float, list[int]]]:
         if text not in self.nbest_of:
-            if len(self.nbest_of) > 100_000:
+            if len(self.nbest_of) > 20_000:
                 self.nbest_of.clear()
             self.nbest_of[text] = self.lattice.nbest(text, self.n_best)
         return self.nbest_of[text]

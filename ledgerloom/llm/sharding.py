@@ -7,7 +7,8 @@ other way. Members of one group are interchangeable, so a group is one row with
 group of any size weighs a few numbers, and links are never listed. Documents without an equal text have
 no link; they fill what is left, so the counts of two shards differ by one at most.
 
-Only DataFrame functions run here. A group larger than a shard is cut where the quotas force it.
+Only DataFrame functions run here. A group larger than a shard is cut where the quotas force it; where
+hardly any document is without a link, room comes from exchanges alone and smaller groups may stay cut.
 """
 
 from __future__ import annotations

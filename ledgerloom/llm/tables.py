@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,12 +13,40 @@ from ledgerloom.session import materialize
 
 ROWS_PER_SLICE = 20_000
 LEAST_SLICES = 256
+WIDE_ROWS = 1_000
+BROADCAST_ROWS = 1_000_000  # of two numbers: 16 MB
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches to Python of at most ``rows`` rows for what runs inside, where rows are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize_wide(df: DataFrame, label: str) -> DataFrame:
+    """Like :func:`materialize`, for steps whose Python tasks take texts, sets or bitmaps."""
+    with arrow_rows(df.sparkSession, WIDE_ROWS):
+        return materialize(df, label)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows; beyond that Catalyst joins it by shuffle.
+
+    For narrow tables that lie in the shared folder, where the count reads no column.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def slices_for(rows: int) -> int:
     """Slices that keep a slice near ``ROWS_PER_SLICE`` rows even if one key has every row."""
     return max(LEAST_SLICES, math.ceil(rows / ROWS_PER_SLICE))
@@ -61,4 +91,4 @@ def number(df: DataFrame, by: list[str], slice_column: str, order: list[str], ou
     )
 
 
-__all__ = ["hash_slice", "materialize", "number", "prefix", "read", "slices_for"]
+__all__ = ["hash_slice", "materialize", "materialize_wide", "number", "prefix", "read", "slices_for", "small"]

@@ -7,6 +7,7 @@ A-Z is folded to a-z. A null text is an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+ROWS_AT_ONCE = 500
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15
 _RADIX = 0xD1342543DE82EF95
@@ -52,17 +54,30 @@ class Hasher:
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with the bytes of its text column and the rows' offsets into them."""
-    start, rows = 0, batch.num_rows
-    texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
-    buffers = texts.buffers()
-    offsets = np.frombuffer(buffers[1], dtype=np.int64)[texts.offset : texts.offset + rows + 1]
-    data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
-    while start < rows:
-        end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-        end = min(rows, max(end, start + 1))
-        own = offsets[start : end + 1]
-        yield batch.slice(start, end - start), data[own[0] : own[-1]], own - own[0]
-        start = end
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        part = batch.slice(at, ROWS_AT_ONCE)
+        start, rows = 0, part.num_rows
+        texts = pc.fill_null(part.column(column), "").cast(pa.large_string())
+        buffers = texts.buffers()
+        offsets = np.frombuffer(buffers[1], dtype=np.int64)[texts.offset : texts.offset + rows + 1]
+        data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+        while start < rows:
+            end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
+            end = min(rows, max(end, start + 1))
+            own = offsets[start : end + 1]
+            yield part.slice(start, end - start), data[own[0] : own[-1]], own - own[0]
+            start = end
+        del texts, buffers, data
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its memory
+        pass
 
 
 @dataclass

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.labelled import sample
 from ledgerloom.llm.textops import U64, Hasher, mix, pieces, words
 
-MOST_LABELLED = 6_000
+MOST_LABELLED = 4_000
 FEATURES = 1_024
 GRADES = 3
 BEGINNINGS = (4, 5)
 GRADE_BOUNDS = (3, 6)  # distinct marked words from which a toxic document has grade 2 and 3
-REJECT = 0.5
+REJECT = 0.3
 
 
 @dataclass
@@ -76,27 +76,38 @@ def cumulative(eta: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return _sigmoid(eta[:, None] - thresholds[None, :])
 
 
+def _labelled_pieces(table: pa.Table, label: np.ndarray) -> Iterator[tuple]:
+    at = 0
+    for batch in table.combine_chunks().to_batches():
+        for piece, data, offsets in pieces(batch, "text"):
+            yield piece, data, offsets, label[at : at + piece.num_rows]
+            at += piece.num_rows
+
+
 def fit(table: pa.Table, features: int = FEATURES, rounds: int = 600, penalty: float = 1e-5) -> Ordinal:
     """Fit on rows of text and label (0 or 1). Without rows of both labels nothing is toxic."""
     toxic = table["label"].to_numpy().astype(np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return Ordinal(np.zeros(0, U64), np.zeros(0), np.arange(1.0, GRADES + 1) * 20)
-    hasher, row_of, word_of, values, at = Hasher(), [], [], [], 0
-    for batch in table.combine_chunks().to_batches():
-        for piece, data, offsets in pieces(batch, "text"):
-            rows, hashes = _features(data, offsets, hasher)
-            place = np.lexsort((hashes, rows))
-            rows, hashes = rows[place], hashes[place]
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-            starts = np.flatnonzero(new)
-            row_of.append(rows[starts] + at)
-            word_of.append(hashes[starts])
-            values.append(_value(np.diff(np.append(starts, len(rows)))))
-            at += piece.num_rows
-    row, word, value = np.concatenate(row_of), np.concatenate(word_of), np.concatenate(values)
-    vocabulary, column, document_count = np.unique(word, return_inverse=True, return_counts=True)
+    hasher, seen = Hasher(), []
+    for piece, data, offsets, own in _labelled_pieces(table, toxic):
+        rows, hashes = _features(data, offsets, hasher)
+        at = np.flatnonzero(own[rows] == 1)
+        pair = np.unique(np.stack([rows[at].astype(U64), hashes[at]], axis=1), axis=0)
+        seen.append(pair[:, 1])
+    # only features of two or more toxic documents can mark toxicity; the others are not held
+    vocabulary, count = np.unique(np.concatenate(seen), return_counts=True)
+    vocabulary = vocabulary[count > 1]
+    row_of, column_of, values, start = [], [], [], 0
+    for piece, data, offsets, _ in _labelled_pieces(table, toxic):
+        rows, columns, value = _matches(data, offsets, vocabulary, hasher)
+        row_of.append((rows + start).astype(np.int32))
+        column_of.append(columns.astype(np.int32))
+        values.append(value.astype(np.float32))
+        start += piece.num_rows
+    row, column, value = np.concatenate(row_of), np.concatenate(column_of), np.concatenate(values)
     n, positives = len(toxic), int(toxic.sum())
+    document_count = np.bincount(column, minlength=len(vocabulary))
     in_toxic = np.bincount(column, weights=toxic[row], minlength=len(vocabulary))
     expected = document_count * positives / n
     surprise = (in_toxic - expected) / np.sqrt(expected + 1)
