@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import CURRENCY, TRANSACTION_TYPES
 from ledgerloom.functions.text import join_reasons, reason_list
-from ledgerloom.operators.aggregates import duplicate_groups, reason_counts
+from ledgerloom.operators.aggregates import duplicate_groups
 from ledgerloom.operators.joins import unmatched_rows
 from ledgerloom.operators.sets import stack
+from ledgerloom.session import materialize
 
 # Names and order of the eight checks.
 NULL_IDS = "Null transaction IDs"
@@ -205,12 +206,18 @@ def metric_table(validated: DataFrame, files: DataFrame, duplicate_reason: str)
     """Delivery metrics as (metric, value), both text.
 
     ``validated`` has source_file, reasons, is_valid; ``files`` has file, error (NULL when read).
-    A file without rows is still listed, with 0.
+    A file without rows is still listed, with 0. The rows are folded once, to one row per file and set
+    of reasons; every figure is a sum over that small table.
     """
-    per_file = validated.groupBy("source_file").agg(
-        F.count("*").alias("n"),
-        F.count_if("is_valid").alias("valid"),
-        F.count_if(F.array_contains("reasons", duplicate_reason)).alias("repeated"),
+    folded = materialize(validated.groupBy("source_file", "is_valid", "reasons").agg(F.count("*").alias("rows")), "judged-counts")
+    repeated = F.when(F.array_contains("reasons", duplicate_reason), F.col("rows")).otherwise(0)
+    per_file = folded.groupBy("source_file").agg(
+        F.sum("rows").alias("n"),
+        F.sum(F.when(F.col("is_valid"), F.col("rows")).otherwise(0)).alias("valid"),
+        F.sum(repeated).alias("repeated"),
+    )
+    by_reason = (
+        folded.filter(~F.col("is_valid")).select(F.explode("reasons").alias("reason"), "rows").groupBy("reason").agg(F.sum("rows").alias("rows"))
     )
     listed = files.join(per_file, F.col("file") == F.col("source_file"), "left").select(
         "file",
@@ -246,7 +253,7 @@ def metric_table(validated: DataFrame, files: DataFrame, duplicate_reason: str)
             listed.filter(read).select(
                 F.concat(F.lit(P_FILE), "file").alias("metric"), F.col("n").cast("string").alias("value")
             ),
-            reason_counts(validated.filter(~F.col("is_valid"))).select(
+            by_reason.select(
                 F.concat(F.lit(P_REASON), "reason").alias("metric"), F.col("rows").cast("string").alias("value")
             ),
             files.filter(~read).select(

@@ -11,18 +11,19 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_missing
 from ledgerloom.session import materialize
 
-SPREAD = 1024
+LEAST_SPREAD = 1024
 
 
 def spread_missing(key: Column, *salt: Column) -> Column:
-    """Join key that scatters missing ids over many tasks; such a key matches nothing."""
-    slot = F.pmod(F.xxhash64(*salt), F.lit(SPREAD)).cast("string")
+    """Join key that scatters missing ids over many tasks, four slots a task; such a key matches nothing."""
+    tasks = int(SparkSession.active().conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64(*salt), F.lit(max(LEAST_SPREAD, 4 * tasks))).cast("string")
     return F.when(~is_missing(key), key).otherwise(F.concat(F.lit("\x00missing\x00"), slot))
 
 
