@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, ngram_join, pii, sentencepieces, toxicity
 from ledgerloom.llm.queries import PIECE_MODEL
-from ledgerloom.llm.tables import materialize, read
+from ledgerloom.llm.tables import materialize, read, small
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One row of each component of linked documents: the one of least id. Rows with a null id stay."""
     found = materialize(ngram_join.ngram_components(docs).select("doc_id", "component_id"), "near-copies")
     gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies-gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     repeated = materialize(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-copies-ids")
     if repeated.isEmpty():
         return left
