@@ -112,30 +112,27 @@ def dual_pairs(x: np.ndarray, y: np.ndarray, tree_x: list[Level], tree_y: list[L
     reach = distance(cosine)
     last_x, last_y = len(tree_x) - 1, len(tree_y) - 1
 
-    def fans(u: int, v: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Children pairs of node pairs, by strips of bounded size."""
+    def fans(u: int, v: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+        """Children pairs of node pairs, by strips: those linked as a whole, and those that must be followed."""
+        lower_a, lower_b = tree_x[min(u + 1, last_x)], tree_y[min(v + 1, last_y)]
         for p, q in zip(i, j):
             a = tree_x[u].children[p] if u < last_x else np.array([p])
             b = tree_y[v].children[q] if v < last_y else np.array([q])
-            if same and p == q:
-                for s in range(0, len(a), STRIP):
-                    r, c = np.nonzero(np.arange(s, min(s + STRIP, len(a)))[:, None] <= np.arange(len(a))[None, :])
-                    yield a[s + r], a[c]
-            else:
-                for s in range(0, len(a), STRIP):
-                    part = a[s : s + STRIP]
-                    yield np.repeat(part, len(b)), np.tile(b, len(part))
-
-    def sift(u: int, v: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chord bounds of node pairs: whether they are linked as a whole, and whether they must be followed."""
-        a, b = tree_x[u], tree_y[v]
-        whole, near = np.zeros(len(i), bool), np.zeros(len(i), bool)
-        for s in range(0, len(i), 1 << 15):
-            p, q = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-            d, r = _chords(np.einsum("ij,ij->i", x[a.centre[p]], y[b.centre[q]])), a.radius[p] + b.radius[q]
-            whole[s : s + (1 << 15)] = d + r <= reach - SLACK
-            near[s : s + (1 << 15)] = d - r <= reach + SLACK
-        return whole, near & ~whole
+            across, rb = y[lower_b.centre[b]].T, lower_b.radius[b]
+            for s in range(0, len(a), STRIP):
+                part = a[s : s + STRIP]
+                ra = lower_a.radius[part]
+                products = x[lower_a.centre[part]] @ across
+                # one comparison for all pairs of the strip, the exact bounds for what it leaves
+                widest = reach + SLACK + float(ra.max() + rb.max())
+                r, c = np.nonzero(products >= 1 - widest**2 / 2)
+                if same and p == q:
+                    upper = s + r <= c
+                    r, c = r[upper], c[upper]
+                chord, radii = _chords(products[r, c]), ra[r] + rb[c]
+                whole = chord + radii <= reach - SLACK
+                near = (chord - radii <= reach + SLACK) & ~whole
+                yield part[r[whole]], b[c[whole]], part[r[near]], b[c[near]]
 
     def descend(u: int, v: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
         if u == last_x and v == last_y:
@@ -149,30 +146,15 @@ def dual_pairs(x: np.ndarray, y: np.ndarray, tree_x: list[Level], tree_y: list[L
             return
         below_u, below_v = min(u + 1, last_x), min(v + 1, last_y)
         held_i, held_j, held = [], [], 0
-        pending_i, pending_j, pending = [], [], 0
-
-        def checked() -> Iterator[tuple]:
-            nonlocal pending_i, pending_j, pending, held
-            ii, jj = np.concatenate(pending_i), np.concatenate(pending_j)
-            pending_i, pending_j, pending = [], [], 0
-            whole, follow = sift(below_u, below_v, ii, jj)
-            for p, q in zip(ii[whole], jj[whole]):
+        for whole_i, whole_j, near_i, near_j in fans(u, v, i, j):
+            for p, q in zip(whole_i, whole_j):
                 yield True, tree_x[below_u].members[p], tree_y[below_v].members[q]
-            held_i.append(ii[follow])
-            held_j.append(jj[follow])
-            held += int(follow.sum())
-
-        for ii, jj in fans(u, v, i, j):
-            pending_i.append(ii)
-            pending_j.append(jj)
-            pending += len(ii)
-            if pending >= FRONTIER:
-                yield from checked()
-                if held >= FRONTIER:
-                    yield from descend(below_u, below_v, np.concatenate(held_i), np.concatenate(held_j))
-                    held_i, held_j, held = [], [], 0
-        if pending:
-            yield from checked()
+            held_i.append(near_i)
+            held_j.append(near_j)
+            held += len(near_i)
+            if held >= FRONTIER:
+                yield from descend(below_u, below_v, np.concatenate(held_i), np.concatenate(held_j))
+                held_i, held_j, held = [], [], 0
         if held:
             yield from descend(below_u, below_v, np.concatenate(held_i), np.concatenate(held_j))
 
