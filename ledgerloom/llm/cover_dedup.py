@@ -29,7 +29,7 @@ LEAST_COSINE = 0.9
 TOP_NODES = 64
 SAMPLE_ROWS = 2_000  # bound of the sample that gives the top centres
 BLOCK_NUMBERS = 1 << 18  # numbers of one block: rows times components
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
 STRIP = 256
 FRONTIER = 1 << 18  # node pairs that are followed down at a time
 SLACK = 1e-9  # of bounds only, for rounding; links are decided by the product itself
@@ -39,19 +39,18 @@ def distance(cosine: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
 
-def nested_centres(x: np.ndarray, radius: float, start: list[int]) -> list[int]:
-    """Rows that cover all within ``radius``, beginning with those of the level above."""
-    centres = list(start)
-    far = np.full(len(x), np.inf)
+def nested_centres(x: np.ndarray, radius: float, start: list[int], gram: np.ndarray | None = None) -> list[int]:
+    """Rows that cover all within ``radius``, beginning with those of the level above. ``gram`` holds all products, if known."""
+    centres, bound = list(start), 1 - radius**2 / 2
+    products = (lambda c: gram[c]) if gram is not None else (lambda c: x @ x[c])
+    covered = np.zeros(len(x), bool)
     for c in centres:
-        far = np.minimum(far, 2 - 2 * (x @ x[c]))
-    open_rows = np.flatnonzero(far > radius**2)
-    while len(open_rows):
-        c = int(open_rows[0])
-        centres.append(c)
-        near = 2 - 2 * (x[open_rows] @ x[c])
-        near[0] = -1.0
-        open_rows = open_rows[near > radius**2]
+        covered |= products(c) >= bound
+    for c in range(len(x)):
+        if not covered[c]:
+            centres.append(c)
+            covered |= products(c) >= bound
+            covered[c] = True
     return centres
 
 
@@ -71,9 +70,10 @@ def cover_tree(x: np.ndarray, least: float) -> list[Level]:
     Each centre of a level hangs below the nearest centre of the level above.
     """
     layers: list[np.ndarray] = [np.zeros(1, np.int64)]
+    gram = x @ x.T if len(x) <= BLOCK_ROWS else None
     radius, rows = 1.0, np.arange(len(x))
     while radius >= least and len(layers[-1]) < len(x):
-        centres = np.array(nested_centres(x, radius, layers[-1].tolist()), np.int64)
+        centres = np.array(nested_centres(x, radius, layers[-1].tolist(), gram), np.int64)
         if len(centres) > len(layers[-1]):
             layers.append(centres)
         radius /= 2
@@ -229,11 +229,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(cosine: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees: dict[bytes, tuple] = {}
+        trees: dict[bytes, tuple] = {}  # 64 blocks of 2 MB at most
 
         def tree(ids: bytes, units: bytes):
             if ids not in trees:
-                if len(trees) >= 8:
+                if len(trees) >= 64:
                     trees.pop(next(iter(trees)))
                 x = np.frombuffer(units, np.float64).reshape(len(ids) // 8, -1)
                 trees[ids] = x, cover_tree(x, distance(cosine) / 4)
