@@ -115,9 +115,16 @@ def dual_pairs(x: np.ndarray, y: np.ndarray, tree_x: list[Level], tree_y: list[L
     def fans(u: int, v: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
         """Children pairs of node pairs, by strips: those linked as a whole, and those that must be followed."""
         lower_a, lower_b = tree_x[min(u + 1, last_x)], tree_y[min(v + 1, last_y)]
-        for p, q in zip(i, j):
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        cuts = np.flatnonzero(np.diff(i, prepend=-1))
+        jobs = []  # a node against all it must meet at once; against itself apart
+        for p, partners in zip(i[cuts], np.split(j, cuts[1:])):
+            own = same & (partners == p)
+            jobs += [(p, partners[~own], False)] * bool((~own).any()) + [(p, partners[own], True)] * bool(own.any())
+        for p, partners, itself in jobs:
             a = tree_x[u].children[p] if u < last_x else np.array([p])
-            b = tree_y[v].children[q] if v < last_y else np.array([q])
+            b = np.concatenate([tree_y[v].children[q] for q in partners]) if v < last_y else partners
             across, rb = y[lower_b.centre[b]].T, lower_b.radius[b]
             for s in range(0, len(a), STRIP):
                 part = a[s : s + STRIP]
@@ -126,7 +133,7 @@ def dual_pairs(x: np.ndarray, y: np.ndarray, tree_x: list[Level], tree_y: list[L
                 # one comparison for all pairs of the strip, the exact bounds for what it leaves
                 widest = reach + SLACK + float(ra.max() + rb.max())
                 r, c = np.nonzero(products >= 1 - widest**2 / 2)
-                if same and p == q:
+                if itself:
                     upper = s + r <= c
                     r, c = r[upper], c[upper]
                 chord, radii = _chords(products[r, c]), ra[r] + rb[c]
