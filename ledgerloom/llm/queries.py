@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import cover_dedup, mixing, ngram_join, pii, quality_crf, secret_scan, sentencepieces, sharding, topk, toxicity
+from ledgerloom.llm import collocations, cover_dedup, mixing, ngram_join, pii, quality_crf, secret_scan, sentencepieces, sharding, topk, toxicity, variants, warc
 from ledgerloom.llm.spans import count_kind, digest, of_kinds
 from ledgerloom.llm.tables import read
 
@@ -83,6 +83,22 @@ def op10_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", quality_crf.held_out().alias("held_out"), "score", predicted.alias("predicted"), "n_lines", "n_bad_lines")
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a record of a package, read back: size, digest and role of each."""
+    manifest = warc.write_packages(read(spark, folder, "pages"))
+    found = warc.read_packages(manifest, payload=False)
+    page = F.col("page_id").cast("long").alias("page_id")
+    return found.select(page, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(read(spark, folder, "documents"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secrets,
         op9_toxicity,
         op10_quality_crf,
+        op11_warc,
+        op12_variants,
+        op13_collocations,
     )
 }
 
@@ -147,6 +166,81 @@ s AS (
     FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND len(q.c) = len(d.c))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS response_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN response_id IS DISTINCT FROM page_id AND response_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN response_id IS DISTINCT FROM page_id THEN response_id END AS refers_to
+FROM p LEFT JOIN g ON g.payload_digest = p.payload_digest AND p.payload_bytes >= 1000
+""",
+    "op12_variants": r"""
+WITH RECURSIVE t AS (
+    SELECT list(c ORDER BY i) AS crcs FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+        FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[a-zÀ-ÿ]+')) AS run FROM documents)
+    WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+        string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+        ELSE [CAST(192 | (unicode(c) >> 6) AS BIGINT), CAST(128 | (unicode(c) & 63) AS BIGINT)] END))),
+        lambda a, b: xor(a >> 8, crcs[xor(a & 255, b) + 1]))) AS h FROM runs, t),
+w AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS wild, left(word, i - 1) || substr(word, i + 1) AS cut
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+    SELECT a.word, b.word AS other, b.n FROM k a JOIN k b ON a.wild = b.wild AND a.word <> b.word
+    UNION SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = k.cut
+    UNION SELECT w.word, k.word, k.n FROM k JOIN w ON w.word = k.cut),
+b AS (SELECT word, count(*) AS n_near, max(n) AS best_n FROM near GROUP BY word),
+f AS (
+    SELECT w.word, min(near.other) AS form, b.best_n AS form_n FROM w JOIN b ON b.word = w.word AND b.best_n >= 10 * w.n
+    JOIN near ON near.word = w.word AND near.n = b.best_n GROUP BY w.word, b.best_n),
+r AS (
+    SELECT word, word AS root, 0 AS steps FROM w UNION ALL
+    SELECT r.word, f.form, r.steps + 1 FROM r JOIN f ON f.word = r.root)
+SELECT w.word, f.form, r.root, w.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, f.form_n
+FROM w LEFT JOIN b ON b.word = w.word LEFT JOIN f ON f.word = w.word
+JOIN (SELECT word, arg_max(root, steps) AS root FROM r GROUP BY word) r ON r.word = w.word
+""",
+    "op13_collocations": r"""
+WITH p AS (
+    SELECT doc_id, lang, piece, row_number() OVER () AS id FROM (
+        SELECT doc_id, coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+ws AS (SELECT lang, id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, id, unnest(w) AS w1, unnest(range(len(w))) AS i FROM ws),
+s AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY id ORDER BY i)),
+n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+f1 AS (SELECT lang, w1, CAST(count(*) AS HUGEINT) AS n FROM s GROUP BY lang, w1),
+f2 AS (SELECT lang, w1, w2, CAST(count(*) AS HUGEINT) AS n FROM s WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, CAST(count(*) AS HUGEINT) AS n FROM s WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c2 AS (
+    SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.n AS a, x.n AS l, y.n AS r, 1000000 * f2.n * f2.n // (x.n * y.n) AS score
+    FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+    WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.n >= 50 * f2.n)
+      AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.n >= 50 * f2.n)),
+c3 AS (
+    SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.n AS a, x.n AS l1, yz.n AS r1, xy.n AS l2, z.n AS r2,
+           1000000 * f3.n * f3.n // (x.n * yz.n) AS s1, 1000000 * f3.n * f3.n // (xy.n * z.n) AS s2
+    FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f1 z ON z.lang = f3.lang AND z.w1 = f3.w3
+    JOIN f2 xy ON xy.lang = f3.lang AND xy.w1 = f3.w1 AND xy.w2 = f3.w2 JOIN f2 yz ON yz.lang = f3.lang AND yz.w1 = f3.w2 AND yz.w2 = f3.w3),
+c AS (
+    SELECT * FROM c2 UNION ALL
+    SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM c3),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT k.lang, CAST(rank AS BIGINT) AS rank, k.phrase, CAST(k.a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n.n,
+       CAST(score AS BIGINT) AS score
+FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000
 """,
 }
 ORACLES = {name: sql.strip() for name, sql in ORACLES.items()}

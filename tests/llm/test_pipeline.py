@@ -22,7 +22,7 @@ def columns_and_rows(df):
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     engine = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "pages"):
         engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     result = engine.execute(queries.ORACLES[name])
     names = [d[0] for d in result.description]
