@@ -41,7 +41,8 @@ HEADSTART = 2
 WIDER = 4
 UNIT = 1_000_000
 NO_LANGUAGE = "und"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+ROWS_AT_ONCE = 1_000
 FILTER_BITS = 1 << 27
 BROADCAST_BYTES = 32 << 20
 # letters fold, separators of pieces become a mark that no word can hold, tabs part words like spaces
@@ -120,8 +121,14 @@ def _members(rows: DataFrame, pairs: bool) -> Members:
     return Members(words)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.DictionaryArray]]:
+def _chunks(whole: pa.RecordBatch) -> Iterator[tuple[str, pa.DictionaryArray]]:
     """Language and token stream of bounded parts of a batch; '.' stands between pieces."""
+    for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+        yield from _parts(whole.slice(at, ROWS_AT_ONCE))
+        give_back()
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.DictionaryArray]]:
     langs = batch.column("lang").dictionary_encode()
     codes = langs.indices.to_numpy()
     texts = batch.column("text").cast(pa.large_binary())
@@ -185,7 +192,6 @@ def _count(length: int, frequent: Members | None = None, opened: Members | None
                 triple, n = np.unique(first[wanted] * len(pair) + second[wanted], return_counts=True)
                 first, second = triple // max(1, len(pair)), triple % max(1, len(pair))
                 yield _counted(lang, _phrases(dictionary, left[first], right[first], right[second]), n)
-        give_back()
 
     return run
 
