@@ -13,8 +13,8 @@ shared with the word before keeps its nodes, the rest gets new numbers of the ra
 two ranges if it is a proper prefix of a cut; those few have numbers of their own that every task knows. So no
 task holds more than one word, and a prefix that a third of all words share is split over ranges.
 
-The cuts are the only data on the driver: ``CUT_SAMPLE`` words for each range of ``RANGE_WORDS`` words, cut to
-``CUT_LETTERS`` letters. They steer the split only.
+The cuts are the only data on the driver: ``CUT_SAMPLE`` words for each range of ``RANGE_WORDS`` words, in
+``MOST_RANGES`` ranges at most, cut to ``CUT_LETTERS`` letters. They steer the split only.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ LEAST_LETTERS = 7
 LEAST_COUNT = 2
 RATIO = 10
 SLIP = 31
-RANGE_WORDS = 50_000
+RANGE_WORDS = 10_000
+MOST_RANGES = 20_000
 CUT_SAMPLE = 20
 CUT_LETTERS = 256
 HELD_WORDS = 200_000
@@ -131,7 +132,7 @@ class Ranges:
 
 
 def _ranges(words: DataFrame, column: str, total: int, range_words: int) -> Ranges:
-    parts = max(1, -(-total // range_words))
+    parts = min(MOST_RANGES, max(1, -(-total // range_words)))
     if parts == 1:
         return Ranges([])
     every = max(1, total // (CUT_SAMPLE * parts))
