@@ -41,6 +41,7 @@ PACKAGE_BYTES = 256 << 20
 PACKAGE_RECORDS = 100_000
 MEMBER_BYTES = 4 << 20
 RANGE_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
 BATCH_BYTES = 8 << 20
@@ -475,4 +476,6 @@ def read_packages(manifest: DataFrame, payload: bool = True, range_bytes: int =
     """
     found = manifest.select("package", "bytes").mapInArrow(_ranges(range_bytes), RANGES)
     schema = RECORDS + (", payload binary" if payload else "")
-    return found.repartition("package", "start").mapInArrow(_records(payload), schema)
+    # ranges are tiny rows that stand for much reading: the number of tasks follows the bytes they point at
+    tasks = max(1, -(-(manifest.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
+    return found.repartition(tasks, "package", "start").mapInArrow(_records(payload), schema)
