@@ -145,6 +145,9 @@ def _descend(x: np.ndarray, grade: np.ndarray, rounds: int, penalty: float) -> t
     return params[:width], params[width] + np.concatenate([[0.0], np.cumsum(np.exp(params[width + 1 :]))])
 
 
+SCORES = {"__toxic_probability": "double", "__expected_severity": "double", "__grade": "int"}
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Ordinal:
     return fit(sample(docs, labels, "toxic", most))
 
@@ -157,7 +160,7 @@ def _score(model: Ordinal):
                 row, feature, value = _matches(data, offsets, model.words, hasher)
                 eta = np.bincount(row, weights=model.weights[feature] * value, minlength=piece.num_rows)
                 p = cumulative(eta, model.thresholds)
-                names = [*piece.schema.names, "toxic_probability", "expected_severity", "grade"]
+                names = [*piece.schema.names, *SCORES]
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))], names=names
                 )
@@ -165,21 +168,23 @@ def _score(model: Ordinal):
     return run
 
 
-def with_severity(docs: DataFrame, model: Ordinal, text_column: str = "text") -> DataFrame:
+def _scored(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """Rows of ``docs`` as they are, with the three scores under private names."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    return docs.mapInArrow(_score(model), ", ".join([*fields, *[f"{name} {kind}" for name, kind in SCORES.items()]]))
+
+
+def with_severity(docs: DataFrame, model: Ordinal) -> DataFrame:
     """Rows of ``docs`` with toxic_probability, expected_severity (0 to 3) and grade (0 to 3).
 
-    A null or empty text has no features: it gets the model's base rate, which is grade 0. Repeated rows
-    score alike. Columns that are already named so are replaced; other columns stay.
+    A null or empty text has no features: it gets the model's base rate, which is grade 0. A long text is scored
+    whole. Repeated rows score alike, an empty table gives none. Columns that are already named so are replaced
+    in the result (:func:`accepted` keeps them); other columns stay.
     """
-    added = ["toxic_probability", "expected_severity", "grade"]
-    plain = docs.drop(*added)
-    if text_column != "text":
-        raise ValueError("the text column must be named text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
-    schema = ", ".join([*fields, "toxic_probability double", "expected_severity double", "grade int"])
-    return plain.mapInArrow(_score(model), schema)
+    shown = {name: name.strip("_") for name in SCORES}
+    return _scored(docs.drop(*shown.values()), model).withColumnsRenamed(shown)
 
 
 def accepted(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """Rows of ``docs`` that are not toxic, with the columns of ``docs``."""
-    return with_severity(docs, model).filter(f"toxic_probability < {REJECT}").select(*[f"`{c}`" for c in docs.columns])
+    """Rows of ``docs`` that are not toxic, untouched: also columns that are named like a score keep their values."""
+    return _scored(docs, model).filter(f"__toxic_probability < {REJECT}").select(*[f"`{c}`" for c in docs.columns])

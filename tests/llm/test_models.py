@@ -12,6 +12,7 @@ import tricky
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, quality_crf, sentencepieces, toxicity
+from ledgerloom.llm.labelled import sample
 from ledgerloom.llm.queries import PIECE_MODEL
 from ledgerloom.llm.textops import Hasher, pieces, words
 
@@ -222,3 +223,25 @@ def test_encode_and_decode(spark, vocab):
                 ids[c["at"] : c["at"] + c["removed"]] = c["ids"]
             assert processor.decode(ids) == (text or "")
     assert sentencepieces.encoded(tricky.empty(spark), vocab, ["doc_id"]).count() == 0
+
+
+def test_accepted_rows_are_untouched(spark):
+    """Columns named like the scores keep their own values through the stage; the scored form replaces them."""
+    model = toxicity.Ordinal(np.array([], dtype=np.uint64), np.array([]), np.array([20.0, 40.0, 60.0]))
+    docs = tricky.docs(spark).withColumns({"grade": F.lit(42), "toxic_probability": F.lit("mine"), "expected_severity": F.lit(None).cast("date")})
+    kept = toxicity.accepted(docs, model)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    assert {r["grade"] for r in toxicity.with_severity(docs, model).collect()} == {0}
+    assert toxicity.accepted(tricky.empty(spark), model).count() == 0
+
+
+def test_sample_keeps_to_its_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(50)] + [(7, "a"), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    whole = sample(docs, labels, "toxic", 30)
+    assert whole.num_rows == 30 and "a" in sample(docs, labels, "toxic", 50)["text"].to_pylist()
+    few = sample(docs, labels, "toxic", 30, most_bytes=1_000)
+    assert 0 < sum(len(t) for t in few["text"].to_pylist()) <= 1_000
+    assert few["doc_id"].to_pylist() == sample(docs, labels, "toxic", 30, most_bytes=1_000)["doc_id"].to_pylist()
+    assert sample(docs, labels, "toxic", 30, most_bytes=0)["text"].to_pylist() in ([], [""])
