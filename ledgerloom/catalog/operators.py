@@ -41,7 +41,8 @@ UNTIDY = """untidy AS (
         CASE o_orderpriority
             WHEN '1-URGENT' THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)
             WHEN '2-HIGH' THEN '-' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)
-            WHEN '3-MEDIUM' THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)
+            WHEN '3-MEDIUM' THEN CASE WHEN o_orderkey % 3 = 0 THEN repeat('7', CAST(17 + o_orderkey % 14 AS INT)) ELSE '' END
+                || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)
             WHEN '4-NOT SPECIFIED' THEN '0.00'
             ELSE '1e' || day(o_orderdate) END AS amount_text
     FROM orders)"""
@@ -51,6 +52,9 @@ def untidy(spark, folder):
     day, price = F.col("o_orderdate"), F.col("o_totalprice")
     parts = [F.year(day).cast("string"), F.month(day).cast("string"), F.dayofmonth(day).cast("string")]
     exact = money.money(price).cast("string")
+    # amounts of 20 to 36 whole digits among the others
+    lead = F.expr("repeat('7', CAST(17 + o_orderkey % 14 AS INT))")
+    whole = F.concat(F.when(F.col("o_orderkey") % 3 == 0, lead).otherwise(""), F.floor(price).cast("string"))
 
     def pick(*values):
         """One value per priority, in priority order; the last one is the default."""
@@ -71,7 +75,7 @@ def untidy(spark, folder):
         pick(
             exact,
             F.concat(F.lit("-"), exact),
-            F.floor(price).cast("string"),
+            whole,
             F.lit("0.00"),
             F.concat(F.lit("1e"), parts[2]),
         ).alias("amount_text"),
@@ -161,13 +165,14 @@ def register(reg) -> None:
         "f_amounts",
         f"""WITH {UNTIDY} SELECT k, amount_text,
         regexp_matches(amount_text, '^[0-9]+([.][0-9]+)?$') AND TRY_CAST(amount_text AS DOUBLE) > 0 AS accepted,
-        {dbl('TRY_CAST(amount_text AS DECIMAL(18,2))')} AS parsed FROM untidy
+        {dbl('TRY_CAST(amount_text AS DECIMAL(18,2))')} AS parsed, length(amount_text) > 18 AND amount_text LIKE '7%' AS beyond FROM untidy
         """,
     )(
         lambda s, f: untidy(s, f).select(
             "k", "amount_text",
             money.is_plain_positive(F.col("amount_text")).alias("accepted"),
             money.parse_money(F.col("amount_text")).alias("parsed"),
+            money.is_beyond_money(F.col("amount_text")).alias("beyond"),
         )
     )
     reg.add(

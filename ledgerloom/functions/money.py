@@ -33,13 +33,17 @@ def parse_money(col: Column) -> Column:
 
 
 def is_plain_positive(col: Column) -> Column:
-    """Plain decimal text above zero that fits the money type; never NULL.
+    """Plain decimal text above zero, of any length; never NULL.
 
     A plain decimal is above zero exactly when one of its digits is, so no lossy parse is needed.
     """
-    shaped = col.rlike(r"^(?=[0-9.]*[1-9])[0-9]+(\.[0-9]+)?\z")
-    fits = (F.length(col) <= MONEY.precision - MONEY.scale) | parse_money(col).isNotNull()
-    return F.coalesce(shaped & fits, F.lit(False))
+    return F.coalesce(col.rlike(r"^(?=[0-9.]*[1-9])[0-9]+(\.[0-9]+)?\z"), F.lit(False))
+
+
+def is_beyond_money(col: Column) -> Column:
+    """Plain decimal text above zero that the money type cannot hold; never NULL."""
+    long = F.length(col) > MONEY.precision - MONEY.scale
+    return F.coalesce(long & is_plain_positive(col) & parse_money(col).isNull(), F.lit(False))
 
 
 def cents(col: Column) -> Column:

@@ -28,6 +28,9 @@ UNKNOWN_ACCOUNT = "account_id not found in accounts reference"
 REPEATED_ID = "duplicate transaction_id across combined branch data"
 ALREADY_ACCEPTED = "duplicate transaction_id already accepted (first accepted record wins)"
 
+# an amount that breaks no rule and that the money type cannot hold
+BEYOND_MONEY = "amount has more than 16 whole digits"
+
 # Reason texts of the customer summary's reference and silver checks.
 CUSTOMER_ID_MISSING = "customer_id is missing"
 CUSTOMER_NAME_MISSING = "customer_name is missing"

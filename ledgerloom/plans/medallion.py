@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.money import is_beyond_money
 from ledgerloom.functions.text import (
     broken_mask,
     fingerprint,
@@ -22,7 +23,7 @@ from ledgerloom.functions.text import (
 from ledgerloom.operators.aggregates import branch_daily_summary
 from ledgerloom.operators.joins import with_unknown_flag
 from ledgerloom.operators.quality import assert_reconciled, reconcile_files
-from ledgerloom.operators.rules import ALREADY_ACCEPTED, UNKNOWN_ACCOUNT, value_rules
+from ledgerloom.operators.rules import ALREADY_ACCEPTED, BEYOND_MONEY, UNKNOWN_ACCOUNT, value_rules
 from ledgerloom.operators.sets import same_rows
 from ledgerloom.operators.transforms import typed_silver, with_run_lineage
 from ledgerloom.schemas import (
@@ -174,11 +175,13 @@ def _file_log_rows(files: DataFrame, run_id: str) -> DataFrame:
 def judge(bronze: DataFrame, accounts: DataFrame, accepted_before: DataFrame | None = None) -> DataFrame:
     """All eight rules per row: adds ``reasons`` and ``is_valid``.
 
+    An amount that is right but that silver's type cannot hold has a reason of its own.
+
     ``bronze`` has the text columns, file_date and the lineage columns of :data:`ORDER`.
     """
     flagged = with_unknown_flag(bronze, account_ids(accounts), "account_id", "unknown_account")
     unknown = ~is_missing(F.col("account_id")) & F.col("unknown_account")
-    rules = [*value_rules(), (UNKNOWN_ACCOUNT, unknown)]
+    rules = [*value_rules(), (BEYOND_MONEY, is_beyond_money(F.col("amount"))), (UNKNOWN_ACCOUNT, unknown)]
     # judged once: the rows that find the winners and the rows that get the verdict are the same
     flagged = materialize(with_place(flagged.withColumn("mask", broken_mask(rules)), ORDER, "place"), "judged")
     flagged = first_accepted_wins(

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ledgerloom.functions.text import na_to_null
 from ledgerloom.operators.sets import stack
 from ledgerloom.schemas import TRANSACTION_COLUMNS
-from ledgerloom.sources.delimited import FIELD_LIMIT, csv_fields, number_lines, opens_quote, read_lines
+from ledgerloom.sources.delimited import RECORD_LIMIT, csv_fields, number_lines, opens_quote, read_lines
 from ledgerloom.sources.files import find_branch_files
 
 # File error texts.
@@ -24,7 +24,7 @@ FILE_REPORT = "file string, path string, header string, open_quotes boolean, err
 
 
 def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Per file: first non-empty line, longest row and whether a quoted value spans lines."""
+    """Per file: first non-empty line, longest row, longest line and whether a quoted value spans lines."""
     line = F.col("value")
     first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
     return (
@@ -34,6 +34,7 @@ def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
             first.alias("place"),
             F.regexp_replace(line, "^\ufeff", "").alias("line"),
             F.size(csv_fields(line)).alias("width"),
+            F.char_length(line).alias("chars"),
             opens_quote(line).alias("odd"),
         )
         .filter(F.col("line") != "")
@@ -41,6 +42,7 @@ def _probe(spark: SparkSession, paths: list[str]) -> DataFrame:
         .agg(
             F.min_by("line", "place").alias("header"),
             F.max("width").alias("width"),
+            F.max("chars").alias("chars"),
             F.bool_or("odd").alias("open_quotes"),
         )
     )
@@ -51,13 +53,13 @@ def _joined_widths(spark: SparkSession, paths: list[str]) -> dict[str, tuple[int
     if not paths:
         return {}
     width = F.max(F.size(csv_fields(F.col("line")))).alias("width")
-    found = read_lines(spark, paths).groupBy("source_filename").agg(width, F.bool_or("oversize").alias("oversize"))
+    found = read_lines(spark, paths, None).groupBy("source_filename").agg(width, F.bool_or("oversize").alias("oversize"))
     return {r.source_filename: (r.width, r.oversize) for r in found.collect()}
 
 
 def _joined_rows(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
     """Rows of files whose quoted values span lines, by position; the files are read split."""
-    records = number_lines(read_lines(spark, paths)).filter(F.col("record_number").isNotNull())
+    records = number_lines(read_lines(spark, paths, None)).filter(F.col("record_number").isNotNull())
     fields = records.withColumn("fields", csv_fields(F.col("line")))
     return fields.select(
         *[na_to_null(F.get("fields", i)).alias(n) for i, n in enumerate(names)], F.col("source_filename").alias("source_file")
@@ -77,12 +79,14 @@ def _names(header: str) -> list[str]:
 def file_report(spark: SparkSession, folder: str) -> DataFrame:
     """One row per branch file: file, path, header, open_quotes, error (NULL when readable).
 
+    Values may be of any length; only a record beyond ``RECORD_LIMIT`` is a fault, on one line or on several.
+
     Faults are decided on the driver from one short row per file, as the file list itself is.
     """
     found = find_branch_files(spark, folder)
     paths = [r.path for r in found.select("path").collect()]
     probed = found.join(_probe(spark, paths), F.col("filename") == F.col("file"), "left")
-    listed = probed.select("filename", "path", "header", "width", "open_quotes").collect()
+    listed = probed.select("filename", "path", "header", "width", "chars", "open_quotes").collect()
     joined = _joined_widths(spark, [r.path for r in listed if r.open_quotes])
     rows = []
     for r in listed:
@@ -92,9 +96,9 @@ def file_report(spark: SparkSession, folder: str) -> DataFrame:
         else:
             names = _names(r.header)
             absent = [c for c in TRANSACTION_COLUMNS if c not in names]
-            width, oversize = joined.get(r.filename, (r.width, False))
+            width, oversize = joined.get(r.filename, (r.width, r.chars > RECORD_LIMIT))
             if oversize:
-                error = f"{UNREADABLE}field larger than field limit ({FIELD_LIMIT})"
+                error = f"{UNREADABLE}record larger than record limit ({RECORD_LIMIT})"
             elif width > len(names):
                 error = f"{UNREADABLE}Expected {len(names)} fields, saw {width}"
             elif absent:

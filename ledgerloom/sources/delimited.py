@@ -13,10 +13,10 @@ from ledgerloom.functions.text import is_missing, strip
 from ledgerloom.schemas import TRANSACTION_COLUMNS
 from ledgerloom.session import materialize
 
-# Fixed value: longest value of a delimited file, in characters; a longer one is a fault of its file
+# Fixed value: longest value of strict, reference and daily files, in characters; a longer one is a fault of its file
 FIELD_LIMIT = 131_072
-# a record of several lines beyond this surely holds such a value, and is not put together
-JOIN_LIMIT = 64 * FIELD_LIMIT
+# longest record of any file, on one line or on several: a row of a table holds it whole
+RECORD_LIMIT = 1 << 28
 
 # possessive loops: the regex engine recurses on the others, once for every character
 _QUOTED_FIELDS = r',(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
@@ -51,7 +51,7 @@ def join_quoted_lines(lines: DataFrame) -> DataFrame:
 
     Only files that have such values are touched. Whether a line starts inside quotes follows
     from the number of quotes before it: a running count inside each block plus the blocks' totals.
-    A record longer than :data:`JOIN_LIMIT` - mostly a quote that is never closed - is one row with
+    A record longer than :data:`RECORD_LIMIT` - mostly a quote that is never closed - is one row with
     ``oversize`` set and no text, so no group can grow without bound.
     """
     files = materialize(lines.filter(opens_quote(F.col("line"))).select("source_filename").distinct(), "quoted")
@@ -82,7 +82,7 @@ def join_quoted_lines(lines: DataFrame) -> DataFrame:
     )
     # the size of a record is known before its lines meet
     size = records.groupBy("source_filename", "start").agg(F.sum(F.length("line") + 1).alias("chars"))
-    large = size.filter(F.col("chars") > JOIN_LIMIT)
+    large = size.filter(F.col("chars") > RECORD_LIMIT)
     parts = F.array_sort(F.collect_list(F.struct("block", "seq", "line")))
     joined = (
         records.join(large, ["source_filename", "start"], "left_anti")
@@ -99,12 +99,12 @@ def join_quoted_lines(lines: DataFrame) -> DataFrame:
     return whole.unionByName(joined).unionByName(unread)
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], field_limit: int | None = FIELD_LIMIT) -> DataFrame:
     """Records of the files with their place: (source_filename, block, seq, line, oversize).
 
     Lines end at a line feed; a carriage return before it belongs to the line end only where the record
     ends, so a quoted value keeps its own line ends. ``oversize`` marks a record with a value beyond
-    :data:`FIELD_LIMIT`, whether it lies on one line or on several.
+    ``field_limit`` (None: there is none), or one beyond :data:`RECORD_LIMIT`, whether it lies on one line or on several.
 
     Written once to the shared folder: ``seq`` depends on how the scan was split, so every later
     step has to see the same numbers. Inside a (file, block) it grows with the line order.
@@ -116,8 +116,11 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("value").alias("line"),
     )
     records = join_quoted_lines(materialize(raw, "lines")).withColumn("line", F.regexp_replace("line", "\r\\z", ""))
-    wide = F.exists(csv_fields(F.col("line")), lambda v: F.char_length(v) > FIELD_LIMIT)
-    return records.withColumn("oversize", F.col("oversize") | ((F.length("line") > FIELD_LIMIT) & wide))
+    oversize = F.col("oversize") | (F.length("line") > RECORD_LIMIT)
+    if field_limit is not None:
+        wide = F.exists(csv_fields(F.col("line")), lambda v: F.char_length(v) > field_limit)
+        oversize = oversize | ((F.length("line") > field_limit) & wide)
+    return records.withColumn("oversize", oversize)
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -274,20 +277,40 @@ def read_reference_csv(spark: SparkSession, path: str, required: list[str]) -> D
 # --- daily files: by header name, in file and row order ---
 
 
-def read_daily_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of daily files by header name with source_file and row_no; a missing column is NULL."""
+def daily_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and per-file findings of daily files; a missing column is NULL.
+
+    Rows: the six values by header name, source_file and row_no, of the files without a fault.
+    Findings: source_filename, source_rows, error (NULL when sound); a value beyond the limit is the fault
+    of its file, and the other files are read.
+    """
     numbered = materialize(number_lines(read_lines(spark, paths)), "daily")
     rows = numbered.filter(F.col("record_number").isNotNull())
-    named = rows.join(headers(numbered), "source_filename").withColumn(
-        "fields", csv_fields(_readable(F.col("oversize"), F.col("line")))
+    counted = rows.groupBy("source_filename").agg(
+        F.count("*").alias("source_rows"), F.min(F.when(F.col("oversize"), F.col("record_number"))).alias("bad")
     )
+    fault = F.concat(F.lit("data row "), F.col("bad"), F.lit(f": field larger than field limit ({FIELD_LIMIT})"))
+    findings = materialize(
+        headers(numbered)
+        .join(counted, "source_filename", "left")
+        .select("source_filename", "header", F.coalesce("source_rows", F.lit(0)).alias("source_rows"), fault.alias("error")),
+        "daily-findings",
+    )
+    sound = findings.filter(F.col("error").isNull()).select("source_filename", "header")
+    named = rows.join(sound, "source_filename").withColumn("fields", csv_fields(F.col("line")))
 
     def value(column: str) -> Column:
         place = F.array_position("header", column)
         return F.when(place > 0, F.try_element_at("fields", place.cast("int"))).alias(column)
 
-    return named.select(
+    shaped = named.select(
         *[value(c) for c in TRANSACTION_COLUMNS],
         F.col("source_filename").alias("source_file"),
         F.col("record_number").alias("row_no"),
     )
+    return shaped, findings.drop("header")
+
+
+def read_daily_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of the sound ones of the daily files, see :func:`daily_rows`."""
+    return daily_rows(spark, paths)[0]

@@ -51,12 +51,17 @@ def test_compact_date_key_and_day_name(spark):
 @pytest.mark.parametrize("value, expected", [
     ("10.00", True), ("120", True), ("0.01", True), ("0.00", False), ("-50.00", False), ("", False), (None, False),
     ("ABC", False), ("1e10", False), ("1,200.00", False), (" 10.00", False), ("10.", False), (".5", False),
-    ("00012.50", True), ("12.345", True), ("9999999999999999.99", True), ("99999999999999999", False), ("+5", False),
+    ("00012.50", True), ("12.345", True), ("9999999999999999.99", True), ("99999999999999999", True), ("9" * 30 + ".5", True), ("0" * 40, False), ("+5", False),
 ])
 def test_plain_positive_amount(spark, value, expected):
     assert evaluate(spark, [value], money.is_plain_positive) == [expected]
 
 
+def test_amounts_beyond_the_money_type(spark):
+    values = ["9999999999999999.99", "99999999999999999", "0000000000000000000012.50", "12.3456789012345678901", "x" * 30, None, "9" * 40]
+    assert evaluate(spark, values, money.is_beyond_money) == [False, True, False, False, False, False, True]
+
+
 def test_amount_parse_keeps_scientific_and_drops_non_numbers(spark):
     assert evaluate(spark, ["1e3", "90.005", "inf", "nan", "x"], money.parse_money) == [1000.0, 90.01, None, None, None]
 

@@ -14,16 +14,14 @@ from ledgerloom.schemas import TRANSACTION_COLUMNS
 from ledgerloom.sources.branch_files import file_report, read_branch_files
 from ledgerloom.sources.delimited import (
     csv_fields,
+    daily_rows,
     file_faults,
     number_lines,
     read_lines,
     read_reference_csv,
     strict_rows,
 )
-from ledgerloom.sources.files import classify_names, discover, find_branch_files, list_files, with_sha256
-
-NO_MATCH = "filename does not match BR<digits>_<YYYYMMDD>_TRANSACTION.csv"
-BAD_DATE = "filename date is not a real calendar date"
+from ledgerloom.sources.files import NAME_BAD_DATE, NAME_MISMATCH, classify_names, discover, find_branch_files, list_files, with_sha256
 
 
 def folder_with(tmp_path, files):
@@ -32,13 +30,18 @@ def folder_with(tmp_path, files):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name, branch, day, reason", [
-    ("BR001_20260906_TRANSACTION.csv", "BR001", "2026-09-06", None),
-    ("BR12_20260101_TRANSACTION.csv", "BR12", "2026-01-01", None),
-    ("BR001_20261301_TRANSACTION.csv", None, None, BAD_DATE),
-    ("transactions_20260907.csv", None, None, NO_MATCH),
-    ("BRabc_20260906_TRANSACTION.csv", None, None, NO_MATCH),
-])
+def file_name_cases():
+    """(name, branch, day, reason): a right name of each branch, and the same name with one part spoiled."""
+    for number, day in (("7", "20310214"), ("0440", "20280229"), ("123456789", "19991231")):
+        right = f"BR{number}_{day}_TRANSACTION.csv"
+        yield right, f"BR{number}", f"{day[:4]}-{day[4:6]}-{day[6:]}", None
+        for wrong in (right.lower(), right.replace(".csv", ".CSV"), right.replace(f"_{day}", ""), right.replace(day, day[1:]), f"x{right}", f"{right}.bak", right.replace("BR", "BR-")):
+            yield wrong, None, None, NAME_MISMATCH
+        for never in ("0229" if day[:4] != "2028" else "0230", "0431", "0010", "1200"):
+            yield right.replace(day, day[:4] + never), None, None, NAME_BAD_DATE
+
+
+@pytest.mark.parametrize("name, branch, day, reason", list(file_name_cases()))
 def test_file_names(spark, name, branch, day, reason):
     r = classify_names(spark.createDataFrame([(name,)], "filename string")).first()
     assert (r.branch_id, str(r.file_date) if r.file_date else None, r.reason) == (branch, day, reason)
@@ -54,7 +57,7 @@ def test_manifest_and_hashes(spark, tmp_path):
     assert set(got) == {p.name for p in tmp_path.iterdir() if p.is_file()}
     for name, r in got.items():
         assert r.sha256 == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
-    assert got["notes.txt"].reason == NO_MATCH
+    assert got["notes.txt"].reason == NAME_MISMATCH
     # files above the limit are hashed as a stream, with the same result
     streamed = {r.filename: r.sha256 for r in with_sha256(spark, folder, whole_file_limit=80).collect()}
     assert streamed == {name: r.sha256 for name, r in got.items()}
@@ -142,6 +145,38 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert all(faults[b].endswith(": field larger than field limit (131072)") for b in ("BR003", "BR004"))
 
 
+@pytest.mark.parametrize("broken_line", [False, True])
+def test_branch_values_of_any_length(spark, tmp_path, broken_line):
+    """A value of 140,000 characters is read, whether or not another row has a line break in quotes."""
+    long = "v" * 140_000
+    second = '"a\nb"' if broken_line else "ab"
+    write_lines(tmp_path, "BR001_20310214_TRANSACTION.csv", [f"{long},A1,d,CREDIT,1,USD", f"{second},A2,d,CREDIT,2,USD"])
+    rows, report = read_branch_files(spark, str(tmp_path))
+    assert sorted(r.transaction_id for r in rows.collect()) == sorted([long, second.strip('"')])
+    assert [r.error for r in report.collect()] == [None]
+
+
+def test_records_of_many_long_values(spark, tmp_path):
+    """Seventy values just below the limit over several lines are a sound record; one beyond it is not."""
+    names = [f"c{i}" for i in range(70)]
+    values = [f"{i}\n" + "x" * 124_990 for i in range(70)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(f'"{v}"' for v in values) + "\n")
+    row = read_reference_csv(spark, str(tmp_path / "wide.csv"), names).first()
+    assert [row[n] for n in names] == values and row["row_issues"] == []
+
+
+def test_daily_file_with_a_long_value_is_its_own_fault(spark, tmp_path):
+    write_lines(tmp_path, "transactions_20310214.csv", ["T1,A1,d,CREDIT,1,USD", "T2,A1,d,CREDIT,2,USD"])
+    write_lines(tmp_path, "transactions_20310215.csv", ["T3,A1,d,CREDIT,1,USD", f"{'y' * 140_000},A1,d,CREDIT,2,USD"])
+    rows, findings = daily_rows(spark, [str(p) for p in tmp_path.iterdir()])
+    assert sorted((r.source_file, r.row_no, r.transaction_id) for r in rows.collect()) == [
+        ("transactions_20310214.csv", 1, "T1"), ("transactions_20310214.csv", 2, "T2")]
+    errors = {r.source_filename: (r.source_rows, r.error) for r in findings.collect()}
+    assert errors == {
+        "transactions_20310214.csv": (2, None),
+        "transactions_20310215.csv": (2, "data row 2: field larger than field limit (131072)")}
+
+
 def test_long_quoted_values_and_their_line_ends(spark, tmp_path):
     """Values of 100,000 characters, thirty thousand doubled quotes, and line ends inside quotes as delivered."""
     values = ["v" * 100_000, '"' * 30_000, "a\r\nb", "a\nb", ",", "plain"]
