@@ -11,8 +11,7 @@ from ledgerloom.functions.dates import date_key
 from ledgerloom.operators.aggregates import activity_by, distinct_values, fold, roll_up
 from ledgerloom.operators.transforms import with_date_parts
 from ledgerloom.plans.operational import Frames, ordered
-from ledgerloom.sinks.publish import overwrite_tables
-from ledgerloom.sources.tables import load_table
+from ledgerloom.sinks.together import publish_together, read_together
 
 
 @dataclass(frozen=True)
@@ -31,9 +30,8 @@ class Star:
 
 
 def load_star(spark: SparkSession, base: str) -> Star:
-    """Star tables written by :func:`rebuild_star`."""
-    names = ["dim_customer", "dim_account", "dim_branch", "dim_date", "fact_transaction"]
-    return Star(*[load_table(spark, base, name) for name in names])
+    """Star tables of the last :func:`rebuild_star` that ended, all of the same one."""
+    return Star(**read_together(spark, base))
 
 
 def build_star(t: Frames) -> Star:
@@ -53,9 +51,9 @@ def build_star(t: Frames) -> Star:
     )
 
 
-def rebuild_star(t: Frames, base: str) -> None:
-    """Replace all star tables."""
-    overwrite_tables(build_star(t).tables(), base)
+def rebuild_star(t: Frames, base: str) -> int:
+    """Replace all star tables at one instant; returns the number of the build."""
+    return publish_together(build_star(t).tables(), base)
 
 
 def _per(s: Star, keys: list[str], measures: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Landing folder -> bronze -> silver and exceptions -> gold, one run at a time.
 
-Every step is set-based and lazy up to its write. Bronze, silver and exceptions are partitioned
-by run; a run's silver and exceptions count from the moment its PROCESSED file events are
-written, so a run that stops half-way leaves nothing behind that a later run would see.
+Every step is set-based and lazy up to its write. Bronze, silver, exceptions, the accepted ids and the
+run's part of gold are partitioned by run; they count from the moment the run's commit exists, so a run
+that stops half-way leaves nothing behind that a later run would see. A commit takes the next number
+after the one that was the last when the run began. If another run has taken it, this run fails whole:
+it has judged ids and files without knowing the other's.
 """
 
 from __future__ import annotations
@@ -30,16 +32,20 @@ from ledgerloom.schemas import (
     BRONZE,
     EXCEPTIONS,
     GOLD,
+    GOLD_PART,
     SILVER,
+    TOTAL,
     TRANSACTION_COLUMNS,
 )
 from ledgerloom.session import materialize
 from ledgerloom.sinks import audit
+from ledgerloom.sinks.commits import CommitConflict, CommitLog
 from ledgerloom.sinks.publish import publish, read_current, read_or_empty
 from ledgerloom.sources.delimited import file_faults, strict_rows
 from ledgerloom.sources.files import branch_of, discover
 from ledgerloom.sources.tables import account_ids
 from ledgerloom.streaming.dedup import first_accepted_wins, with_place
+from ledgerloom.streaming.id_index import IdIndex
 from ledgerloom.streaming.idempotency import (
     LOADED,
     PROCESSED,
@@ -49,6 +55,7 @@ from ledgerloom.streaming.idempotency import (
     with_prior_copy,
 )
 
+RESULTS = "source_filename string, source_rows long, bronze_rows long, accepted_rows long, rejected_rows long, reconciled boolean"
 ORDER = ["file_date", "branch_id", "source_filename", "source_row_number"]
 
 GOLD_SQL = """
@@ -86,23 +93,39 @@ class Store:
     def run_audit(self) -> DataFrame:
         return audit.run_audit(self.run_events())
 
-    def file_events(self) -> DataFrame:
+    @property
+    def commits(self) -> CommitLog:
+        return CommitLog(self.spark, self._at("_commits"))
+
+    @property
+    def accepted_ids(self) -> IdIndex:
+        return IdIndex(self.spark, self._at("accepted_ids"))
+
+    def committed_runs(self) -> DataFrame:
+        return self.commits.entries("run_id string").distinct()
+
+    def logged_events(self) -> DataFrame:
+        """The file log as written, also what runs without a commit have written."""
         return audit.file_events(self.spark, self.file_log)
 
+    def file_events(self) -> DataFrame:
+        """Events of the file log; PROCESSED ones count for committed runs only."""
+        events = self.logged_events()
+        done = events.filter(F.col("file_status") == PROCESSED).join(self.committed_runs(), "run_id", "left_semi")
+        return events.filter(F.col("file_status") != PROCESSED).unionByName(done)
+
     def file_audit(self) -> DataFrame:
         return current_files(self.file_events())
 
     def bronze(self) -> DataFrame:
         """Rows of files that reached LOADED."""
-        loaded = self.file_events().filter(F.col("file_status") == LOADED).select("run_id", "source_filename")
+        loaded = self.logged_events().filter(F.col("file_status") == LOADED).select("run_id", "source_filename")
         rows = read_or_empty(self.spark, self._at("bronze"), BRONZE)
         return rows.join(loaded.distinct(), ["run_id", "source_filename"], "left_semi")
 
     def _committed(self, name: str, schema) -> DataFrame:
-        runs = self.file_events().filter(F.col("file_status") == PROCESSED).select("run_id").distinct()
-        return read_or_empty(self.spark, self._at(name), schema).join(runs, "run_id", "left_semi").select(
-            *schema.fieldNames()
-        )
+        held = read_or_empty(self.spark, self._at(name), schema)
+        return held.join(self.committed_runs(), "run_id", "left_semi").select(*schema.fieldNames())
 
     def silver(self) -> DataFrame:
         return self._committed("silver", SILVER)
@@ -110,6 +133,10 @@ class Store:
     def exceptions(self) -> DataFrame:
         return self._committed("exceptions", EXCEPTIONS)
 
+    def gold_parts(self) -> DataFrame:
+        """Counts and totals that each run adds to gold."""
+        return self._committed("gold_parts", GOLD_PART)
+
     def gold(self) -> DataFrame:
         return read_current(self.spark, self.gold_home)
 
@@ -195,18 +222,26 @@ def judge(bronze: DataFrame, accounts: DataFrame, accepted_before: DataFrame | N
     ).drop("unknown_account", "repeated", "mask", "place")
 
 
-def validate(store: Store, run_id: str, accounts: DataFrame) -> DataFrame:
-    """Bronze rows of this run -> silver and exceptions; all or nothing. Returns the file results."""
-    files = materialize(loaded_in_run(store.file_events(), run_id), "pending")
+def validate(store: Store, run_id: str, accounts: DataFrame, seen: int | None = None) -> DataFrame:
+    """Bronze rows of this run -> silver and exceptions; all or nothing. Returns the file results.
+
+    ``seen`` is the number of the last commit when the run began, by default the present one.
+    """
+    seen = store.commits.version() if seen is None else seen
+    files = materialize(loaded_in_run(store.logged_events(), run_id), "pending")
+    if files.isEmpty():
+        return store.spark.createDataFrame([], RESULTS)
     rows = store.bronze().filter(F.col("run_id") == run_id).join(
         files.select("source_filename", "file_date"), "source_filename"
     )
-    checked = materialize(judge(rows, accounts, store.silver()), "checked")
+    before = store.accepted_ids.seen(rows.select("transaction_id"), store.committed_runs()).withColumnRenamed("id", "transaction_id")
+    checked = materialize(judge(rows, accounts, before), "checked")
     results = materialize(reconcile_files(files.select("source_filename", "source_rows"), checked), "results")
     assert_reconciled(results)
-    if results.isEmpty():
-        return results
-    store.write_rows(typed_silver(checked.filter("is_valid")), "silver", SILVER)
+    accepted = typed_silver(checked.filter("is_valid"))
+    store.write_rows(accepted, "silver", SILVER)
+    store.write_rows(branch_daily_summary(accepted).withColumn("run_id", F.lit(run_id)), "gold_parts", GOLD_PART)
+    store.accepted_ids.add(run_id, accepted.select("transaction_id"))
     rejected = checked.filter(~F.col("is_valid")).withColumns(
         {
             "rejection_reasons": join_reasons(F.col("reasons")),
@@ -221,6 +256,7 @@ def validate(store: Store, run_id: str, accounts: DataFrame) -> DataFrame:
         .withColumn("file_status", F.lit(PROCESSED))
     )
     audit.append_file_events(events, store.file_log)
+    store.commits.commit(seen, {"run_id": run_id})
     return results
 
 
@@ -228,12 +264,23 @@ def gold_with_dataframe(silver: DataFrame) -> DataFrame:
     return branch_daily_summary(silver)
 
 
+def gold_from_parts(parts: DataFrame) -> DataFrame:
+    """Gold from what each run adds to it: counts and exact totals add up."""
+    return parts.groupBy("branch_id", "transaction_date", "transaction_type").agg(
+        F.sum("transaction_count").alias("transaction_count"), F.sum("total_amount").cast(TOTAL).alias("total_amount")
+    )
+
+
 def gold_with_sql(silver: DataFrame) -> DataFrame:
     return silver.sparkSession.sql(GOLD_SQL, silver=silver)
 
 
 def transform(silver: DataFrame, first=gold_with_dataframe, second=gold_with_sql) -> DataFrame:
-    """Gold computed twice from all of silver; a difference is an error. Empty silver, empty gold."""
+    """Gold computed in two ways; a difference is an error. Empty silver, empty gold.
+
+    The results meet as fingerprints. A run of :func:`run_medallion` adds up the runs' parts as the first way,
+    so all of silver is read once, by the second.
+    """
     gold, again = materialize(first(silver), "gold"), second(silver)
     if not same_rows(gold, again):
         raise ValueError("PySpark and SQL Gold results differ")
@@ -269,10 +316,21 @@ def run_summary(ingested: DataFrame, results: DataFrame, unrecognized: int, gold
     )
 
 
-def run_medallion(spark: SparkSession, landing: str, base: str, accounts: DataFrame) -> dict:
-    """All steps once. Never raises after the start: the result names a failing step."""
+def run_medallion(spark: SparkSession, landing: str, base: str, accounts: DataFrame, attempts: int = 1) -> dict:
+    """All steps once. Never raises after the start: the result names a failing step.
+
+    A run that another run has overtaken fails at validate; with ``attempts`` above 1 it starts again as a new run,
+    which finds the other's files and ids.
+    """
+    for attempt in range(attempts):
+        result, overtaken = _run_once(spark, landing, base, accounts)
+        if not overtaken or attempt == attempts - 1:
+            return result
+
+
+def _run_once(spark: SparkSession, landing: str, base: str, accounts: DataFrame) -> tuple[dict, bool]:
     store = Store(spark, base)
-    run_id = audit.new_run_id()
+    run_id, seen, overtaken = audit.new_run_id(), store.commits.version(), False
     audit.append_run_event(spark, store.run_log, run_id, audit.RUNNING)
     result = {"run_id": run_id, "gold_rows": 0, "unrecognized": None}
     step = "discover"
@@ -283,15 +341,20 @@ def run_medallion(spark: SparkSession, landing: str, base: str, accounts: DataFr
         step = "ingest"
         ingested = ingest(store, run_id, manifest.filter(F.col("reason").isNull()).drop("reason"))
         step = "validate"
-        results = validate(store, run_id, accounts)
-        step = "transform"
-        gold = transform(store.silver())
-        step = "publish"
+        results = validate(store, run_id, accounts, seen)
+        # gold follows the commits: if another run commits meanwhile, it is computed again from both
+        while True:
+            step, version = "transform", store.commits.version()
+            gold = transform(store.silver(), first=lambda _: gold_from_parts(store.gold_parts()))
+            step = "publish"
+            if store.commits.version() == version:
+                break
         result["gold_rows"] = publish_gold(store, run_id, gold)
         result["status"] = audit.SUCCESS
         result["reason"] = run_summary(ingested, results, unrecognized.count(), result["gold_rows"])
     except Exception as error:
+        overtaken = isinstance(error, CommitConflict)
         result["status"] = audit.FAILED
         result["reason"] = f"{step} failed: {type(error).__name__}: {error}"
     audit.append_run_event(spark, store.run_log, run_id, result["status"], result["reason"])
-    return result
+    return result, overtaken

@@ -74,6 +74,9 @@ GOLD = _struct(
     {"transaction_date": DateType(), "transaction_count": LongType(), "total_amount": TOTAL},
 )
 
+# what one run adds to gold
+GOLD_PART = StructType([*GOLD.fields, StructField("run_id", StringType())])
+
 DIM_DATE = _struct(
     "date_key full_date year month day day_name",
     {

@@ -26,20 +26,21 @@ CSV_FORMAT = {
 }
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path, JVM) of a path of any scheme."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target, jvm
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    store, target, _ = _hadoop_path(spark, path)
+    store, target, _ = hadoop_path(spark, path)
     return store.exists(target)
 
 
 def _write_pointer(spark: SparkSession, base: str, version: str) -> None:
     """Switch to ``version``: the pointer is written aside and renamed over the old one in one step."""
-    store, aside, jvm = _hadoop_path(spark, f"{base}/.{POINTER}-{uuid.uuid4().hex}")
+    store, aside, jvm = hadoop_path(spark, f"{base}/.{POINTER}-{uuid.uuid4().hex}")
     stream = store.create(aside, False)
     try:
         stream.write(bytearray(version, "utf-8"))
@@ -120,7 +121,7 @@ def publish(
     if export is None or export is df:
         export = written
     write_csv(export, f"{home}/csv", order)
-    store, mark, _ = _hadoop_path(spark, f"{home}/{PUBLISHED}")
+    store, mark, _ = hadoop_path(spark, f"{home}/{PUBLISHED}")
     store.create(mark, True).close()
     _write_pointer(spark, base.rstrip("/"), version)
     return facts["__rows"]
@@ -146,12 +147,6 @@ def write_checked_parquet(df: DataFrame, path: str) -> tuple[int, int]:
     return meant, read
 
 
-def overwrite_tables(tables: dict[str, DataFrame], base: str) -> None:
-    """Full rebuild of a set of tables."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base.rstrip('/')}/{name}")
-
-
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Parquet at ``path``, or no rows while nothing was written there."""
     if not path_exists(spark, path):

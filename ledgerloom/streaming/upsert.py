@@ -9,6 +9,7 @@ from ledgerloom.operators.joins import with_unknown_flag
 from ledgerloom.operators.rules import normalized
 from ledgerloom.schemas import TRANSACTION_COLUMNS
 from ledgerloom.session import materialize
+from ledgerloom.streaming.keyed_table import KeyedTable
 
 # Outcome names.
 INSERTED, UPDATED, UNCHANGED = "inserted", "updated", "unchanged"
@@ -78,17 +79,34 @@ def outcomes(flagged: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFr
     return rows.withColumn("outcome", outcome).select(*shown).unionByName(idle.select(*shown))
 
 
+def last_writes(flagged: DataFrame) -> DataFrame:
+    """Per id the last row that writes, in (source_file, row_no) order: transaction_id and its state."""
+    return (
+        flagged.filter("writes")
+        .groupBy("transaction_id")
+        .agg(F.max_by(F.struct(*STATE), F.struct("source_file", "row_no")).alias("state"))
+        .select("transaction_id", "state.*")
+    )
+
+
+def upsert_batch(table: KeyedTable, batch: DataFrame, accounts: DataFrame) -> tuple[DataFrame, int]:
+    """Bring a batch into the stored table: (flagged rows for :func:`outcomes`, number of the commit).
+
+    Only buckets that hold ids of the batch are read, only those with an id that is written are rewritten. The
+    commit fails if the table has moved on since the batch was judged.
+    """
+    seen = table.log.version()
+    ids = normalized(batch).select("transaction_id").filter("transaction_id IS NOT NULL")
+    flagged = flag_rows(table.read_for(ids), batch, accounts)
+    return flagged, table.upsert(last_writes(flagged), seen)
+
+
 def merged(target: DataFrame, flagged: DataFrame) -> DataFrame:
     """``target`` after the batch: per id the last write in (source_file, row_no) order.
 
     ``flagged`` is what :func:`flag_rows` or :func:`classify` gives; the former is cheaper.
     """
-    last = (
-        flagged.filter("writes")
-        .groupBy("transaction_id")
-        .agg(F.max(F.struct("source_file", "row_no", F.struct(*STATE).alias("state"))).alias("last"))
-        .select("transaction_id", "last.state.*")
-    )
+    last = last_writes(flagged)
     kept = target.join(last.select("transaction_id"), "transaction_id", "left_anti")
     return kept.select("transaction_id", *STATE).unionByName(last)
 
