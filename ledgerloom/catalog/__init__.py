@@ -32,9 +32,9 @@ class Registry:
 
 
 def registry() -> Registry:
-    from ledgerloom.catalog import files, operators, products, quality, reports, state
+    from ledgerloom.catalog import files, operators, products, quality, reports, runs, state
 
     reg = Registry()
-    for module in (reports, operators, quality, state, files, products):
+    for module in (reports, operators, quality, state, files, products, runs):
         module.register(reg)
     return reg
