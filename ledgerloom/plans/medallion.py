@@ -42,7 +42,7 @@ from ledgerloom.sinks import audit
 from ledgerloom.sinks.commits import CommitConflict, CommitLog
 from ledgerloom.sinks.publish import publish, read_current, read_or_empty
 from ledgerloom.sources.delimited import file_faults, strict_rows
-from ledgerloom.sources.files import branch_of, discover
+from ledgerloom.sources.files import HASHED, HASHED_COLUMNS, branch_of, discover
 from ledgerloom.sources.tables import account_ids
 from ledgerloom.streaming.dedup import first_accepted_wins, with_place
 from ledgerloom.streaming.id_index import IdIndex
@@ -104,6 +104,14 @@ class Store:
     def committed_runs(self) -> DataFrame:
         return self.commits.entries("run_id string").distinct()
 
+    def discover(self, landing: str) -> DataFrame:
+        """Manifest of a landing folder; only files that are new or changed since an earlier run are opened."""
+        known = read_or_empty(self.spark, self._at("known_files"), self.spark.createDataFrame([], HASHED).schema)
+        manifest = materialize(discover(self.spark, landing, known), "manifest")
+        fresh = manifest.select(*HASHED_COLUMNS).join(known, HASHED_COLUMNS, "left_anti")
+        fresh.coalesce(1).write.mode("append").parquet(self._at("known_files"))
+        return manifest.drop("length", "modified")
+
     def logged_events(self) -> DataFrame:
         """The file log as written, also what runs without a commit have written."""
         return audit.file_events(self.spark, self.file_log)
@@ -335,7 +343,7 @@ def _run_once(spark: SparkSession, landing: str, base: str, accounts: DataFrame)
     result = {"run_id": run_id, "gold_rows": 0, "unrecognized": None}
     step = "discover"
     try:
-        manifest = materialize(discover(spark, landing), "manifest")
+        manifest = store.discover(landing)
         unrecognized = manifest.filter(F.col("reason").isNotNull()).select("filename", "reason")
         result["unrecognized"] = unrecognized
         step = "ingest"
