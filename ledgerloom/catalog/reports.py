@@ -13,8 +13,15 @@ from ledgerloom.catalog.roles import (
     with_roles,
 )
 from ledgerloom.plans import analytical, audit_queries, branch_report, layered, operational
-from ledgerloom.plans.customer_summary import customer_360, customer_lookups, reconcile
+from ledgerloom.plans.customer_summary import (
+    customer_360,
+    customer_lookups,
+    reconcile,
+    store_for_lookup,
+    stored_customer,
+)
 from ledgerloom.plans.operational import Frames
+from ledgerloom.session import scratch_path
 
 CREDITS = "COALESCE(SUM(amount) FILTER (transaction_type = 'CREDIT'), 0)"
 DEBITS = "COALESCE(SUM(amount) FILTER (transaction_type = 'DEBIT'), 0)"
@@ -361,6 +368,21 @@ def register(reg) -> None:
         )
         return customer_lookups(gold, ids).withColumn("customer_id", F.col("customer_id").cast("int"))
 
+    @reg.add(
+        "customer_360_stored_lookup",
+        with_roles(
+            """SELECT customer_id, account_count, transaction_count, total_transaction_amount FROM c360
+            WHERE CAST(customer_id AS VARCHAR) = (SELECT MAX(CAST(s_nationkey AS VARCHAR)) FROM supplier)""",
+            C360,
+        ),
+    )
+    def _(spark, folder):
+        base = scratch_path(spark, "lookup")
+        gold = c360(spark, folder).withColumn("customer_id", F.col("customer_id").cast("string"))
+        store_for_lookup(gold, base, rows_per_file=5)
+        last = table(spark, folder, "supplier").agg(F.max(F.col("s_nationkey").cast("string")).alias("id")).first().id
+        return stored_customer(spark, base, last or "none").withColumn("customer_id", F.col("customer_id").cast("int"))
+
     # audit questions: a run is a day of events, a file is a user's events of that day
     runs_sql = """runs AS (
         SELECT 'RUN_' || strftime(ts, '%Y%m%d') AS run_id, MIN(ts) AS started_at,

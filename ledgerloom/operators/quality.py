@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import CURRENCY, TRANSACTION_TYPES
@@ -118,26 +120,98 @@ def not_accepted(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     )
 
 
+def is_negative_amount(amount: Column) -> Column:
+    """The text reads as a number below zero; unreadable text does not."""
+    return amount.try_cast("decimal(18,2)") < 0
+
+
 def negative_amounts(raw: DataFrame) -> DataFrame:
     """Raw rows whose amount reads as a number below zero; unreadable text is not reported."""
-    return raw.filter(F.col("amount").try_cast("decimal(18,2)") < 0).select("transaction_id", "amount")
+    return raw.filter(is_negative_amount(F.col("amount"))).select("transaction_id", "amount")
 
 
-def run_tests(tests: dict[str, DataFrame]) -> DataFrame:
-    """(test_name, failing_values, failing_rows, passed) of many declarative tests in one job."""
-    return stack(
-        [
-            failing.agg(
-                F.count("*").alias("failing_values"),
-                F.coalesce(F.sum("failing_rows"), F.lit(0)).cast("long").alias("failing_rows"),
-            ).select(
-                F.lit(name).alias("test_name"),
-                "failing_values",
-                "failing_rows",
-                (F.col("failing_values") == 0).alias("passed"),
-            )
-            for name, failing in tests.items()
-        ]
+@dataclass(frozen=True)
+class ColumnTest:
+    """One declarative test of a column: which of its values to look at, and when a value has failed.
+
+    ``looked_at`` picks rows. Of the values found there, all fail, or with ``once`` those that occur more than once,
+    or with ``parent`` those that the only column of ``parent`` lacks; child and parent are compared as text.
+    """
+
+    column: str
+    looked_at: Column
+    once: bool = False
+    parent: DataFrame | None = None
+
+
+def unique(column: str) -> ColumnTest:
+    return ColumnTest(column, F.col(column).isNotNull(), once=True)
+
+
+def not_null(column: str) -> ColumnTest:
+    return ColumnTest(column, F.col(column).isNull())
+
+
+def has_parent(column: str, parent: DataFrame, field: str) -> ColumnTest:
+    return ColumnTest(column, F.col(column).isNotNull(), parent=parent.select(field))
+
+
+def accepted(column: str, values: list[str]) -> ColumnTest:
+    return ColumnTest(column, ~F.col(column).isin(values))
+
+
+def never(column: str, condition: Column) -> ColumnTest:
+    """A row fails where the condition holds; an unknown condition does not fail."""
+    return ColumnTest(column, condition)
+
+
+def failing_values(df: DataFrame, tests: dict[str, ColumnTest]) -> DataFrame:
+    """(test_name, failing_value, failing_rows) of all tests of one table from one scan and one grouping.
+
+    A row yields one (test, value) pair for each test that looks at it, and equal pairs are counted on the map side:
+    a hot or a missing value is one row per task. What is left after the counting meets the parents.
+    """
+    pairs = [
+        F.when(t.looked_at, F.struct(F.lit(i).alias("test"), F.col(t.column).cast("string").alias("failing_value")))
+        for i, t in enumerate(tests.values())
+    ]
+    counted = (
+        df.select(F.explode(F.array(*pairs)).alias("pair"))
+        .filter(F.col("pair").isNotNull())
+        .groupBy("pair.test", "pair.failing_value")
+        .agg(F.count("*").alias("failing_rows"))
+    )
+    once = [i for i, t in enumerate(tests.values()) if t.once]
+    parents = [
+        t.parent.toDF("value").select(F.lit(i).alias("test"), F.col("value").cast("string").alias("failing_value"))
+        for i, t in enumerate(tests.values())
+        if t.parent is not None
+    ]
+    failing = counted.filter(~F.col("test").isin(once) | (F.col("failing_rows") > 1)) if once else counted
+    if parents:
+        failing = failing.join(stack(parents), ["test", "failing_value"], "left_anti")
+    names = F.array(*[F.lit(name) for name in tests])
+    return failing.select(F.get(names, F.col("test")).alias("test_name"), "failing_value", "failing_rows")
+
+
+def run_tests(tables: list[tuple[DataFrame, dict[str, ColumnTest]]]) -> DataFrame:
+    """(test_name, failing_values, failing_rows, passed), one row per test, the passed ones included.
+
+    Each table is read once for all its tests, and once more where it is another one's parent.
+    """
+    names = [name for _, tests in tables for name in tests]
+    figures = []
+    for name in names:
+        mine = F.col("test_name") == name
+        rows = F.coalesce(F.sum(F.when(mine, F.col("failing_rows"))), F.lit(0)).cast("long")
+        figures.append(
+            F.struct(F.lit(name).alias("test_name"), F.count_if(mine).alias("failing_values"), rows.alias("failing_rows"))
+        )
+    failing = stack([failing_values(df, tests) for df, tests in tables])
+    return (
+        failing.agg(F.array(*figures).alias("figures"))
+        .select(F.inline("figures"))
+        .withColumn("passed", F.col("failing_values") == 0)
     )
 
 

@@ -25,6 +25,7 @@ from ledgerloom.operators.sets import stack
 from ledgerloom.schemas import CUSTOMER_EXCEPTION_COLUMNS, TRANSACTION_COLUMNS
 from ledgerloom.session import materialize
 from ledgerloom.sinks.audit import utc_now, utc_text
+from ledgerloom.sinks.lookup_table import ROWS_PER_FILE, look_up, write_for_lookup
 from ledgerloom.sinks.publish import publish
 from ledgerloom.sources.delimited import EXTRA_VALUES, read_reference_csv
 from ledgerloom.streaming.dedup import first_accepted_wins, repeats_in_order
@@ -198,14 +199,28 @@ def exceptions_by_entity(exceptions: DataFrame) -> DataFrame:
     return exceptions.groupBy("entity_type").agg(F.count("*").alias("exception_count"))
 
 
-def customer_lookup(gold: DataFrame, customer_id: str) -> DataFrame:
-    """The approved columns of one customer, or no row. The id is only ever a value."""
+def _wanted_id(customer_id: str) -> str:
     from urllib.parse import unquote
 
     wanted = unquote(customer_id).strip()
     if not wanted:
         raise ValueError("Customer ID is required")
-    return gold.filter(F.col("customer_id") == F.lit(wanted)).select(*APPROVED_COLUMNS)
+    return wanted
+
+
+def customer_lookup(gold: DataFrame, customer_id: str) -> DataFrame:
+    """The approved columns of one customer, or no row. The id is only ever a value."""
+    return gold.filter(F.col("customer_id") == F.lit(_wanted_id(customer_id))).select(*APPROVED_COLUMNS)
+
+
+def store_for_lookup(gold: DataFrame, base: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write gold below ``base`` in the layout that ``stored_customer`` reads."""
+    write_for_lookup(gold.select(*APPROVED_COLUMNS), base, "customer_id", rows_per_file)
+
+
+def stored_customer(spark: SparkSession, base: str, customer_id: str) -> DataFrame:
+    """``customer_lookup`` on stored gold: only the file that may hold the id is opened."""
+    return look_up(spark, base, "customer_id", _wanted_id(customer_id))
 
 
 def customer_lookups(gold: DataFrame, ids: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import INFLOW_TYPES, OUTFLOW_TYPES
 from ledgerloom.operators.aggregates import daily_account_activity
 from ledgerloom.operators.quality import (
-    negative_amounts,
-    not_accepted,
-    not_unique,
-    nulls,
+    ColumnTest,
+    accepted,
+    has_parent,
+    is_negative_amount,
+    never,
+    not_null,
     run_tests,
-    without_parent,
+    unique,
 )
 from ledgerloom.operators.transforms import cleansed, with_flow_amount
 
@@ -81,30 +83,45 @@ def build_layers(customers: DataFrame, accounts: DataFrame, transactions: DataFr
     }
 
 
-def data_tests(layers: dict[str, DataFrame], raw_transactions: DataFrame) -> dict[str, DataFrame]:
-    """Twelve tests as failing rows (value, number of rows)."""
+def data_tests(
+    layers: dict[str, DataFrame], raw_transactions: DataFrame
+) -> list[tuple[DataFrame, dict[str, ColumnTest]]]:
+    """Twelve tests, grouped by the table that they read."""
     c, a, t = layers["stg_customers"], layers["stg_accounts"], layers["stg_transactions"]
-    negative = (
-        negative_amounts(raw_transactions)
-        .groupBy(F.col("amount").cast("string").alias("failing_value"))
-        .agg(F.count("*").alias("failing_rows"))
-    )
-    return {
-        "unique_stg_customers_customer_id": not_unique(c, "customer_id"),
-        "not_null_stg_customers_customer_id": nulls(c, "customer_id"),
-        "unique_stg_accounts_account_id": not_unique(a, "account_id"),
-        "not_null_stg_accounts_account_id": nulls(a, "account_id"),
-        "not_null_stg_accounts_customer_id": nulls(a, "customer_id"),
-        "relationships_stg_accounts_customer_id": without_parent(a, "customer_id", c, "customer_id"),
-        "unique_stg_transactions_transaction_id": not_unique(t, "transaction_id"),
-        "not_null_stg_transactions_transaction_id": nulls(t, "transaction_id"),
-        "not_null_stg_transactions_account_id": nulls(t, "account_id"),
-        "relationships_stg_transactions_account_id": without_parent(t, "account_id", a, "account_id"),
-        "accepted_values_stg_transactions_transaction_type": not_accepted(
-            t, "transaction_type", [*INFLOW_TYPES, *OUTFLOW_TYPES]
+    return [
+        (
+            c,
+            {
+                "unique_stg_customers_customer_id": unique("customer_id"),
+                "not_null_stg_customers_customer_id": not_null("customer_id"),
+            },
         ),
-        "assert_nonnegative_transaction_amount": negative,
-    }
+        (
+            a,
+            {
+                "unique_stg_accounts_account_id": unique("account_id"),
+                "not_null_stg_accounts_account_id": not_null("account_id"),
+                "not_null_stg_accounts_customer_id": not_null("customer_id"),
+                "relationships_stg_accounts_customer_id": has_parent("customer_id", c, "customer_id"),
+            },
+        ),
+        (
+            t,
+            {
+                "unique_stg_transactions_transaction_id": unique("transaction_id"),
+                "not_null_stg_transactions_transaction_id": not_null("transaction_id"),
+                "not_null_stg_transactions_account_id": not_null("account_id"),
+                "relationships_stg_transactions_account_id": has_parent("account_id", a, "account_id"),
+                "accepted_values_stg_transactions_transaction_type": accepted(
+                    "transaction_type", [*INFLOW_TYPES, *OUTFLOW_TYPES]
+                ),
+            },
+        ),
+        (
+            raw_transactions,
+            {"assert_nonnegative_transaction_amount": never("amount", is_negative_amount(F.col("amount")))},
+        ),
+    ]
 
 
 def layer_test_results(layers: dict[str, DataFrame], raw_transactions: DataFrame) -> DataFrame:

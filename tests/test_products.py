@@ -12,6 +12,7 @@ from ledgerloom.plans import customer_summary as C
 from ledgerloom.plans import layered
 from ledgerloom.plans.medallion import Store, run_medallion
 from ledgerloom.schemas import SEED_ACCOUNT, SEED_CUSTOMER, SEED_TRANSACTION
+from ledgerloom.sinks.lookup_table import look_up, write_for_lookup
 from ledgerloom.sinks.publish import current_csv, current_version, publish, read_current, write_checked_parquet
 
 
@@ -104,6 +105,24 @@ def test_lookup(spark, built, ledger):
     assert rows(C.customer_lookups(gold, ids)) == shown["K02"]
 
 
+def test_stored_lookup_opens_one_file(spark, built, ledger, tmp_path):
+    gold, shown = built[0].gold, {r[0]: [(r[0], *r[2:5])] for r in gold_rows(ledger)}
+    C.store_for_lookup(gold, str(tmp_path / "gold"), rows_per_file=2)
+    assert rows(C.stored_customer(spark, str(tmp_path / "gold"), " K0%32 ")) == shown["K02"]
+    assert rows(C.stored_customer(spark, str(tmp_path / "gold"), "K99")) == []
+
+    numbers = spark.range(1000).select(F.when(F.col("id") % 100 > 0, F.col("id")).alias("id"), F.lit("x").alias("file"))
+    write_for_lookup(numbers, str(tmp_path / "numbers"), "id", rows_per_file=100)
+    assert spark.read.parquet(str(tmp_path / "numbers" / "rows")).count() == 1000
+    for wanted in (1, 250, 499, 999):
+        found = look_up(spark, str(tmp_path / "numbers"), "id", wanted)
+        assert rows(found) == [(wanted, "x")]
+        assert len(found.inputFiles()) == 1
+    assert [rows(look_up(spark, str(tmp_path / "numbers"), "id", v)) for v in (300, 5000, None)] == [[], [], []]
+    write_for_lookup(numbers.limit(0), str(tmp_path / "none"), "id")
+    assert rows(look_up(spark, str(tmp_path / "none"), "id", 1)) == []
+
+
 def test_publish_summary(built, spark, ledger):
     result, base = built
     home = str(base / "out")

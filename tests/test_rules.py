@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from fixtures import ACCOUNTS, FAULTY, KINDS, Ledger, spoiled, value_faults
+from fixtures import ACCOUNTS, FAULTY, KINDS, Ledger, rows, spoiled, value_faults
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import quality as Q
@@ -152,6 +152,27 @@ def test_declarative_tests(spark):
     assert found(Q.not_accepted(df, "k", ["a"])) == [("z", 1)]
 
 
+def test_tests_of_one_table_share_a_scan(spark, tmp_path):
+    data = [("a", 1), ("a", -2), (None, 3), ("z", None), ("z", -2), ("y", 0)]
+    spark.createDataFrame(data, "k string, n int").write.parquet(str(tmp_path / "t"))
+    df, parent = spark.read.parquet(str(tmp_path / "t")), spark.createDataFrame([("a",), ("a",), (None,)], "p string")
+    tests = {
+        "once": Q.unique("k"), "set": Q.not_null("k"), "known": Q.has_parent("k", parent, "p"),
+        "listed": Q.accepted("k", ["a", "y"]), "sign": Q.never("n", F.col("n") < 0), "fine": Q.never("n", F.col("n") > 9),
+    }
+    assert sorted(map(repr, rows(Q.failing_values(df, tests)))) == sorted(map(repr, [
+        ("once", "a", 2), ("once", "z", 2), ("set", None, 1), ("known", "z", 2), ("known", "y", 1), ("listed", "z", 2), ("sign", "-2", 2),
+    ]))
+    result = Q.run_tests([(df, tests)])
+    assert sorted(rows(result)) == sorted([
+        ("once", 2, 4, False), ("set", 1, 1, False), ("known", 2, 3, False), ("listed", 1, 2, False), ("sign", 1, 2, False), ("fine", 0, 0, True),
+    ])
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    nothing = Q.run_tests([(df.limit(0), tests)])
+    assert {(r.failing_values, r.failing_rows, r.passed) for r in nothing.collect()} == {(0, 0, True)}
+
+
 def test_constraints(spark, bank):
     sound = ("Z1", "P01", "2031-03-02", "CREDIT", "1.00", "USD")
     change = lambda **new: tuple(new.get(c, v) for c, v in zip(TRANSACTION_COLUMNS, sound))
