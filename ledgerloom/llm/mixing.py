@@ -9,7 +9,7 @@ fit with later ones that do, and one document may overshoot where that comes nea
 the row and its source alone: reruns agree, and texts never cross the network for it.
 
 Only DataFrame functions run. A source may hold any share of the rows: prefix sums run over slices of the
-key range, never over a source.
+key range, never over a source. Slices follow the spread of the keys under the source's own weights.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from ledgerloom.llm.tables import materialize, prefix, slices_for
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 3
 ALL = PASSES + 1
+LEAST_WEIGHT = 0.05
+LEVELS = tuple(LEAST_WEIGHT * 2**i for i in range(5))  # weights from 0.05 to 1, doubling
 NULL_SOURCE = "\U0010ffff\U0010ffff null source"  # sorts after every other name
 
 
@@ -33,7 +35,7 @@ def quality_weight(text: Column) -> Column:
     """Weight from 0.05 to 1: how little of the text is made of symbols."""
     n = F.greatest(F.char_length(text), F.lit(1))
     plain = F.char_length(F.translate(text, "#$%&*+/<=>@\\^_`{|}~!", "")) / n
-    return F.coalesce(F.lit(0.05) + F.lit(0.95) * F.pow(plain, F.lit(4.0)), F.lit(0.05))
+    return F.coalesce(F.lit(LEAST_WEIGHT) + F.lit(1 - LEAST_WEIGHT) * F.pow(plain, F.lit(4.0)), F.lit(LEAST_WEIGHT))
 
 
 def sampling_key(id_column: Column, weight: Column, seed: int) -> Column:
@@ -41,6 +43,26 @@ def sampling_key(id_column: Column, weight: Column, seed: int) -> Column:
     return -F.log(uniform) / weight
 
 
+def weight_level(weight: Column) -> Column:
+    """Number of the greatest of LEVELS that the weight reaches."""
+    return sum((weight >= F.lit(bound)).cast("int") for bound in LEVELS[1:])
+
+
+def level_shares(level: Column) -> Column:
+    """Aggregate: the share of rows on each level."""
+    return F.array(*[F.count_if(level == i) / F.count("*") for i in range(len(LEVELS))])
+
+
+def key_slice(key: Column, shares: Column, slices: int) -> Column:
+    """Slice of a key, rising with the key, none with more than about twice the rows of an even share.
+
+    A key of weight w lies below k with probability 1 - exp(-k * w). The sum over the levels' least weights, each
+    with its share of the source's rows, has a slope of at least half the true one, whatever the weights.
+    """
+    below = sum(F.get(shares, F.lit(i)) * (F.lit(1.0) - F.exp(-key * F.lit(w))) for i, w in enumerate(LEVELS))
+    return F.floor(below * slices)
+
+
 def source_targets(sources: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3) -> DataFrame:
     """Rows of (src, source_size) with ``target`` added.
 
@@ -62,7 +84,7 @@ def source_targets(sources: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most
             "total": F.sum("source_size").over(everything).cast("double"),
         }
     ).withColumn("level", F.max((F.col("total") - F.col("full")) / F.col("open")).over(everything))
-    return levels.select("src", "source_size", F.least(F.col("cap"), F.col("level") * F.col("share")).alias("target"))
+    return levels.select(*sources.columns, F.least(F.col("cap"), F.col("level") * F.col("share")).alias("target"))
 
 
 def _source(column: Column) -> Column:
@@ -72,7 +94,8 @@ def _source(column: Column) -> Column:
 def _pass(rows: DataFrame, cuts: DataFrame, slices: int, k: int) -> DataFrame:
     """``cuts`` with the key up to which pass ``k`` takes rows, and what is then left of the budget."""
     waiting = rows.join(cuts, "src").filter(_waiting(k)).filter((F.col("size") <= F.col(f"left{k}")) & (F.col(f"left{k}") > 0))
-    sliced = waiting.select("src", "size", "key", F.col(f"left{k}").alias("budget"), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * slices).alias("slice"))
+    place = key_slice(F.col("key"), F.col("levels"), slices)
+    sliced = waiting.select("src", "size", "key", F.col(f"left{k}").alias("budget"), place.alias("slice"))
     summed = prefix(sliced, ["src"], "slice", ["key"], "size", "upto").filter(F.col("upto") <= F.col("budget"))
     cut = summed.groupBy("src").agg(F.max("key").alias(f"cut{k}"), F.sum("size").alias("__got"))
     return materialize(
@@ -108,15 +131,18 @@ def _picked(passes: int) -> Column:
 
 
 def _narrow(docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: int) -> list[Column]:
+    weight = quality_weight(F.col(text_column))
     return [
         _source(F.col(source_column)).alias("src"),
         word_count(F.col(text_column)).alias("size"),
-        sampling_key(F.col(id_column), quality_weight(F.col(text_column)), seed).alias("key"),
+        sampling_key(F.col(id_column), weight, seed).alias("key"),
+        weight_level(weight).alias("level"),
     ]
 
 
 def _cuts(rows: DataFrame, shares: tuple[int, ...], most_epochs: int) -> DataFrame:
-    sources = materialize(rows.groupBy("src").agg(F.sum("size").alias("source_size")), "mix-sources")
+    sized = rows.groupBy("src").agg(F.sum("size").alias("source_size"), level_shares(F.col("level")).alias("levels"))
+    sources = materialize(sized, "mix-sources")
     slices = slices_for(rows.count()) * 4
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
     cuts = source_targets(sources, shares, most_epochs).withColumn("epochs", epochs)
@@ -142,7 +168,7 @@ def mix(
     with a null id draw equal keys and are picked together. An empty table gives no rows.
     """
     rows = materialize(docs.select(F.col(id_column), F.col(source_column), *_narrow(docs, id_column, text_column, source_column, seed)), "mix-rows")
-    cuts = _cuts(rows.select("src", "size", "key"), shares, most_epochs)
+    cuts = _cuts(rows.select("src", "size", "key", "level"), shares, most_epochs)
     taken = F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))
     return (
         rows.join(cuts, "src")

@@ -161,6 +161,18 @@ def test_mixing(spark):
     assert mixing.mix(tricky.empty(spark)).count() == 0 == mixing.mixed(tricky.empty(spark)).count()
 
 
+@pytest.mark.parametrize("weights", [[0.32], [1.0], [0.05], [0.06, 0.3, 0.99]])
+def test_mixing_slices_follow_the_weights(spark, weights):
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("id") % len(weights) + 1).cast("int"))
+    drawn = spark.range(100_000).select(mixing.sampling_key(F.col("id"), weight, 29).alias("key"), mixing.weight_level(weight).alias("level"))
+    shares = drawn.agg(mixing.level_shares(F.col("level"))).first()[0]
+    assert sum(shares) == pytest.approx(1) and len(shares) == len(mixing.LEVELS)
+    slices = drawn.groupBy(mixing.key_slice(F.col("key"), F.lit(shares), 256).alias("slice")).agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
+    found = sorted(slices.collect())
+    assert max(r.n for r in found) < 2.5 * 100_000 / 256 and 0 <= found[0].slice and found[-1].slice < 256
+    assert all(a.most < b.least for a, b in zip(found, found[1:]))
+
+
 def test_heavier_documents_come_first(spark):
     data = [(i, ("word " * 10 if i % 2 else "### $$$ &&& word " * 2), "s") for i in range(2000)] + [(9000 + i, "w " * 2000, "t") for i in range(2)]
     rows = [r for r in mixing.mix(tricky.docs(spark, data)).collect() if r["source"] == "s"]
