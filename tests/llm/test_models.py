@@ -58,6 +58,39 @@ def test_toxicity(spark):
     assert toxicity.accepted(docs, toxicity.train(docs, labels.limit(0))).count() == docs.count()
 
 
+def plain_severity(text, model, vocabulary):
+    """P(grade >= k) of one text, feature by feature; ``vocabulary`` gives the place of a word or beginning."""
+    counts = {}
+    for word in re.findall(b"[^\x20\x09-\x0d]+", (text or "").encode().lower()):
+        for feature in [(0, word), *[(size, word[:size]) for size in toxicity.BEGINNINGS if len(word) > size]]:
+            counts[feature] = counts.get(feature, 0) + 1
+    eta = sum(model.weights[vocabulary[f]] * min(math.log2(1 + n), 3) for f, n in counts.items() if f in vocabulary)
+    return [1 / (1 + math.exp(theta - eta)) for theta in model.thresholds]
+
+
+def test_severity_equals_plain_code(spark):
+    features = [(0, b"alpha"), (0, b"beta"), (4, b"alph"), (5, b"gamma"), (4, b"gamm"), (0, b"\xc3\xbcber"), (0, b"eta")]
+    hasher, codes = Hasher(), []
+    for size, word in features:
+        text = word.decode() + ("xx" if size else "")
+        for _, data, offsets in pieces(arrow([text]), "text"):
+            rows, hashes = toxicity._features(data, offsets, hasher)
+            # a word comes first, its beginnings of 4 and 5 bytes follow
+            codes.append(int(hashes[0 if not size else 1 + toxicity.BEGINNINGS.index(size)]))
+    order = np.argsort(np.array(codes, np.uint64))
+    vocabulary = {features[k]: i for i, k in enumerate(order)}
+    assert len(set(codes)) == len(features)
+    model = toxicity.Ordinal(np.array(codes, np.uint64)[order], np.linspace(-1.5, 2.5, len(features)), np.array([0.2, 1.1, 2.4]))
+    texts = ["Alpha alpha BETA", "gammas gamma gammon gam", "über Über eta", None, "", "alphabet " * 40, "beta" * 30, "alpha\nalpha\tbeta\x0beta", "none at all"]
+    docs = tricky.docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = {r["doc_id"]: r for r in toxicity.with_severity(docs, model).collect()}
+    kept = {r["doc_id"] for r in toxicity.accepted(docs, model).collect()}
+    for i, t in enumerate(texts):
+        p = plain_severity(t, model, vocabulary)
+        assert found[i]["toxic_probability"] == pytest.approx(p[0]) and found[i]["expected_severity"] == pytest.approx(sum(p))
+        assert found[i]["grade"] == sum(x >= 0.5 for x in p) and (i in kept) == (p[0] < toxicity.REJECT)
+
+
 def test_ordinal_gradient():
     """Weights fitted by the code are a minimum: a step in any direction costs more."""
     rng = np.random.default_rng(0)
@@ -98,6 +131,104 @@ def test_forward_backward_equals_enumeration():
     assert good == pytest.approx(expected) and pairs == pytest.approx(expected_pairs) and total == pytest.approx(log_z)
 
 
+def enumerated(emission, transitions):
+    """Every path of one row with its weight."""
+    for path in itertools.product((0, 1), repeat=len(emission)):
+        score = sum(e * s for e, s in zip(emission, path)) + sum(transitions[s, t] for s, t in zip(path, path[1:]))
+        yield path, math.exp(score)
+
+
+def test_a_bad_line_is_given_equals_enumeration():
+    rng = np.random.default_rng(9)
+    sizes = [3, 1, 0, 4]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    emission, transitions = rng.normal(size=first[-1]) + 1, rng.normal(size=(2, 2))
+    found = quality_crf.chains(emission, first, transitions)
+    good, pairs = quality_crf.with_a_bad_line(found, emission, first, transitions)
+    for a, b in zip(first, first[1:]):
+        paths = [(p, w) for p, w in enumerated(emission[a:b], transitions) if 0 in p]
+        z = sum(w for _, w in paths)
+        for i in range(b - a):
+            assert good[a + i] == pytest.approx(sum(w for p, w in paths if p[i]) / z)
+            for s, t in itertools.product((0, 1), repeat=2):
+                expected = sum(w for p, w in paths if i and (p[i - 1], p[i]) == (s, t)) / z
+                assert pairs[a + i, s, t] == pytest.approx(expected)
+
+
+def plain_line(line, earlier):
+    """Features of one line by itself, in plain code over its bytes."""
+    raw, split = line.encode(), re.findall(b"[^\x20\x09-\x0d]+", line.encode().lower())
+    n, marks = len(raw), sum(c in b".,'-" for c in raw)
+    upper, lower = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw)
+    digit, wide = sum(48 <= c <= 57 for c in raw), sum(c >= 128 for c in raw)
+    symbol = n - upper - lower - digit - wide - marks - raw.count(b" ")
+    again = sum(x == y for x, y in zip(split, split[1:]))
+    swing = sum(x == y for x, y in zip(split, split[2:]))
+    count, letters = max(len(split), 1), max(upper + lower + wide, 1)
+    return [
+        symbol / n, symbol > 0.05 * n, upper / letters, upper > 0.5 * letters, digit / n, again / count, again > 0.2 * len(split),
+        swing / count, line in earlier, raw[-1:] == b".", min(n / count, 40) / 20, math.log1p(n) / 8,
+    ]
+
+
+def plain_quality(text, model):
+    """Score and P(good) of the lines by listing all paths."""
+    held = [x for x in (text or "").split("\n") if x]
+    own = [[float(v) for v in plain_line(x, held[:i])] for i, x in enumerate(held)]
+    none = [0.0] * quality_crf.OWN
+    rows = [o + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none) + [1.0] for i, o in enumerate(own)]
+    paths = list(enumerated([float(np.dot(r, model.weights)) for r in rows], model.transitions))
+    z = sum(w for _, w in paths)
+    good = [sum(w for p, w in paths if p[i]) / z for i in range(len(rows))]
+    if not rows:
+        return 0.0, good
+    sizes = [len(x.encode()) for x in held]
+    mean = min(max(sum(g * n for g, n in zip(good, sizes)) / sum(sizes), 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-(model.scale[0] * math.log(mean / (1 - mean)) + model.scale[1]))), good
+
+
+def test_document_score_equals_plain_code(spark):
+    rng = np.random.default_rng(2)
+    model = quality_crf.Crf(rng.normal(size=quality_crf.WIDTH), rng.normal(size=(2, 2)), (0.7, -0.2))
+    texts = [
+        "One two. \nTWO two TWO!\n\nOne two. \nx y x y x", "a b", "a b", "b a b", "same\nsame\nsame", None, "", "\n\n", " ", "ÄÖ 12,5 ü.\r\n$$$ ### a-b\tc",
+    ]
+    docs = tricky.docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).coalesce(1)
+    scores = {r["doc_id"]: r for r in quality_crf.quality(docs, model).collect()}
+    by_line = {(r["doc_id"], r["line"]): r["good"] for r in quality_crf.line_quality(docs, model).collect()}
+    listed = 0
+    for i, t in enumerate(texts):
+        score, good = plain_quality(t, model)
+        assert scores[i]["score"] == pytest.approx(score) and scores[i]["n_lines"] == len(good)
+        assert scores[i]["n_bad_lines"] == sum(g < 0.5 for g in good)
+        assert [by_line[i, k] for k in range(len(good))] == pytest.approx(good)
+        listed += len(good)
+    assert len(by_line) == listed and quality_crf.line_quality(tricky.empty(spark), model).count() == 0
+
+
+def test_bad_lines_are_found_inside_good_documents(spark):
+    """Training documents are labelled as a whole; a bad one has good lines too. Lines are told apart all the same."""
+    rng = random.Random(12)
+    good_line = lambda: tricky.sentence(rng, rng.randint(8, 14)) + "."
+    bad_line = lambda: " | ".join(rng.sample(tricky.WORDS, 6)) + " $$$ ###"
+    data, labels = [], []
+    for i in range(300):
+        bad = i % 4 == 0
+        data.append((i, "\n".join(bad_line() if bad and rng.random() < 0.6 else good_line() for _ in range(6)), "s"))
+        labels.append((i, int(not bad), 0))
+    model = quality_crf.train(tricky.docs(spark, data), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 300)
+    planted, fresh = {}, []
+    for i in range(80):
+        held = [good_line() for _ in range(8)]
+        planted[i] = rng.randrange(8)
+        held[planted[i]] = bad_line()
+        fresh.append((i, "\n".join(held), "s"))
+    found = quality_crf.line_quality(tricky.docs(spark, fresh), model).collect()
+    assert len(found) == 640
+    assert np.mean([(r["good"] < 0.5) == (planted[r["doc_id"]] == r["line"]) for r in found]) > 0.99
+    assert all(r["score"] >= quality_crf.PREDICT_FROM for r in quality_crf.quality(tricky.docs(spark, [(0, "\n".join(good_line() for _ in range(8)), "s")]), model).collect())
+
+
 def test_quality(spark):
     rng = random.Random(6)
     data, labels = [], []
