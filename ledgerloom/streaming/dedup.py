@@ -21,10 +21,15 @@ LEAST_SPREAD = 1024
 
 
 def spread_missing(key: Column, *salt: Column) -> Column:
-    """Join key that scatters missing ids over many tasks, four slots a task; such a key matches nothing."""
+    """Join key that scatters missing ids over many tasks; such a key matches nothing."""
+    return F.when(~is_missing(key), key).otherwise(scattered(*salt))
+
+
+def scattered(*salt: Column) -> Column:
+    """Join key of a row that has none: one of four slots a task, chosen by ``salt``."""
     tasks = int(SparkSession.active().conf.get("spark.sql.shuffle.partitions"))
     slot = F.pmod(F.xxhash64(*salt), F.lit(max(LEAST_SPREAD, 4 * tasks))).cast("string")
-    return F.when(~is_missing(key), key).otherwise(F.concat(F.lit("\x00missing\x00"), slot))
+    return F.concat(F.lit("\x00missing\x00"), slot)
 
 
 def with_place(df: DataFrame, order: list[str], out: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.joins import with_unknown_flag
 from ledgerloom.operators.rules import normalized
 from ledgerloom.schemas import TRANSACTION_COLUMNS
 from ledgerloom.session import materialize
+from ledgerloom.streaming.dedup import scattered
 from ledgerloom.streaming.keyed_table import KeyedTable
 
 # Outcome names.
@@ -20,6 +21,11 @@ STATE = [c for c in TRANSACTION_COLUMNS if c != "transaction_id"] + ["source_fil
 ROWS_PER_CHUNK = 1_000_000
 
 
+def stored_key(readable: Column) -> Column:
+    """Key by which a row meets its stored state. Unreadable rows are scattered: one NULL key would be one task's work."""
+    return F.when(readable, F.col("transaction_id")).otherwise(scattered(F.col("source_file"), F.col("row_no")))
+
+
 def flag_rows(target: DataFrame, batch: DataFrame, accounts: DataFrame) -> DataFrame:
     """The normalized batch with ``stored`` state, ``stale`` and ``writes``, written to the shared folder once.
 
@@ -33,8 +39,8 @@ def flag_rows(target: DataFrame, batch: DataFrame, accounts: DataFrame) -> DataF
     )
     # an unreadable row has no stored state to meet, and a blank id shared by many is no join key
     readable = F.col("reject_reason").isNull()
-    key = F.when(readable, F.col("transaction_id"))
-    rows = rows.join(stored, key == F.col("__stored_id"), "left").drop("__stored_id")
+    rows = rows.withColumn("__key", stored_key(readable))
+    rows = rows.join(stored, F.col("__key") == F.col("__stored_id"), "left").drop("__key", "__stored_id")
     stale = readable & F.coalesce(F.col("source_file") < F.col("stored.source_file"), F.lit(False))
     flagged = rows.withColumns(
         {"stale": stale, "writes": readable & ~stale & ~F.col("unknown_account") & F.col("account_id").isNotNull()}

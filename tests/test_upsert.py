@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.schemas import ACCOUNT, TRANSACTION_COLUMNS
 from ledgerloom.sources.delimited import read_daily_files
 from ledgerloom.sources.files import DAILY_FILE_GLOB, list_files
-from ledgerloom.streaming.upsert import OUTCOMES, STATE, classify, flag_rows, merged, outcome_counts
+from ledgerloom.streaming.upsert import OUTCOMES, STATE, classify, flag_rows, merged, outcome_counts, stored_key
 
 TEXT = ", ".join(f"{c} string" for c in TRANSACTION_COLUMNS) + ", source_file string, row_no long"
 
@@ -117,3 +117,18 @@ def test_against_brute_force_with_a_hot_id(spark, rows_per_chunk):
     classified = classify(stored_df, batch_df, spark.createDataFrame(ACCOUNTS, ACCOUNT), rows_per_chunk)
     assert {(r.source_file, r.row_no): r.outcome for r in classified.collect()} == outcomes
     assert {r[0]: r[1:] for r in rows(merged(stored_df, classified).select("transaction_id", *STATE))} == table
+
+
+def test_unreadable_rows_share_no_join_key(spark):
+    """Rows that cannot meet a stored state are spread over many keys, and none of them meets one."""
+    batch = spark.createDataFrame(
+        [("K1" if i % 2 else "", "P01", "2031-03-02", "CREDIT", "x" if i % 2 else "1.00", "USD", "b.csv", i) for i in range(3000)]
+        + [("K1", "P01", "2031-03-02", "CREDIT", "2.00", "USD", "b.csv", 3000)], TEXT)
+    keyed = batch.withColumn("key", stored_key(F.col("row_no") == 3000))
+    assert keyed.select("key").distinct().count() > 500
+    assert [r.key for r in keyed.filter("row_no = 3000").collect()] == ["K1"]
+    target = stored(spark, [("K1", "P01", "2031-03-01", "CREDIT", "1.00")], "a.csv")
+    flagged = flag_rows(target, batch, spark.createDataFrame(ACCOUNTS, ACCOUNT)).select("row_no", "stored", "stale", "writes")
+    assert flagged.filter("row_no < 3000").filter("stored IS NOT NULL OR stale OR writes").count() == 0
+    assert [(r.stored is not None, r.writes) for r in flagged.filter("row_no = 3000").collect()] == [(True, True)]
+    assert flagged.count() == 3001
