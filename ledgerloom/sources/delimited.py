@@ -1,7 +1,7 @@
 """Delimited text files with per-file meaning: header checks, field counts, row numbers.
 
 Lines are read as text, so a huge file is split over many tasks. Row numbers come from counts
-per file block plus a running number inside each block: no task ever sees a whole file.
+per file block plus a line's place inside its block: no task ever sees a whole file.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_missing, strip
 from ledgerloom.schemas import TRANSACTION_COLUMNS
-from ledgerloom.session import materialize
+from ledgerloom.session import TEXT_CODEC, materialize
 
 # Fixed value: longest value of strict, reference and daily files, in characters; a longer one is a fault of its file
 FIELD_LIMIT = 131_072
@@ -115,7 +115,7 @@ def read_lines(spark: SparkSession, paths: list[str], field_limit: int | None =
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
-    records = join_quoted_lines(materialize(raw, "lines")).withColumn("line", F.regexp_replace("line", "\r\\z", ""))
+    records = join_quoted_lines(materialize(raw, "lines", TEXT_CODEC)).withColumn("line", F.regexp_replace("line", "\r\\z", ""))
     oversize = F.col("oversize") | (F.length("line") > RECORD_LIMIT)
     if field_limit is not None:
         wide = F.exists(csv_fields(F.col("line")), lambda v: F.char_length(v) > field_limit)
@@ -128,32 +128,51 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
     ``record_number`` counts non-empty lines after the header line; it is NULL for the header
     and for empty lines.
+
+    ``seq`` grows by one a line inside a block, so where no line is empty and no quoted value spans lines a
+    number is the distance from the block's first line, and no line is moved. Only the other blocks are sorted.
     """
     place = ["source_filename", "block"]
-    in_block = Window.partitionBy(*place).orderBy("seq")
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = lines.withColumn("n", F.row_number().over(in_block))
-    header = (F.col("block") == 0) & (F.col("n") == 1)
-    local = local.withColumn("is_record", ~header & (F.col("oversize") | (F.col("line") != "")))
-    local = local.withColumn("r", F.count_if("is_record").over(upto))
+    first_block, filled = F.col("block") == 0, F.col("oversize") | (F.col("line") != "")
+    blocks = lines.groupBy(*place).agg(
+        F.count("*").alias("lines"), F.count_if(filled).alias("filled"), F.min("seq").alias("first"),
+        F.max("seq").alias("last"), F.min(F.when(filled, F.col("seq"))).alias("first_filled"),
+    )
+    # the header is no record, whether it is empty or not
+    headed = F.when(first_block & (F.col("first_filled") == F.col("first")), 1).otherwise(0)
+    dense = (F.col("last") - F.col("first") + 1 == F.col("lines")) & (F.col("filled") == F.col("lines"))
     # one row per block: the running window over a file's blocks stays small
     before = Window.partitionBy("source_filename").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        local.groupBy(*place)
-        .agg(F.count("*").alias("lines"), F.count_if("is_record").alias("records"))
-        .select(
-            *place,
+    blocks = materialize(
+        blocks.select(
+            *place, "first", dense.alias("dense"),
             F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before"),
-            F.coalesce(F.sum("records").over(before), F.lit(0)).alias("records_before"),
-        )
-    )
-    return local.join(offsets, place).select(
-        "source_filename",
-        "line",
-        (F.col("lines_before") + F.col("n")).alias("line_number"),
-        F.when(F.col("is_record"), F.col("records_before") + F.col("r")).alias("record_number"),
-        "oversize",
+            F.coalesce(F.sum(F.col("filled") - headed).over(before), F.lit(0)).alias("records_before"),
+        ),
+        "blocks",
     )
+    placed = lines.join(blocks, place)
+
+    def numbered(rows: DataFrame, n: Column, is_record: Column, r: Column) -> DataFrame:
+        return rows.select(
+            "source_filename",
+            "line",
+            (F.col("lines_before") + n).alias("line_number"),
+            F.when(is_record, F.col("records_before") + r).alias("record_number"),
+            "oversize",
+        )
+
+    n = F.col("seq") - F.col("first") + 1
+    plain = numbered(placed.filter("dense"), n, ~(first_block & (n == 1)), n - F.when(first_block, 1).otherwise(0))
+    if blocks.filter(~F.col("dense")).isEmpty():
+        return plain
+    in_block = Window.partitionBy(*place).orderBy("seq")
+    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sparse = placed.filter(~F.col("dense")).withColumn("n", F.row_number().over(in_block))
+    sparse = sparse.withColumn("is_record", ~(first_block & (F.col("n") == 1)) & filled)
+    sparse = sparse.withColumn("r", F.count_if("is_record").over(upto))
+    sparse = numbered(sparse, F.col("n"), F.col("is_record"), F.col("r"))
+    return plain.unionByName(materialize(sparse, "numbered", TEXT_CODEC))
 
 
 def _readable(oversize: Column, value: Column) -> Column:
@@ -184,7 +203,7 @@ def strict_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     Findings: source_filename, source_rows, error (NULL when the file is sound); a file without
     any line has no finding, see :func:`file_faults`.
     """
-    numbered = materialize(number_lines(read_lines(spark, paths)), "numbered")
+    numbered = number_lines(read_lines(spark, paths))
     width = len(TRANSACTION_COLUMNS)
     records = numbered.filter(F.col("record_number").isNotNull()).withColumn("fields", csv_fields(F.col("line")))
     rows = records.select(
@@ -284,7 +303,7 @@ def daily_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     Findings: source_filename, source_rows, error (NULL when sound); a value beyond the limit is the fault
     of its file, and the other files are read.
     """
-    numbered = materialize(number_lines(read_lines(spark, paths)), "daily")
+    numbered = number_lines(read_lines(spark, paths))
     rows = numbered.filter(F.col("record_number").isNotNull())
     counted = rows.groupBy("source_filename").agg(
         F.count("*").alias("source_rows"), F.min(F.when(F.col("oversize"), F.col("record_number"))).alias("bad")

@@ -150,3 +150,22 @@ def test_a_bad_file_stops_the_step_and_leaves_earlier_ones_loaded(spark, tmp_pat
     assert sorted(map(tuple, kept)) == [(sound, 1, "Z1", "7.00"), (sound, 2, "Z3", "")]
     assert [(r.source_filename, r.file_status) for r in store.file_audit().collect()] == [(sound, "LOADED")]
     assert store.silver().count() == 0
+
+
+def test_bronze_ids_follow_from_places(spark, tmp_path):
+    """Rows on their way from bronze to silver and exceptions carry no id, and get the id that bronze has."""
+    from pathlib import Path
+
+    from ledgerloom.session import shared_folder
+
+    landing, store = tmp_path / "landing", Store(spark, str(tmp_path / "store"))
+    landing.mkdir()
+    write_lines(landing, "BR5_20310301_TRANSACTION.csv", ["Z1,P01,2031-03-01,CREDIT,5.00,USD", "Z1,P01,2031-03-01,CREDIT,5.00,USD", "Z2,P02,never,CREDIT,5.00,USD"])
+    known = set(Path(shared_folder(spark)).glob("checked-*"))
+    assert run_medallion(spark, str(landing), store.base, reference(spark))["status"] == "SUCCESS"
+    (checked,) = set(Path(shared_folder(spark)).glob("checked-*")) - known
+    assert not {"bronze_id", "run_id", "load_timestamp"} & set(spark.read.parquet(str(checked)).columns)
+    ids = {(r.source_row_number, r.run_id): r.bronze_id for r in store.bronze().collect()}
+    rows_of = [*store.silver().collect(), *store.exceptions().collect()]
+    assert len(rows_of) == len(ids) == len(set(ids.values())) == 3
+    assert all(ids[r.source_row_number, r.run_id] == r.bronze_id for r in rows_of)
