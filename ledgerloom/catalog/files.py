@@ -1,7 +1,7 @@
 """Registered sources and sinks: the untidy feed is written out as delivered files and read back.
 
 Files are written by Spark below the shared folder. One delivered file is one sequential text, so
-one task writes it; nothing else here depends on whole files.
+one task writes it; its rows are sorted by as many tasks as they need.
 """
 
 from __future__ import annotations
@@ -36,32 +36,98 @@ from ledgerloom.sources.tables import account_ids, load_csv, load_table, load_ty
 from ledgerloom.schemas import ACCOUNT, TYPED_TRANSACTION
 
 
-def deliver(df: DataFrame, name: str, order: list[str], columns: list[str]) -> str:
+# rows that one task sorts, and the rows of a file that is sorted by several tasks
+ROWS_PER_TASK = 500_000
+LARGE_FILE_ROWS = 1_000_000
+
+
+def deliver(df: DataFrame, name: str, order: list[str], columns: list[str], large_file_rows: int = LARGE_FILE_ROWS) -> str:
     """Write rows as CSV files named by column ``name``; returns the folder.
 
-    Spark names its own part files, so each is moved to the delivered name afterwards.
+    Spark names its own part files, so each is moved to the delivered name afterwards. No task sorts the rows
+    of a file longer than ``large_file_rows``, see :func:`_large_files`.
     """
     spark = df.sparkSession
     staged, landing = scratch_path(spark, "staged"), scratch_path(spark, "landing")
-    (
-        df.repartition(name)
-        .sortWithinPartitions(name, *order)
-        .select(F.col(name).alias("delivered"), *columns)
-        .write.partitionBy("delivered")
-        .csv(staged, header=True, **CSV_FORMAT)
-    )
+    counts = materialize(df.groupBy(F.col(name).alias("file")).agg(F.count("*").alias("rows")), "delivered-files")
+    is_large = F.col("file").isNotNull() & (F.col("rows") > large_file_rows)
+    large = {r.file: r.rows for r in counts.filter(is_large).orderBy("file").collect()}
+    rest = counts.filter(~is_large).agg(F.count("*").alias("files"), F.sum("rows").alias("rows")).first()
+    folders = []
+    if rest.files or not large:
+        tasks = max(-(-(rest.rows or 1) // ROWS_PER_TASK), min(rest.files, spark.sparkContext.defaultParallelism), 1)
+        small = df.filter(~F.coalesce(F.col(name).isin(list(large)), F.lit(False))) if large else df
+        (
+            small.repartition(tasks, name)
+            .sortWithinPartitions(name, *order)
+            .select(F.col(name).alias("delivered"), *columns)
+            .write.partitionBy("delivered")
+            .csv(staged, header=True, **CSV_FORMAT)
+        )
+        folders.append(staged)
+    if large:
+        folders.append(f"{staged}-large")
+        _large_files(df, name, order, columns, large).write.partitionBy("delivered").text(folders[-1])
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(path(landing))
-    for folder in store.listStatus(path(staged)):
+    for folder in (f for at in folders for f in store.listStatus(path(at))):
         title = folder.getPath().getName()
         if title.startswith("delivered="):
             for part in store.listStatus(folder.getPath()):
-                if part.getPath().getName().endswith(".csv"):
+                if part.getPath().getName().endswith((".csv", ".txt")):
                     store.rename(part.getPath(), path(f"{landing}/{title.removeprefix('delivered=')}"))
     return landing
 
 
+def _large_files(df: DataFrame, name: str, order: list[str], columns: list[str], rows: dict[str, int]) -> DataFrame:
+    """Text of the files named in ``rows``, one task a file, in order: (delivered, text).
+
+    One task has to write a file, but not to sort its rows: ranges of them are sorted in many tasks and joined to
+    texts of some thousand lines, so the last task orders a few thousand texts.
+    """
+
+    def joined(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        seq = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column("delivered"))
+            ends = runs.run_ends.to_pylist()
+            lines = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), batch.column("line"))
+            numbers = pa.array(range(seq, seq + len(ends)), pa.int64())
+            seq += len(ends)
+            part = pa.array(batch.column("part").to_numpy()[[e - 1 for e in ends]], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [runs.values, part, numbers, pc.binary_join(lines, "\n")], names=["delivered", "part", "seq", "text"]
+            )
+
+    files = list(rows)
+    # most lines need no quotes, and joining their values is far cheaper than the CSV generator
+    bare = F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    plain = rf"^[A-Za-z0-9 _./-]*(?:\x01[A-Za-z0-9 _./-]*){{{len(columns) - 1}}}\z"
+    texts = (
+        df.filter(F.col(name).isin(files))
+        .repartitionByRange(-(-sum(rows.values()) // ROWS_PER_TASK), name, *order)
+        .sortWithinPartitions(name, *order)
+        .select(
+            F.col(name).alias("delivered"),
+            F.spark_partition_id().alias("part"),
+            F.when((bare != "") & bare.rlike(plain), F.translate(bare, "\x01", ","))
+            .otherwise(F.coalesce(F.to_csv(F.struct(*columns), CSV_FORMAT), F.lit("")))
+            .alias("line"),
+        )
+        .mapInArrow(joined, "delivered string, part int, seq long, text string")
+    )
+    head = df.sparkSession.createDataFrame([(f, -1, 0, ",".join(columns)) for f in files], texts.schema)
+    number = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("delivered")) - 1
+    placed = head.unionByName(texts).repartitionById(len(files), number.cast("int"))
+    return placed.sortWithinPartitions("delivered", "part", "seq").select("delivered", "text")
+
+
 def branch_landing(spark: SparkSession, folder: str) -> str:
     """The feed as branch files."""
     return deliver(feed(spark, folder), "source_file", ["place"], TRANSACTION_COLUMNS)
