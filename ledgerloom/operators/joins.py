@@ -63,14 +63,17 @@ def with_member_flag(df: DataFrame, members: DataFrame, key: str, flag: str, uni
     )
 
 
-def with_unknown_flag(df: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
+def with_unknown_flag(
+    df: DataFrame, members: DataFrame, key: str, flag: str, keys_from: DataFrame | None = None
+) -> DataFrame:
     """Add boolean ``flag``: does the row's non-null key lack a member?
 
     Made for a large member table that almost every row matches. The keys in use collapse to
     distinct values before they meet the members, and the unmatched ones are written down: their
     true size then decides whether they are broadcast, and the rows themselves need no shuffle.
+    ``keys_from`` has the same keys as ``df`` or more and is cheaper to read, by default ``df`` itself.
     """
-    used = df.select(F.col(key).alias("__unknown")).filter(F.col(key).isNotNull()).distinct()
+    used = (df if keys_from is None else keys_from).select(F.col(key).alias("__unknown")).filter(F.col(key).isNotNull()).distinct()
     known = members.select(F.col(key).alias("__unknown"))
     unknown = materialize(used.join(known, "__unknown", "left_anti"), "unknown")
     return (

@@ -32,17 +32,43 @@ def scattered(*salt: Column) -> Column:
     return F.concat(F.lit("\x00missing\x00"), slot)
 
 
-def with_place(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """One whole number that sorts rows as ``order`` does: the number of the row's file, then its row number.
+class Places:
+    """Numbers for the rows of a batch that sort as ``order`` does: the number of the row's file, then its row number.
 
-    The last column of ``order`` is the row number, a BIGINT; the others name the file and are not null. The list of files is small next to the rows; its true size lets Catalyst broadcast it.
+    The last column of ``order`` is the row number, a BIGINT; the others name the file and are not null. Where file
+    and row number fit, a place is one BIGINT that holds both, and between :meth:`pack` and :meth:`unpack` a row
+    carries nothing else of them; otherwise it is a DECIMAL beside both. The list of files is small next to the
+    rows; its true size lets Catalyst broadcast it.
     """
-    *file, row = order
-    files = materialize(df.select(*file).distinct(), "places")
-    number = F.row_number().over(Window.orderBy(*file)).cast("decimal(18,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)")
-    numbered = files.withColumn("__file", number.cast("decimal(37,0)"))
-    place = (F.col("__file") + F.col(row).cast("decimal(19,0)")).cast("decimal(38,0)")
-    return df.join(numbered, file).withColumn(out, place).drop("__file")
+
+    def __init__(self, df: DataFrame, order: list[str]) -> None:
+        *self.file, self.row = order
+        row = F.col(self.row)
+        found = df.groupBy(*self.file).agg(F.min(row).alias("least"), F.max(row).alias("most"), F.count_if(row.isNull()).alias("none"))
+        files = materialize(found.dropna(subset=self.file), "places")
+        number = F.row_number().over(Window.orderBy(*self.file)).cast("long")
+        self.files = files.select(*self.file, number.alias("__file"))
+        seen = files.agg(F.count("*").alias("files"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("none").alias("none")).first()
+        self.bits = None if seen.least is None else int(seen.most).bit_length()
+        if self.bits is not None and (seen.none or seen.least < 0 or seen.files.bit_length() + self.bits > 63):
+            self.bits = None
+
+    def pack(self, df: DataFrame, out: str) -> DataFrame:
+        """Add ``out``; the columns of ``order`` go, or their file's number stays where ``out`` cannot hold it."""
+        numbered = df.join(self.files, self.file).drop(*self.file)
+        if self.bits is not None:
+            place = F.shiftleft(F.col("__file"), self.bits).bitwiseOR(F.col(self.row))
+            return numbered.withColumn(out, place).drop("__file", self.row)
+        number = F.col("__file").cast("decimal(18,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)")
+        place = (number.cast("decimal(37,0)") + F.col(self.row).cast("decimal(19,0)")).cast("decimal(38,0)")
+        return numbered.withColumn(out, place)
+
+    def unpack(self, df: DataFrame, place: str) -> DataFrame:
+        """The columns of ``order`` instead of ``place``."""
+        if self.bits is not None:
+            row = F.col(place).bitwiseAND(F.lit((1 << self.bits) - 1))
+            df = df.withColumns({"__file": F.shiftright(F.col(place), self.bits), self.row: row})
+        return df.join(self.files, "__file").drop("__file", place)
 
 
 def all_copies_invalid(df: DataFrame, key: str, flag: str) -> DataFrame:
@@ -86,10 +112,13 @@ def first_accepted_wins(
         .select("__key", "__first"),
         "winners",
     )
-    join_key = spread_missing(F.col(key), *[F.col(c) for c in order])
-    joined = df.withColumn("__join", join_key).join(winners, F.col("__join") == F.col("__key"), "left")
+    # the id moves once, as the join key; a missing one beside it
+    missing = is_missing(F.col(key))
+    keyed = df.withColumns(
+        {"__join": spread_missing(F.col(key), *[F.col(c) for c in order]), "__missing": missing, "__lost": F.when(missing, F.col(key))}
+    ).drop(key)
+    joined = keyed.join(winners, F.col("__join") == F.col("__key"), "left")
     repeat = F.coalesce(position > F.col("__first"), F.lit(False))
-    dropped = ["__key", "__first", "__join"]
     if accepted_before is not None:
         # only ids of this batch matter: the far larger history is scanned, not shuffled,
         # whenever the batch is small enough to broadcast
@@ -97,8 +126,8 @@ def first_accepted_wins(
         seen = materialize(accepted_before.select(key).join(batch_ids, key, "left_semi").distinct(), "seen")
         joined = joined.join(seen.select(F.col(key).alias("__seen")), F.col("__join") == F.col("__seen"), "left")
         repeat = repeat | F.col("__seen").isNotNull()
-        dropped.append("__seen")
-    return joined.withColumn(flag, repeat).drop(*dropped)
+    joined = joined.withColumns({flag: repeat, key: F.when(F.col("__missing"), F.col("__lost")).otherwise(F.col("__join"))})
+    return joined.select(*df.columns, flag)
 
 
 def repeats_in_order(df: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:
