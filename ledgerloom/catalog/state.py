@@ -172,7 +172,7 @@ def file_log(spark, folder):
 
 def register(reg) -> None:
     reg.add("m_first_accepted_wins", f"WITH {JUDGED_SQL} SELECT {JUDGED_COLUMNS} FROM judged")(
-        lambda s, f: judged_columns(judge(bronze(s, f), known_accounts(s, f)))
+        lambda s, f: judged_columns(judge(bronze(s, f), known_accounts(s, f), keep=PLACED))
     )
 
     @reg.add("m_first_accepted_over_two_runs", f"WITH {JUDGED_SQL} SELECT {JUDGED_COLUMNS} FROM judged")
