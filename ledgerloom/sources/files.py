@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
@@ -23,12 +24,26 @@ NAME_BAD_DATE = "filename date is not a real calendar date"
 WHOLE_FILE_LIMIT = 1 << 30
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
+# a name without signs that scans escape
+PLAIN_NAME = re.compile(r"[A-Za-z0-9._-]+")
+
 # Columns of a listing, and of what is remembered of a file.
 LISTING = "path string, filename string, length bigint, modified bigint, scan_name string"
 HASHED_COLUMNS = ["path", "length", "modified", "sha256"]
 HASHED = "path string, length bigint, modified bigint, sha256 string"
 
 
+def path_texts(spark: SparkSession, statuses) -> list[str]:
+    """Paths of what a file system listed."""
+    return [p.toString() for p in spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(statuses)]
+
+
+def is_flat(spark: SparkSession, folder: str) -> bool:
+    """Has the folder no folder inside? Then a scan of it sees the files directly in it and nothing else."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getDirectoryCount() == 1
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, filename, length, modified, scan_name) of the files directly in ``folder``; contents are not read.
 
@@ -42,12 +57,13 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(target):
         raise FileNotFoundError(folder)
-    found = []
-    for status in store.listStatus(target):
-        name = status.getPath().getName()
-        if status.isFile() and fnmatchcase(name, glob):
-            shown = status.getPath().toUri().getRawPath().rsplit("/", 1)[-1]
-            found.append((status.getPath().toString(), name, status.getLen(), status.getModificationTime(), shown))
+    found, statuses = [], store.listStatus(target)
+    # a question to the JVM costs more than all else here, so a file is asked what its path does not tell
+    for path, status in zip(path_texts(spark, statuses), statuses, strict=True):
+        name = path.rsplit("/", 1)[-1]
+        if fnmatchcase(name, glob) and status.isFile():
+            shown = name if PLAIN_NAME.fullmatch(name) else status.getPath().toUri().getRawPath().rsplit("/", 1)[-1]
+            found.append((path, name, status.getLen(), status.getModificationTime(), shown))
     return spark.createDataFrame(sorted(found), LISTING)
 
 
@@ -115,7 +131,7 @@ def _line_hashes(batches: Iterator) -> Iterator:
         yield finished()
 
 
-def _only(files: list[str]) -> Column:
+def only_files(files: list[str]) -> Column:
     """Files of a scan by name; Spark drops the others before it opens any."""
     return F.col("_metadata.file_name").isin(files)
 
@@ -123,7 +139,7 @@ def _only(files: list[str]) -> Column:
 def _hashed_by_line(spark: SparkSession, folder: str, large: DataFrame) -> DataFrame:
     """(path, sha256) of files of any size: read split by Spark, brought in order by a shuffle, hashed as a stream."""
     wanted = [r.scan_name for r in large.select("scan_name").collect()]
-    lines = spark.read.text(folder, lineSep="\n").filter(_only(wanted)).select(
+    lines = spark.read.text(folder, lineSep="\n").filter(only_files(wanted)).select(
         F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
@@ -157,7 +173,7 @@ def with_sha256(
     short = new.filter((F.col("length") > 0) & (F.col("length") <= whole_file_limit))
     small = [r.scan_name for r in short.select("scan_name").collect()]
     if small:
-        whole = spark.read.format("binaryFile").load(folder).filter(_only(small) & (F.col("length") <= whole_file_limit))
+        whole = spark.read.format("binaryFile").load(folder).filter(only_files(small) & (F.col("length") <= whole_file_limit))
         content = whole.select(F.col("_metadata.file_name").alias("scan_name"), F.sha2("content", 256).alias("sha256"))
         found = found.unionByName(content.join(F.broadcast(short.select("scan_name", "path")), "scan_name").select("path", "sha256"))
     large = new.filter(F.col("length") > whole_file_limit)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import rules as R
 from ledgerloom.plans.delivery import check_delivery, files_read, publish_delivery
 from ledgerloom.schemas import TRANSACTION_COLUMNS
-from ledgerloom.sources.branch_files import file_report, read_branch_files
+from ledgerloom.sources.branch_files import Scans, _probe, file_report, read_branch_files
 from ledgerloom.sources.delimited import (
     csv_fields,
     daily_rows,
@@ -351,3 +351,68 @@ def test_long_files_are_delivered_alike(spark):
     assert found[0] == found[1] and set(found[0]) == {"short.csv", "long 0,.csv", "long 1,.csv"}
     everything = deliver(rows, "file", ["place"], ["text", "number"], 0)
     assert {p.name: p.read_text() for p in Path(everything).glob("*.csv")} == found[0]
+
+
+def many_branch_files(folder, files=40):
+    head = ",".join(TRANSACTION_COLUMNS)
+    for i in range(files):
+        (folder / f"BR{i}_20260101_TRANSACTION.csv").write_text(f"{head}\nT{i},A,2026-01-01,CREDIT,{i}.00,USD\n")
+    (folder / "BR900_20260101_TRANSACTION.csv").write_text("")
+    (folder / "BR901_20260101_TRANSACTION.csv").write_text("\n\n\ufeffa,b\n1,2\n")
+    (folder / "BR902_20260101_TRANSACTION.csv").write_text(f'{head}\nQ,"x\ny",2026-01-01,DEBIT,1,USD\n')
+    (folder / "BR903_20260101_TRANSACTION.csv").write_text(f"\ufeff{head}\nW,A,2026-01-01,DEBIT,1,USD,more\n")
+    (folder / "BR904_20260101_TRANSACTION.csv").write_text(f"\n{head},note\ntransaction_id,A,2026-01-01,DEBIT,1,USD,n\n")
+    (folder / "BR905_20260101_TRANSACTION.csv").write_text(f"1,2\n{head}\n")
+    (folder / "BR9 6_20260101_TRANSACTION.csv").write_text(f"{head}\nS,A,2026-01-01,DEBIT,1,USD\n")
+    (folder / "other.csv").write_text(f"{head}\nO,A,2026-01-01,DEBIT,1,USD\n")
+
+
+def test_many_branch_files_are_listed_by_their_folder(spark, tmp_path):
+    many_branch_files(tmp_path)
+    spark.sparkContext.setJobGroup("many-files", "")
+    try:
+        rows, report = read_branch_files(spark, str(tmp_path))
+        got = sorted(r.transaction_id for r in rows.select("transaction_id").collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted([*(f"T{i}" for i in range(40)), "Q", "transaction_id"])
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("many-files") for s in tracker.getJobInfo(j).stageIds]
+    # one task for each path would be the listing of the paths
+    tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info is not None]
+    assert tasks and max(tasks) < 40
+    errors = {r.file: r.error for r in report.filter("error IS NOT NULL").collect()}
+    missing = "Missing required column(s): " + ", ".join(TRANSACTION_COLUMNS)
+    assert errors == {
+        "BR900_20260101_TRANSACTION.csv": "Could not read file: No columns to parse from file",
+        "BR901_20260101_TRANSACTION.csv": missing,
+        "BR903_20260101_TRANSACTION.csv": "Could not read file: Expected 6 fields, saw 7",
+        "BR905_20260101_TRANSACTION.csv": "Could not read file: Expected 2 fields, saw 6",
+        "BR9 6_20260101_TRANSACTION.csv": "Could not read file: No columns to parse from file",
+    }
+    heads = {r.file: r.header for r in report.collect()}
+    assert heads["BR901_20260101_TRANSACTION.csv"] == "a,b" and heads["BR905_20260101_TRANSACTION.csv"] == "1,2"
+    assert heads["BR903_20260101_TRANSACTION.csv"] == ",".join(TRANSACTION_COLUMNS)
+
+
+def test_scans_by_folder_see_the_files_of_scans_by_path(spark, tmp_path):
+    many_branch_files(tmp_path, 5)
+    found = find_branch_files(spark, str(tmp_path))
+    paths = [r.path for r in found.select("path").collect()]
+    for some in (paths, paths[:2], paths[:-1]):
+        one, two = (
+            sorted(r.value for r in Scans(spark, str(tmp_path), found, n).read(some, lambda reader, at: reader.text(at)).collect())
+            for n in (0, 100)
+        )
+        assert one == two
+    (tmp_path / "year=1").mkdir()
+    (tmp_path / "year=1" / "BR1_20260101_TRANSACTION.csv").write_text("deep\n")
+    assert Scans(spark, str(tmp_path), found, 0).read(paths, lambda reader, at: reader.text(at)).columns == ["value"]
+
+
+def test_probing_lines_sorts_none_of_them(spark, tmp_path):
+    many_branch_files(tmp_path, 2)
+    found = find_branch_files(spark, str(tmp_path))
+    probe = _probe(Scans(spark, str(tmp_path), found), [r.path for r in found.collect()])
+    scanned = probe._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in scanned[scanned.index("HashAggregate") :]
