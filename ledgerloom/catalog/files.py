@@ -6,6 +6,8 @@ one task writes it; its rows are sorted by as many tasks as they need.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from ledgerloom.sources.delimited import (
     read_reference_csv,
     strict_rows,
 )
-from ledgerloom.sources.files import DAILY_FILE_GLOB, discover, list_files
+from ledgerloom.sources.files import DAILY_FILE_GLOB, discover, list_files, path_texts
 from ledgerloom.sources.tables import account_ids, load_csv, load_table, load_typed_csv, register_views
 from ledgerloom.schemas import ACCOUNT, TYPED_TRANSACTION
 
@@ -40,6 +42,11 @@ from ledgerloom.schemas import ACCOUNT, TYPED_TRANSACTION
 ROWS_PER_TASK = 500_000
 LARGE_FILE_ROWS = 1_000_000
 
+# tasks move the files they wrote; the other way the driver moves all, one after the other. The folder is read
+# after the job alone, and an attempt writes the same files as the one before it
+COMMIT_BY_TASKS = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+RENAMES_AT_ONCE = 8
+
 
 def deliver(df: DataFrame, name: str, order: list[str], columns: list[str], large_file_rows: int = LARGE_FILE_ROWS) -> str:
     """Write rows as CSV files named by column ``name``; returns the folder.
@@ -62,6 +69,7 @@ def deliver(df: DataFrame, name: str, order: list[str], columns: list[str], larg
             .sortWithinPartitions(name, *order)
             .select(F.col(name).alias("delivered"), *columns)
             .write.partitionBy("delivered")
+            .option(*COMMIT_BY_TASKS)
             .csv(staged, header=True, **CSV_FORMAT)
         )
         folders.append(staged)
@@ -71,12 +79,16 @@ def deliver(df: DataFrame, name: str, order: list[str], columns: list[str], larg
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(path(landing))
-    for folder in (f for at in folders for f in store.listStatus(path(at))):
-        title = folder.getPath().getName()
-        if title.startswith("delivered="):
-            for part in store.listStatus(folder.getPath()):
-                if part.getPath().getName().endswith((".csv", ".txt")):
-                    store.rename(part.getPath(), path(f"{landing}/{title.removeprefix('delivered=')}"))
+
+    def move(part: str) -> None:
+        title, name = part.rsplit("/", 2)[1:]
+        if title.startswith("delivered=") and name.endswith((".csv", ".txt")):
+            store.rename(path(part), path(f"{landing}/{title.removeprefix('delivered=')}"))
+
+    with ThreadPoolExecutor(RENAMES_AT_ONCE) as pool:
+        for at in folders:
+            titles = spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(store.listStatus(path(at)))
+            list(pool.map(move, path_texts(spark, store.listStatus(titles))))
     return landing
 
 
