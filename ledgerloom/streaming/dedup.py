@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_missing
+from ledgerloom.operators.ordered import running_sum
 from ledgerloom.session import materialize
 
 LEAST_SPREAD = 1024
@@ -46,8 +47,8 @@ class Places:
         row = F.col(self.row)
         found = df.groupBy(*self.file).agg(F.min(row).alias("least"), F.max(row).alias("most"), F.count_if(row.isNull()).alias("none"))
         files = materialize(found.dropna(subset=self.file), "places")
-        number = F.row_number().over(Window.orderBy(*self.file)).cast("long")
-        self.files = files.select(*self.file, number.alias("__file"))
+        one = files.select(*self.file, F.lit(1).cast("long").alias("__one"))
+        self.files = materialize(running_sum(one, self.file, "__one", "__file").drop("__one"), "place-numbers")
         seen = files.agg(F.count("*").alias("files"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("none").alias("none")).first()
         self.bits = None if seen.least is None else int(seen.most).bit_length()
         if self.bits is not None and (seen.none or seen.least < 0 or seen.files.bit_length() + self.bits > 63):
